@@ -1,7 +1,14 @@
 """The numbered queries, one per operator, and the SQL that gives the same rows where SQL can."""
 
 from .bpe import op10_bpe
+from .fingerprints import op9_fingerprints
+from .language_id import op5_language_id
+from .near_dedup import op3_near_dedup
+from .packing import op6_packing
+from .quality_rules import op8_quality_rules
 from .token_counts import op1_token_counts
+from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op5_language_id, op6_packing, op8_quality_rules, op9_fingerprints, op10_bpe)}
+#: None of these can be said in SQL (vocabularies, sketches, trained models); tests hold them against brute force.
 ORACLES: dict[str, str] = {}
