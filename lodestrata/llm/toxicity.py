@@ -2,12 +2,13 @@
 
 P(grade > k) is the logistic function of w.x - theta_k with one w for all of the ordered thresholds
 theta_1 < theta_2 < ..; the expected severity is the sum of these probabilities.  x is sparse: words
-of the text that go with the toxic label, each as one plus the logarithm of its frequency, and the
-logarithm of the number of words.
+of the text and beginnings of words (4 to 6 letters, so that one weight serves all forms of a stem)
+that go with the toxic label, each as one plus the logarithm of its frequency, and the logarithm of
+the number of words.
 
 Labels say toxic or not.  Grades come from them and from the words: 0 for a document labelled clean;
-toxic ones get 1 to GRADES by the share of their words that are much commoner under the label
-(equal parts of the toxic documents, by that share).
+toxic ones get 1 to GRADES by how much they hold of the words that are much commoner under the
+label (equal parts of the toxic documents, by the sum of those words' features).
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows that are learnt from; most words with a weight of their own; grades above 0.
+from .common import Memo
+
+#: Most labelled rows that are learnt from; most words and beginnings with a weight of their own; grades above 0.
 SAMPLE, FEATURES, GRADES = 20_000, 2_000, 3
 #: Documents that a word is in at least; steps of the fit; weight of the squared norm.
 LEAST, STEPS, RIDGE = 5, 400, 1e-4
-#: Likelihood ratio statistic of a word with the label for a weight (chance 1 in 10,000) and for marking a toxic text (1 in 10 million).
-WEIGHED, MARKED = 15.0, 28.0
+#: Likelihood ratio statistic of a word with the label for a weight and for marking a toxic text (chance 1 in 10 million).
+WEIGHED, MARKED = 28.0, 28.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -34,6 +37,20 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def features_of(word: str) -> list[str]:
+    """The word and its proper beginnings of 4 to 6 letters, which end in a hyphen."""
+    return [word, *(word[:n] + "-" for n in range(4, min(7, len(word))))]
+
+
+def hits(found: list[str], known: Memo) -> Counter:
+    """Frequency of each feature; known: the features with a weight of a word."""
+    out: Counter = Counter()
+    for word, n in Counter(found).items():
+        for feature in known[word]:
+            out[feature] += n
+    return out
+
+
 def fit(rows: list[list[tuple[int, float]]], grades: np.ndarray, size: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that fit `grades` to sparse rows of (feature, value), by Adam on the mean log-likelihood."""
     where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -89,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         count = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                count[int(toxic > 0)].update({*words(text), ""})
+                count[int(toxic > 0)].update({f for word in set(words(text)) for f in features_of(word)} | {""})
         seen = list(count[0].keys() | count[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([count[y][x] for x in seen], pa.int64()) for y in (1, 0))], ["word", "toxic", "clean"])
 
@@ -116,35 +133,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     def counted(batches):
         for batch in batches:
+            known = Memo(lambda word: [f for f in features_of(word) if f in number])
             found = [words(text) for text in batch.column("text").to_pylist()]
-            hits = [Counter(filter(number.__contains__, x)) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(map(len, found), pa.int64()), pa.array([list(h) for h in hits], pa.list_(pa.string())), pa.array([list(h.values()) for h in hits], pa.list_(pa.int64()))], ["doc_id", "toxic", "n", "words", "counts"])
+            counts = [hits(x, known) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(map(len, found), pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "toxic", "n", "words", "counts"])
 
     rows = texts.mapInArrow(counted, "doc_id long, toxic int, n long, words array<string>, counts array<long>").toArrow().sort_by("doc_id").to_pylist()
-    dense = np.array([sum(c for w, c in zip(r["words"], r["counts"]) if w in marked) / max(1, r["n"]) for r in rows])
+    much = np.array([sum(1 + np.log(c) for w, c in zip(r["words"], r["counts"]) if w in marked) for r in rows])
     toxic = np.array([r["toxic"] > 0 for r in rows])
-    cuts = np.quantile(dense[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, dense, "left"), 0)
+    cuts = np.quantile(much[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, much, "left"), 0)
     w, theta = fit([row_of(dict(zip(r["words"], r["counts"])), r["n"], number) for r in rows], grades, len(number) + 1)
     return number, w, theta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.4, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_severity (0 to GRADES), p_toxic (chance of a grade above 0), toxic (p_toxic >= cut) of each row.
 
     Null and empty texts have no words, and get what their length alone gives; without labels every
     severity is close to 0.
     """
-    number, w, theta = train(docs, labels)
+    number, w, theta = train(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((number, w, theta))
 
     def run(batches):
         number, w, theta = model.value
+        known = Memo(lambda word: [f for f in features_of(word) if f in number])
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
                 found = words(text)
-                scores.append(sum(v * w[f] for f, v in row_of(Counter(filter(number.__contains__, found)), len(found), number)))
+                scores.append(sum(v * w[f] for f, v in row_of(hits(found, known), len(found), number)))
             above = 1 / (1 + np.exp(np.clip(theta[None, :] - np.array(scores).reshape(-1, 1), -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)], ["doc_id", "expected_severity", "p_toxic", "toxic"])
 
