@@ -1,11 +1,74 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of
+documents. `run` applies them to the documents of a folder.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm.common import stored
+from lodestrata.llm.near_dedup import near_duplicates
+from lodestrata.llm.packing import pack
+from lodestrata.llm.quality_rules import quality_rules
+from lodestrata.llm.suffix_dedup import without_repeats
+from lodestrata.llm.toxicity import toxicity
+
+#: Words of a shingle of near duplicates; their least similarity in percent.
+SHINGLE, SIMILARITY = 5, 80
+
+
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids; rows without doc_id stay."""
+    ids = ids.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    columns = docs.columns
+    kept = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fertility bands of their language."""
+    rules = quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return _of(docs, rules.where("kept"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, learnt from the folder's labels, doesn't take for toxic."""
+    return _of(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not toxic"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near duplicates."""
+    return _of(docs, near_duplicates(docs, SHINGLE, SIMILARITY).where("kept"))
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 words and more that an earlier one holds."""
+    return without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", clean),
+    ("near-dedup", deduplicated),
+    ("suffix-array dedup", without_passages),
+    ("packing", packed),
+]
+
+#: Vocabularies, a trained model and sketches can't be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

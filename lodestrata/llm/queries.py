@@ -2,13 +2,15 @@
 
 from .bpe import op10_bpe
 from .fingerprints import op9_fingerprints
+from .kneser_ney import op7_quality_classifier
 from .language_id import op5_language_id
 from .near_dedup import op3_near_dedup
 from .packing import op6_packing
 from .quality_rules import op8_quality_rules
+from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op1_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op5_language_id, op6_packing, op8_quality_rules, op9_fingerprints, op10_bpe)}
-#: None of these can be said in SQL (vocabularies, sketches, trained models); tests hold them against brute force.
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_near_dedup, op4_suffix_dedup, op5_language_id, op6_packing, op7_quality_classifier, op8_quality_rules, op9_fingerprints, op10_bpe)}
+#: None of these can be said in SQL (vocabularies, sketches, trained models, or too slow as a plain join); tests hold them against brute force.
 ORACLES: dict[str, str] = {}

@@ -6,15 +6,13 @@ line feeds.  Texts therefore fall apart into pre-tokens that are encoded indepen
 of each distinct pre-token are counted once, and a document's count is the sum over its pre-tokens
 of frequency times pieces.  No list of ids is ever made for a document.
 
-Pre-tokens are counted over all documents with a map-side combine.  Those frequent enough to be
-among `hot` (a bound on their number, and so on the broadcast) are joined by broadcast inside the
-scan; every other (document, pre-token, frequency) row goes through a shuffle join on the pre-token.
+Pre-tokens are counted over all documents with a map-side combine; `sums` joins the pieces of each
+to the frequencies in the documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import public_tokenizers
@@ -23,11 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-
-#: Distinct pre-tokens that one Python worker counts before it passes their counts on.
-FLUSH = 500_000
-#: Most pre-tokens that are broadcast.
-HOT = 800_000
+from .sums import HOT, unit_counts, unit_sums
 
 
 class Pieces:
@@ -78,66 +72,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, hot: int = HOT)
     No begin, end or added special tokens; null and empty texts have 0 bytes and 0 tokens; rows that
     repeat are counted one by one.
     """
-    spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
 
-    def counted(batches):
-        split, seen = pieces(path).split, Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(split(text or ""))
-                if len(seen) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
+    def split():
+        return pieces(path).split
 
     def measured(batches):
         count = pieces(path).count
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(count, batch.column("token").to_pylist()), pa.int32())], [*batch.schema.names, "pieces"])
-
-    distinct = docs.mapInArrow(counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    vocabulary = stored(distinct.mapInArrow(measured, "token string, n long, pieces int"), "vocabulary")
-
-    # the least frequency at which at most `hot` pre-tokens remain
-    by_n = vocabulary.select(F.least("n", F.lit(10_000)).alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect()
-    least, total = 10_001, 0
-    for n, count in by_n:
-        total += count
-        if total > hot:
-            break
-        least = n
-    frequent = vocabulary.where(F.col("n") >= least).select("token", "pieces").toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(frequent.column("token").to_pylist(), frequent.column("pieces").to_pylist())) if total else {})
-    del frequent
-
-    def summed(batches):
-        """A row without token for each document, with the sum over its frequent pre-tokens; a row for each of its other pre-tokens."""
-        from pyspark import TaskContext
-
-        split, have, row = pieces(path).split, known.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows, ids, sizes, tokens, ns = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                row += 1
-                text = text or ""
-                parts = split(text)
-                values = list(map(have.get, parts))
-                if None in values:
-                    rest = Counter(part for part, value in zip(parts, values) if value is None)
-                    for token, n in rest.items():
-                        rows.append(row), ids.append(None), sizes.append(None), tokens.append(token), ns.append(n)
-                    total = sum(filter(None, values))
-                else:
-                    total = sum(values)
-                rows.append(row), ids.append(doc_id), sizes.append(len(text.encode())), tokens.append(None), ns.append(total)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.string()), pa.array(ns, pa.int64())], ["row", "doc_id", "n_bytes", "token", "n"])
-
-    rows = stored(docs.mapInArrow(summed, "row long, doc_id long, n_bytes long, token string, n long"), "frequencies")
-    rest = rows.where("token is not null").select("row", "token", "n").join(vocabulary.where(F.col("n") < least).select("token", "pieces"), "token")
-    parts = rows.where("token is null").select("row", "doc_id", "n_bytes", "n").unionByName(rest.selectExpr("row", "cast(null as bigint) doc_id", "cast(null as bigint) n_bytes", "n * pieces as n"))
-    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(count, batch.column("unit").to_pylist()), pa.int64())], [*batch.schema.names, "value"])
+
+    docs = docs.select("doc_id", "text")
+    vocabulary = stored(unit_counts(docs, split).mapInArrow(measured, "unit string, n long, value long"), "vocabulary")
+    out = unit_sums(docs, split, None, vocabulary, lambda text: len(text.encode()), hot)
+    return out.select("doc_id", F.col("size").alias("n_bytes"), F.col("total").alias("n_tokens"), (F.col("total") > limit).alias("over_limit"))
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
