@@ -15,18 +15,16 @@ from lodestrata.llm.near_dedup import near_duplicates
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality_rules import quality_rules
 from lodestrata.llm.suffix_dedup import without_repeats
-from lodestrata.llm.toxicity import toxicity
+from lodestrata.llm.toxicity import not_toxic
 
 #: Words of a shingle of near duplicates; their least similarity in percent.
 SHINGLE, SIMILARITY = 5, 80
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids; rows without doc_id stay."""
-    ids = ids.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    columns = docs.columns
-    kept = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.select(*columns).unionByName(docs.where("doc_id is null"))
+def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null for one) is that of a row of kept; rows that share one go together."""
+    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +35,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, learnt from the folder's labels, doesn't take for toxic."""
-    return _of(docs, toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("not toxic"))
+    return not_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates."""
-    return _of(docs, near_duplicates(docs, SHINGLE, SIMILARITY).where("kept"))
+    """The least document of each group of near duplicates, and rows without doc_id."""
+    return _of(docs, near_duplicates(docs, SHINGLE, SIMILARITY).where("kept or doc_id is null"))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

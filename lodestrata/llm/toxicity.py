@@ -30,6 +30,9 @@ LEAST, STEPS, RIDGE = 5, 400, 1e-4
 #: Likelihood ratio statistic of a word with the label for a weight and for marking a toxic text (chance 1 in 10 million).
 WEIGHED, MARKED = 28.0, 28.0
 
+#: Chance of a grade above 0 from which a text is taken for toxic.
+CUT = 0.4
+
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -147,28 +150,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return number, w, theta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.4, sample: int = SAMPLE) -> DataFrame:
+def scorer(docs: DataFrame, labels: DataFrame, sample: int):
+    """A function, for use in workers, from texts to their chances of a grade above 0, above 1, .."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+
+    def score(texts: list) -> np.ndarray:
+        number, w, theta = model.value
+        if score.known is None:
+            score.known = Memo(lambda word: [f for f in features_of(word) if f in number])
+        scores = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            found = words(text)
+            scores[i] = sum(v * w[f] for f, v in row_of(hits(found, score.known), len(found), number))
+        return 1 / (1 + np.exp(np.clip(theta[None, :] - scores.reshape(-1, 1), -40, 40)))
+
+    score.known = None
+    return score
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_severity (0 to GRADES), p_toxic (chance of a grade above 0), toxic (p_toxic >= cut) of each row.
 
     Null and empty texts have no words, and get what their length alone gives; without labels every
     severity is close to 0.
     """
-    number, w, theta = train(docs, labels, sample)
-    model = docs.sparkSession.sparkContext.broadcast((number, w, theta))
+    score = scorer(docs, labels, sample)
 
     def run(batches):
-        number, w, theta = model.value
-        known = Memo(lambda word: [f for f in features_of(word) if f in number])
         for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                scores.append(sum(v * w[f] for f, v in row_of(hits(found, known), len(found), number)))
-            above = 1 / (1 + np.exp(np.clip(theta[None, :] - np.array(scores).reshape(-1, 1), -40, 40)))
+            above = score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= cut)], ["doc_id", "expected_severity", "p_toxic", "toxic"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, toxic boolean")
 
 
+def not_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose text isn't taken for toxic."""
+    score = scorer(docs, labels, sample)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column("text").to_pylist())[:, 0] < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
