@@ -1,4 +1,435 @@
-"""All queries outside the training-data subpackage, and the SQL that gives the same rows."""
+"""All queries outside the training-data subpackage, and the SQL that gives the same rows.
+
+Telemetry operators run on the events table: a user is a file, the event type a message type, event_id
+the order and ts the time; GPS, barometer and estimator points are derived from types and values.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.operators import features, flatten, learning, relations, roles, telemetry
+from lodestrata.plans import profile
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- fields of sources ----------------------------------------------------------------------------
+
+
+def event_leaves(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("ts"))
+    return flatten.flatten_columns(events.withColumn("id", F.col("event_id")), "event_id").withColumnRenamed("path", "path")
+
+
+LEAVES = """leaves AS (
+  SELECT event_id seq, unnest(['user_id','event_type','cents','ts','id']) path,
+         unnest([user_id::varchar, event_type, round(value*100)::bigint::varchar,
+                 CASE WHEN event_type <> 'error' THEN strftime(ts,'%Y-%m-%d %H:%M:%S') END, event_id::varchar]) "value"
+  FROM events)"""
+ENTITIES = """leaves AS (
+  SELECT c_custkey seq, unnest(['c_name','c_mktsegment','c_nationkey','c_acctbal']) path,
+         unnest([c_name, c_mktsegment, c_nationkey::varchar, round(c_acctbal*100)::bigint::varchar]) "value" FROM customer
+  UNION ALL SELECT page_id, 'url', url FROM pages
+  UNION ALL SELECT doc_id, unnest(['lang','source']), unnest([lang, source]) FROM documents)"""
+
+
+def entity_leaves(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return flatten.flatten_columns(customer, "c_custkey").unionByName(flatten.flatten_columns(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")).unionByName(flatten.flatten_columns(docs, "doc_id"))
+
+
+@query(f"WITH {LEAVES} SELECT path, count(*) n, count(\"value\") filled, min(\"value\") lo, max(\"value\") hi FROM leaves GROUP BY path")
+def flatten_events_paths(spark, sf_dir):
+    return event_leaves(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"), F.count("value").alias("filled"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+@query("SELECT event_id seq, 'k' path, json_extract_string(props, '$.k') \"value\" FROM events")
+def flatten_json_props(spark, sf_dir):
+    return flatten.flatten_json(table(spark, sf_dir, "events"), "event_id", "props")
+
+
+@query("""WITH l AS (SELECT event_id seq, unnest([event_type, 'always']) path, unnest([CASE WHEN user_id % 3 <> 0 THEN user_id END, event_id]) v FROM events WHERE event_id >= 7),
+ kept AS (SELECT * FROM l WHERE path <> 'error' OR seq > 5000),
+ f AS (SELECT path, min(seq) mn, count(v) filled, count(DISTINCT v) u FROM kept GROUP BY path)
+ SELECT path, (SELECT count(*) FROM events WHERE event_id >= f.mn) sample_count, (SELECT count(*) FROM events WHERE event_id >= f.mn) - filled null_count, u unique_count FROM f""")
+def field_counts(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    late = events.where("event_id >= 7")
+    one = late.where("event_type <> 'error' or event_id > 5000").select(F.col("event_id").alias("seq"), F.col("event_type").alias("path"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).cast("string").alias("value"))
+    two = late.select(F.col("event_id").alias("seq"), F.lit("always").alias("path"), F.col("event_id").cast("string").alias("value"))
+    return flatten.field_counts(one.unionByName(two), events, "event_id")
+
+
+def _features_sql(leaves: str) -> str:
+    ratios = ", ".join(f"""round(coalesce(sum(length(regexp_replace("value",'[^{c}]','','g'))),0)/greatest(sum(length("value")),1)::double,6) {k}_ratio""" for k, c in (("alpha", r"\p{L}"), ("numeric", r"\p{Nd}"), ("hex", "0-9a-fA-F"), ("uppercase", r"\p{Lu}"), ("whitespace", r"\s")))
+    has = ", ".join(f"""round(sum(CASE WHEN contains("value",'{s}') THEN 1 ELSE 0 END)/greatest(count("value"),1)::double,6) {k}_ratio""" for k, s in features.SEPARATORS.items())
+    number = features.NUMBER
+    return f"""WITH {leaves},
+ ch AS (SELECT path, unnest(string_split("value",'')) ch FROM leaves), cc AS (SELECT path, ch, count(*) k FROM ch WHERE ch <> '' GROUP BY ALL),
+ en AS (SELECT path, sum(-(k/t)*log2(k/t)) e FROM (SELECT path, k, sum(k) OVER (PARTITION BY path)::double t FROM cc) GROUP BY path),
+ sh AS (SELECT path, max(k) modal FROM (SELECT path, regexp_replace(regexp_replace("value",'\\p{{L}}','A','g'),'\\p{{Nd}}','N','g') s, count(*) k FROM leaves WHERE "value" IS NOT NULL GROUP BY ALL) GROUP BY path),
+ a AS (SELECT path, count(*)::bigint sample_count, (count(*)-count("value"))::bigint null_count, count(DISTINCT "value")::bigint unique_count,
+  round(least(avg(length("value"))/1000,1),6) mean_length, round(least(quantile_disc(length("value"),0.5 ORDER BY length("value") DESC)/1000,1),6) median_length,
+  round(least(stddev_pop(length("value"))/1000,1),6) stddev_length, round(least(min(length("value"))/1000,1),6) min_length, round(least(max(length("value"))/1000,1),6) max_length,
+  {ratios}, round((sum(length("value"))-sum(length(regexp_replace("value",'[^\\p{{L}}\\p{{Nd}}\\s]','','g'))))/greatest(sum(length("value")),1)::double,6) punct_ratio, {has},
+  round(least(sum(length(regexp_replace("value",'[^.\\-:/_@]','','g')))/(6.0*count("value"))::double/10,1),6) mean_separator_count,
+  round(sum(CASE WHEN regexp_matches("value",'{number}') THEN 1 ELSE 0 END)/count("value")::double,6) is_numeric_ratio,
+  round(coalesce(least((max(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END)-min(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END))/100000,1),0),6) numeric_range_span,
+  round(sum(CASE WHEN regexp_matches("value",'{number}') AND regexp_matches("value",'^-*[0-9]+$') THEN 1 ELSE 0 END)/count("value")::double,6) is_integer_ratio,
+  round(count(DISTINCT "value")/count("value")::double,6) cardinality_ratio, round((count(*)-count("value"))/count(*)::double,6) null_ratio,
+  round(least(var_pop(length("value"))/(avg(length("value"))*avg(length("value"))+1e-10),1),6) length_variance_ratio,
+  CASE WHEN min(length("value"))=max(length("value")) AND count("value")>1 THEN 1.0::double ELSE 0.0::double END has_fixed_length, count("value") n
+  FROM leaves GROUP BY path)
+ SELECT a.* EXCLUDE (n), round(least(e/7,1),6) entropy, round(modal/n::double,6) format_consistency FROM a JOIN en USING (path) JOIN sh USING (path)"""
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("path", "sample_count", "null_count", "unique_count", *(F.round(c, 6).alias(c) for c in features.NAMES))
+
+
+@query(_features_sql(LEAVES))
+def field_feature_matrix(spark, sf_dir):
+    return _rounded(features.field_features(event_leaves(spark, sf_dir)))
+
+
+@query(_features_sql(ENTITIES))
+def entity_feature_matrix(spark, sf_dir):
+    return _rounded(features.field_features(entity_leaves(spark, sf_dir)))
+
+
+@query(f"""WITH {ENTITIES}, a AS (SELECT path, count("value") n, count(DISTINCT "value") u, count(DISTINCT "value")/count("value")::double card, avg(length("value")) len, var_pop(length("value"))/(avg(length("value"))**2+1e-10) lvr,
+  min(length("value"))=max(length("value")) fixed, sum(length(regexp_replace("value",'[^\\p{{L}}]','','g')))/sum(length("value"))::double alpha, sum(length(regexp_replace("value",'[^\\p{{Nd}}]','','g')))/sum(length("value"))::double num,
+  sum(length(regexp_replace("value",'[^\\s]','','g')))/sum(length("value"))::double ws, avg(regexp_matches("value",'^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$')::int) isnum,
+  avg(contains("value",'.')::int)+avg(contains("value",'-')::int)+avg(contains("value",':')::int)+avg(contains("value",'_')::int)+avg(contains("value",'@')::int) marks FROM leaves GROUP BY path),
+ ch AS (SELECT path, unnest(string_split("value",'')) ch FROM leaves), en AS (SELECT path, sum(-(k/t)*log2(k/t))/7 e FROM (SELECT path, k, sum(k) OVER (PARTITION BY path)::double t FROM (SELECT path, ch, count(*) k FROM ch WHERE ch<>'' GROUP BY ALL)) GROUP BY path),
+ s AS (SELECT a.*, (CASE WHEN card>0.1 AND card<0.95 THEN 0.3::double WHEN card>=0.95 AND u>5 THEN 0.2::double ELSE 0 END)+(CASE WHEN marks>0.3 THEN 0.2::double ELSE 0 END)+(CASE WHEN lvr<0.3 THEN 0.15::double ELSE 0 END)+(CASE WHEN fixed AND n>1 THEN 0.2::double ELSE 0 END)+(CASE WHEN len>5 AND len<100 THEN 0.15::double ELSE 0 END)+(CASE WHEN alpha>0.2 AND num>0.1 THEN 0.1::double ELSE 0 END)+(CASE WHEN e>0.4 THEN 0.1::double ELSE 0 END) score FROM a JOIN en USING (path))
+ SELECT path, CASE WHEN n=0 THEN 'unknown' WHEN isnum>0.9 THEN 'metric' WHEN (u<=3 AND n>=5) OR (card<0.1 AND n>=10) THEN 'enum' WHEN len>50 AND alpha>0.7 AND ws>0.05 THEN 'text' WHEN score>=0.5 THEN 'entity' ELSE 'unknown' END AS "role",
+  CASE WHEN path='url' THEN 'url' END type_hint FROM s""")
+def role_classification(spark, sf_dir):
+    return roles.classified(features.field_features(entity_leaves(spark, sf_dir))).select("path", "role", "type_hint")
+
+
+@query("""SELECT event_type path, CASE event_type WHEN 'click' THEN 'ipv4' WHEN 'view' THEN 'hash_md5' WHEN 'error' THEN 'uuid' WHEN 'signup' THEN 'fqdn' WHEN 'purchase' THEN 'mac' END hint FROM (SELECT DISTINCT event_type FROM events)""")
+def type_hints(spark, sf_dir):
+    h = F.md5(F.col("event_id").cast("string"))
+    ip = F.concat_ws(".", *((F.col("event_id") * k % 256).cast("string") for k in (1, 3, 7, 11)))
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    mac = F.concat_ws("-", *(F.substring(h, 2 * i + 1, 2) for i in range(6)))
+    value = F.when(F.col("event_type") == "click", ip).when(F.col("event_type") == "view", h).when(F.col("event_type") == "error", uuid).when(F.col("event_type") == "signup", F.concat(F.lit("h"), F.substring(h, 1, 6), F.lit(".example.org"))).otherwise(mac)
+    leaves = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), value.alias("value"))
+    return features.field_features(leaves).select("path", roles.type_hint(F.col("samples")).alias("hint"))
+
+
+PRESENCE = "p AS (SELECT DISTINCT event_id // 4 seq, event_type path FROM events), n AS (SELECT count(DISTINCT event_id // 4) n FROM events), k AS (SELECT path, count(*) k FROM p GROUP BY path), b AS (SELECT x.path path_a, y.path path_b, count(*) c FROM p x JOIN p y ON x.seq=y.seq AND x.path<y.path GROUP BY ALL), j AS (SELECT path_a, path_b, c, ka.k ka, kb.k kb, n.n n FROM b JOIN k ka ON ka.path=path_a JOIN k kb ON kb.path=path_b, n)"
+MI = " + ".join(f"(CASE WHEN ({q})>0 THEN ({q})/n::double*log2(({q})::double*n/(({x})::double*({y}))) ELSE 0 END)" for q, x, y in (("c", "ka", "kb"), ("ka-c", "ka", "n-kb"), ("kb-c", "n-ka", "kb"), ("n-ka-kb+c", "n-ka", "n-kb")))
+
+
+def _presence(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 4).alias("seq"), F.col("event_type").alias("path"), F.lit("x").alias("value"))
+
+
+@query(f"WITH {PRESENCE} SELECT path_a, path_b, c both_count, round(greatest({MI},0),6) mutual_information FROM j")
+def presence_mi(spark, sf_dir):
+    leaves = _presence(spark, sf_dir)
+    n = leaves.select("seq").distinct().count()
+    return relations.co_occurrence(leaves, n).withColumn("mutual_information", F.round("mutual_information", 6))
+
+
+@query(f"""WITH {PRESENCE}, h AS (SELECT * FROM (VALUES ('click','ipv4'),('view','fqdn'),('error','url'),('signup','ipv6'),('purchase',NULL)) t(path,hint)), e AS (SELECT j.*, greatest({MI},0) mi, a.hint hint_a, b.hint hint_b FROM j JOIN h a ON a.path=path_a JOIN h b ON b.path=path_b)
+ SELECT path_a, path_b, c both_count, CASE WHEN least(hint_a,hint_b)='ipv4' AND greatest(hint_a,hint_b)='ipv6' THEN 'COMMUNICATES_WITH' WHEN least(hint_a,hint_b)='fqdn' AND greatest(hint_a,hint_b) IN ('ipv4','ipv6') AND hint_a IS NOT NULL AND hint_b IS NOT NULL THEN 'RESOLVES_TO' WHEN greatest(hint_a,hint_b)='url' AND least(hint_a,hint_b) IN ('ipv4','ipv6') AND hint_a IS NOT NULL AND hint_b IS NOT NULL THEN 'HOSTS' ELSE 'CO_OCCURS_WITH' END relationship_type FROM e WHERE mi >= 0.001""")
+def relationship_edges(spark, sf_dir):
+    leaves = _presence(spark, sf_dir)
+    hint = F.create_map(*(F.lit(x) for kv in (("click", "ipv4"), ("view", "fqdn"), ("error", "url"), ("signup", "ipv6")) for x in kv))
+    fields = leaves.select("path").distinct().select("path", F.lit("entity").alias("role"), hint[F.col("path")].alias("type_hint"))
+    return relations.edges(leaves, fields, leaves.select("seq").distinct().count(), 0.001).select("path_a", "path_b", "both_count", "relationship_type")
+
+
+@query(f"WITH {LEAVES} SELECT substr(sha256('[\"' || string_agg(DISTINCT path, '\", \"' ORDER BY path) || '\"]'),1,16) fingerprint FROM leaves WHERE seq < 10")
+def schema_fingerprint(spark, sf_dir):
+    return profile.fingerprint(event_leaves(spark, sf_dir))
+
+
+@query(f"WITH {LEAVES} SELECT 'events' source_id, 1 revision, 5::bigint n_fields, substr(sha256('[\"' || string_agg(DISTINCT path, '\", \"' ORDER BY path) || '\"]'),1,16) fingerprint FROM leaves WHERE seq < 10")
+def source_profile(spark, sf_dir):
+    leaves = event_leaves(spark, sf_dir)
+    found = profile.source_profile(leaves, table(spark, sf_dir, "events").count(), "events")
+    return found.select("source_id", "revision", F.size("fields").cast("long").alias("n_fields"), "fingerprint")
+
+
+# ---- corrections and learning ---------------------------------------------------------------------
+
+CORRECTIONS = """c AS (SELECT d.doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END source_id, source field_path, CASE WHEN quality=1 THEN 'entity' WHEN toxic=1 THEN 'text' WHEN doc_id % 7 = 0 THEN 'bogus' ELSE 'enum' END correct_label,
+ CASE WHEN doc_id % 13 = 0 THEN NULL ELSE (doc_id % 23)/20.0::double END original_confidence FROM documents d JOIN labels USING (doc_id))"""
+
+
+def corrections(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    label = F.when(F.col("quality") == 1, "entity").when(F.col("toxic") == 1, "text").when(F.col("doc_id") % 7 == 0, "bogus").otherwise("enum")
+    return d.select("doc_id", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("source_id"), F.col("source").alias("field_path"), label.alias("correct_label"), F.when(F.col("doc_id") % 13 != 0, (F.col("doc_id") % 23) / F.lit(20.0)).alias("original_confidence"))
+
+
+@query(f"WITH {CORRECTIONS} SELECT correct_label, count(*) n FROM c GROUP BY ALL")
+def correction_counts(spark, sf_dir):
+    return corrections(spark, sf_dir).groupBy("correct_label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CORRECTIONS} SELECT doc_id, concat_ws(';', CASE WHEN source_id IS NULL THEN 'missing source_id' END, CASE WHEN original_confidence IS NULL THEN 'missing original_confidence' END, CASE WHEN correct_label NOT IN ('entity','metric','enum','temporal','text','unknown') THEN 'invalid label' END, CASE WHEN original_confidence < 0 OR original_confidence > 1 THEN 'confidence out of range' END) errors FROM c""")
+def correction_validation(spark, sf_dir):
+    return learning.validated(corrections(spark, sf_dir), ["source_id", "field_path", "correct_label", "original_confidence"]).select("doc_id", F.array_join("errors", ";").alias("errors"))
+
+
+@query(f"WITH {CORRECTIONS} SELECT doc_id FROM c WHERE coalesce(original_confidence, 1.0) < 0.6")
+def flagged_corrections(spark, sf_dir):
+    return learning.flagged(corrections(spark, sf_dir)).select("doc_id")
+
+
+@query()
+def rf_predict(spark, sf_dir):
+    """Roles of the events' and entities' fields by a forest learnt from examples of each role."""
+    model = learning.train(learning.bootstrap(spark))
+    fields = features.vector(features.field_features(entity_leaves(spark, sf_dir)))
+    return learning.predict(model, fields).select("path", "label", "confidence", "flagged")
+
+
+@query()
+def field_clusters(spark, sf_dir):
+    """Density clusters of the fields of the events and entities."""
+    fields = features.vector(features.field_features(entity_leaves(spark, sf_dir).unionByName(event_leaves(spark, sf_dir))))
+    return learning.clusters(fields)
+
+
+# ---- telemetry ------------------------------------------------------------------------------------
+
+REC = "rec AS (SELECT user_id file, event_type name, event_id seq, epoch_us(ts) t, value FROM events)"
+GPS = "gps AS (SELECT file, seq, t, (seq*7)%5 status, (seq*3)%11 nsats, value/100 hdop, -35+value/1e7 lat, 149+value/1e7 lon, value alt FROM rec WHERE name IN ('view','click'))"
+EKF = "ekf AS (SELECT file, seq, t, value/60 ivn, value/80 ive FROM rec WHERE name = 'error')"
+
+
+def records(spark, sf_dir):
+    t = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"), t.alias("t"), "value")
+
+
+def gps(spark, sf_dir):
+    r = records(spark, sf_dir).where("name in ('view', 'click')")
+    v = F.col("value")
+    return r.select("file", "seq", "t", (F.col("seq") * 7 % 5).alias("status"), (F.col("seq") * 3 % 11).alias("nsats"), (v / 100).alias("hdop"), (-35 + v / 1e7).alias("lat"), (149 + v / 1e7).alias("lon"), v.alias("alt"))
+
+
+def baro(spark, sf_dir):
+    return records(spark, sf_dir).where("name = 'purchase'").select("file", "seq", "t", F.col("value").alias("alt"))
+
+
+def ekf(spark, sf_dir):
+    return records(spark, sf_dir).where("name = 'error'").select("file", "seq", "t", (F.col("value") / 60).alias("ivn"), (F.col("value") / 80).alias("ive"))
+
+
+@query(f"WITH {REC}, s AS (SELECT file, name, arg_max(t,seq)-arg_min(t,seq) d FROM rec GROUP BY ALL HAVING count(*)>1) SELECT file, max(d) duration_us FROM s GROUP BY file")
+def session_duration(spark, sf_dir):
+    return telemetry.session_duration(records(spark, sf_dir))
+
+
+@query(f"WITH {REC}, g AS (SELECT file, name, lead(t) OVER (PARTITION BY file,name ORDER BY seq)-t gap FROM rec) SELECT file, name, round(1e6/quantile_disc(gap,0.5 ORDER BY gap DESC)::double,9) hz FROM g WHERE gap>0 GROUP BY ALL")
+def logging_frequency(spark, sf_dir):
+    return telemetry.logging_frequency(records(spark, sf_dir)).withColumn("hz", F.round("hz", 9))
+
+
+@query(f"WITH {REC}, {GPS}, s AS (SELECT file, seq, status>=3 fix FROM gps WHERE status>=3 OR status<=1), w AS (SELECT file, fix, lag(fix) OVER (PARTITION BY file ORDER BY seq) was, max(fix::int) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) had FROM s) SELECT file, count(*) FILTER (WHERE fix AND NOT was AND had=1) glitches FROM w GROUP BY file")
+def glitch_count(spark, sf_dir):
+    return telemetry.gps_glitches(gps(spark, sf_dir))
+
+
+@query(f"WITH {REC}, {GPS}, s AS (SELECT file, abs(lat-lag(lat) OVER (PARTITION BY file ORDER BY seq)) d FROM gps) SELECT file, count(*) FILTER (WHERE d>1e-5) position_changes FROM s GROUP BY file")
+def position_changes(spark, sf_dir):
+    return telemetry.position_changes(gps(spark, sf_dir))
+
+
+JUMPS = """sp AS (SELECT file, CASE WHEN count(*) FILTER (WHERE status>=3)>=5 AND max(nsats)>4 THEN 30.0 ELSE 0.5 END speed FROM gps GROUP BY file),
+ st AS (SELECT file, t, status, lat, lon, lag(t) OVER w pt, lag(status) OVER w ps, lag(lat) OVER w plat, lag(lon) OVER w plon FROM gps WINDOW w AS (PARTITION BY file ORDER BY seq)),
+ m AS (SELECT file, greatest((t-pt)/1e6,0.1) s, sqrt(((lat-plat)*111320.0)**2+((lon-plon)*111320.0*cos(radians((lat+plat)/2)))**2) m FROM st WHERE status>=3 AND ps>=3),
+ jp AS (SELECT sp.file, count(m) steps, coalesce(max(m),0) max_jump_m, count(*) FILTER (WHERE m>speed*s*5) jumps, count(*) FILTER (WHERE m>speed*s*5 AND m>speed*5) alerts FROM sp LEFT JOIN m USING (file) GROUP BY sp.file)"""
+
+
+@query(f"WITH {REC}, {GPS}, {JUMPS} SELECT file, steps, round(max_jump_m,6) max_jump_m, jumps, alerts, CASE WHEN alerts>0 THEN 'ALERT' WHEN jumps>0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM jp")
+def jump_detect(spark, sf_dir):
+    return telemetry.position_jumps(gps(spark, sf_dir)).select("file", "steps", F.round("max_jump_m", 6).alias("max_jump_m"), "jumps", "alerts", "verdict")
+
+
+SHIFTS = """qd AS (SELECT file, hdop-lag(hdop) OVER w h, nsats-lag(nsats) OVER w s FROM gps WINDOW w AS (PARTITION BY file ORDER BY seq)),
+ qs AS (SELECT file, count(*) n, coalesce(max(CASE WHEN h<-1 THEN -h END),0) max_drop, coalesce(max(CASE WHEN h>2 THEN h END),0) max_spike, greatest(coalesce(max(-s),0),0) max_sat_drop FROM qd GROUP BY file),
+ qv AS (SELECT *, CASE WHEN n<3 THEN 'UNKNOWN' WHEN (max_drop>=1 AND max_spike=0) OR max_spike>=2 OR max_sat_drop>=4 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM qs)"""
+
+
+@query(f"WITH {REC}, {GPS}, {SHIFTS} SELECT file, n, round(max_drop,6) max_drop, round(max_spike,6) max_spike, max_sat_drop, verdict FROM qv")
+def quality_shift(spark, sf_dir):
+    return telemetry.quality_shifts(gps(spark, sf_dir)).select("file", "n", F.round("max_drop", 6).alias("max_drop"), F.round("max_spike", 6).alias("max_spike"), "max_sat_drop", "verdict")
+
+
+NEAR = """b AS (SELECT file, t bt, arg_min(value,seq) balt FROM rec WHERE name='purchase' GROUP BY ALL),
+ nr AS (SELECT * FROM (SELECT g.file, g.seq, g.t, g.alt, g.status, bt, balt, abs(g.t-bt) gap, row_number() OVER (PARTITION BY g.file,g.seq ORDER BY abs(g.t-bt), bt) r FROM gps g LEFT JOIN b USING (file)) WHERE r=1)"""
+
+
+@query(f"WITH {REC}, {GPS}, {NEAR} SELECT file, seq, CASE WHEN gap<=2000000000 THEN gap ELSE -1 END gap, CASE WHEN gap<=2000000000 THEN balt ELSE -1 END AS other FROM nr")
+def nearest_asof(spark, sf_dir):
+    return telemetry.nearest_in_time(gps(spark, sf_dir).select("file", "seq", "t", "alt"), baro(spark, sf_dir), 2_000_000_000).select("file", "seq", F.coalesce("gap", F.lit(-1)).alias("gap"), F.coalesce("other", F.lit(-1.0)).alias("other"))
+
+
+@query(f"""WITH {REC}, {GPS}, {NEAR}, fx AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) rk FROM nr WHERE status>=3), ok AS (SELECT * FROM fx WHERE gap<=2000000), o AS (SELECT file, avg(alt-balt) off FROM ok WHERE rk<=5 GROUP BY file)
+ SELECT f.file, coalesce(count(d),0) samples, CASE WHEN count(d)=0 THEN 'UNKNOWN' WHEN max(d)>=20 THEN 'ALERT' WHEN max(d)>=10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM (SELECT DISTINCT file FROM gps) f LEFT JOIN (SELECT ok.file, abs(alt-(balt+off)) d FROM ok JOIN o USING (file)) x USING (file) GROUP BY f.file""")
+def altitude_baseline(spark, sf_dir):
+    return telemetry.altitude_divergence(gps(spark, sf_dir), baro(spark, sf_dir)).select("file", "samples", "verdict")
+
+
+@query(f"WITH {REC}, {EKF}, m AS (SELECT *, sqrt(ivn*ivn+ive*ive) m FROM ekf) SELECT file, count(*) n, round(max(m),6) max_mag, round(avg(m),6) mean_mag, arg_min(t, (-m, t, seq)) max_t, count(*) FILTER (WHERE m>10) over_10, count(*) FILTER (WHERE m>5) over_5, CASE WHEN max(m)>10 THEN 'ALERT' WHEN max(m)>5 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM m GROUP BY file")
+def ekf_stats(spark, sf_dir):
+    return telemetry.innovation(ekf(spark, sf_dir)).withColumn("max_mag", F.round("max_mag", 6)).withColumn("mean_mag", F.round("mean_mag", 6))
+
+
+@query(f"WITH {REC}, l AS (SELECT file, 'P' || (seq%12) param, arg_max(value,seq) v FROM rec WHERE seq%12<7 GROUP BY ALL) SELECT file, substr(sha256(string_agg(param || '=' || printf('%.4f', v), '|' ORDER BY param || '=' || printf('%.4f', v))),1,8) fingerprint FROM l GROUP BY file")
+def config_fingerprint(spark, sf_dir):
+    params = records(spark, sf_dir).select("file", "seq", F.concat(F.lit("P"), (F.col("seq") % 12).cast("string")).alias("param"), "value")
+    return telemetry.config_fingerprint(params, [f"P{i}" for i in range(7)])
+
+
+AGG = """ag AS (SELECT file, count(*) FILTER (WHERE name IN ('view','click') AND (seq*7)%5>=3) fixes, coalesce(max(CASE WHEN name IN ('view','click') THEN (seq*3)%11 END),0) nsats, count(*) FILTER (WHERE name IN ('view','click')) statuses, coalesce(max(CASE WHEN name IN ('view','click') THEN (seq*7)%5 END),0) top,
+ count(*) FILTER (WHERE name='purchase') baro_n, coalesce(max(CASE WHEN name='purchase' THEN value END)-min(CASE WHEN name='purchase' THEN value END),0) baro_range, count(*) FILTER (WHERE name='signup') modes, count(*) FILTER (WHERE name='signup' AND seq%8 IN (3,4,5,6)) flying, count(*) FILTER (WHERE name='signup' AND seq%8 IN (0,1,2)) ground,
+ count(*) FILTER (WHERE name='error' AND seq%9=0) errs, count(*) FILTER (WHERE name='error' AND seq%10=6) compass, (max(t)-min(t))/1e6 dur FROM rec GROUP BY file)"""
+
+
+def _file_aggregates(spark, sf_dir):
+    r = records(spark, sf_dir)
+    point, is_ = F.col("name").isin("view", "click"), lambda n: F.col("name") == n
+    s = F.col("seq")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return r.groupBy("file").agg(
+        F.count_if(point & (s * 7 % 5 >= 3)).alias("fixes"), zero(F.max(F.when(point, s * 3 % 11))).alias("nsats"), F.count_if(point).alias("statuses"), zero(F.max(F.when(point, s * 7 % 5))).alias("top"),
+        F.count_if(is_("purchase")).alias("baro_n"), zero(F.max(F.when(is_("purchase"), F.col("value"))) - F.min(F.when(is_("purchase"), F.col("value")))).alias("baro_range"),
+        F.count_if(is_("signup")).alias("modes"), F.count_if(is_("signup") & (s % 8).isin(3, 4, 5, 6)).alias("flying"), F.count_if(is_("signup") & (s % 8).isin(0, 1, 2)).alias("ground"),
+        F.count_if(is_("error") & (s % 9 == 0)).alias("errs"), F.count_if(is_("error") & (s % 10 == 6)).alias("compass"), ((F.max("t") - F.min("t")) / 1e6).alias("dur"),
+    )
+
+
+@query(f"WITH {REC}, {AGG} SELECT file, CASE WHEN fixes>5 AND nsats>4 THEN 'flight' WHEN baro_n>1 AND baro_range>5 THEN 'flight' WHEN baro_n>1 AND baro_range<=2 AND (statuses=0 OR top<=1) THEN 'ground' WHEN flying>0 THEN 'flight' WHEN modes>0 AND ground=modes THEN 'ground' WHEN statuses>0 AND top<=1 THEN 'ground' ELSE 'unknown' END session_type FROM ag")
+def session_cascade(spark, sf_dir):
+    c = F.col
+    kind = telemetry.session_class(c("fixes"), c("nsats"), c("statuses"), c("top"), c("baro_n"), c("baro_range"), c("modes"), c("flying"), c("ground"))
+    return _file_aggregates(spark, sf_dir).select("file", kind.alias("session_type"))
+
+
+@query(f"WITH {REC}, {AGG} SELECT file, CASE WHEN dur<5 THEN 'exclude' WHEN errs>0 OR compass>0 THEN 'contains_deviations' WHEN modes=0 OR dur<30 THEN 'review' ELSE 'clean_baseline' END verdict, CASE WHEN dur<5 THEN 'duration_too_short' WHEN errs>0 OR compass>0 THEN concat_ws(';', CASE WHEN errs>0 THEN 'err_count=' || errs END, CASE WHEN compass>0 THEN 'compass_warnings=' || compass END) ELSE concat_ws(';', CASE WHEN modes=0 THEN 'no_parm_records' END, CASE WHEN dur<30 THEN 'short_duration' END) END reasons FROM ag")
+def usability_verdict(spark, sf_dir):
+    verdict, reasons = telemetry.usability(F.col("dur"), F.col("modes"), {"err_count": F.col("errs"), "compass_warnings": F.col("compass")})
+    return _file_aggregates(spark, sf_dir).select("file", verdict.alias("verdict"), F.array_join(reasons, ";").alias("reasons"))
+
+
+FINDINGS = f"""{JUMPS}, {SHIFTS}, {NEAR}, en AS (SELECT file, count(*)>=5 ok FROM gps GROUP BY file),
+ fx AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) rk FROM nr WHERE status>=3), okk AS (SELECT * FROM fx WHERE gap<=2000000), o AS (SELECT file, avg(alt-balt) off FROM okk WHERE rk<=5 GROUP BY file), dv AS (SELECT okk.file, max(abs(alt-(balt+off))) d FROM okk JOIN o USING (file) GROUP BY okk.file),
+ ek AS (SELECT file, max(sqrt(ivn*ivn+ive*ive)) m FROM ekf GROUP BY file),
+ fd AS (SELECT en.file, 'position_jump' "check", CASE WHEN NOT ok THEN 'UNKNOWN' WHEN alerts>0 THEN 'ALERT' WHEN jumps>0 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict, 0.40::double w FROM en JOIN jp USING (file)
+  UNION ALL SELECT en.file, 'gps_quality', CASE WHEN NOT ok THEN 'UNKNOWN' ELSE verdict END, 0.20 FROM en JOIN qv USING (file)
+  UNION ALL SELECT en.file, 'alt_divergence', CASE WHEN NOT ok OR d IS NULL THEN 'UNKNOWN' WHEN d>=20 THEN 'ALERT' WHEN d>=10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 0.25 FROM en LEFT JOIN dv USING (file)
+  UNION ALL SELECT en.file, 'ekf_innovation', CASE WHEN NOT ok OR m IS NULL THEN 'UNKNOWN' WHEN m>10 THEN 'ALERT' WHEN m>5 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 0.15 FROM en LEFT JOIN ek USING (file)),
+ sc AS (SELECT *, CASE verdict WHEN 'ALERT' THEN 2 WHEN 'SUSPICIOUS' THEN 1 WHEN 'CLEAN' THEN 0 END s FROM fd),
+ vd AS (SELECT file, CASE max(s) WHEN 2 THEN 'ALERT' WHEN 1 THEN 'SUSPICIOUS' WHEN 0 THEN 'CLEAN' ELSE 'UNKNOWN' END verdict, coalesce(least(least(sum(CASE WHEN s IS NOT NULL THEN w END),1)*(0.5+0.5*sum(w*s)/sum(CASE WHEN s IS NOT NULL THEN w END)),1),0) confidence FROM sc GROUP BY file)"""
+
+
+def _findings(spark, sf_dir):
+    return telemetry.spoof_findings(gps(spark, sf_dir), baro(spark, sf_dir), ekf(spark, sf_dir))
+
+
+@query(f"WITH {REC}, {GPS}, {EKF}, {FINDINGS} SELECT file, verdict, round(confidence,6) confidence FROM vd")
+def verdict_aggregate(spark, sf_dir):
+    return telemetry.weighted_verdict(_findings(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {REC}, {GPS}, {EKF}, {FINDINGS} SELECT \"check\", count(*) FILTER (WHERE verdict='CLEAN') \"CLEAN\", count(*) FILTER (WHERE verdict='SUSPICIOUS') \"SUSPICIOUS\", count(*) FILTER (WHERE verdict='ALERT') \"ALERT\", count(*) FILTER (WHERE verdict='UNKNOWN') \"UNKNOWN\" FROM fd GROUP BY ALL")
+def check_breakdown(spark, sf_dir):
+    findings = _findings(spark, sf_dir)
+    return telemetry.analysis_summary(findings, telemetry.weighted_verdict(findings))[1]
+
+
+@query(f"WITH {REC}, {GPS}, {EKF}, {FINDINGS} SELECT verdict, count(*) files, round(avg(CASE WHEN confidence>0 THEN confidence END),6) confidence FROM vd GROUP BY verdict")
+def analysis_summary(spark, sf_dir):
+    findings = _findings(spark, sf_dir)
+    return telemetry.analysis_summary(findings, telemetry.weighted_verdict(findings))[0].withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {REC}, {AGG}, s AS (SELECT CASE WHEN errs>0 OR compass>0 THEN 'contains_deviations' ELSE 'clean_baseline' END verdict, dur FROM ag) SELECT verdict, count(*) files, min(dur) lo, max(dur) hi, quantile_disc(dur,0.5 ORDER BY dur DESC) median FROM s GROUP BY verdict")
+def corpus_summary(spark, sf_dir):
+    files = _file_aggregates(spark, sf_dir).withColumn("verdict", F.when((F.col("errs") > 0) | (F.col("compass") > 0), "contains_deviations").otherwise("clean_baseline")).withColumn("one", F.lit(1))
+    middle = features.upper_median(files, ["verdict"], "dur", "one")
+    return files.groupBy("verdict").agg(F.count("*").alias("files"), F.min("dur").alias("lo"), F.max("dur").alias("hi")).join(middle, "verdict")
+
+
+@query("SELECT event_type name, count(*) n, round(100.0*count(*)/sum(count(*)) OVER ()::double,6) percent FROM events GROUP BY ALL")
+def type_counts_pct(spark, sf_dir):
+    counts = records(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("name", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))
+
+
+@query("SELECT event_type name, least(count(DISTINCT value),500) uniques, min(value) lo, max(value) hi, array_to_string(list(value ORDER BY event_id)[1:5], ';') samples FROM events GROUP BY ALL")
+def field_stats_capped(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = records(spark, sf_dir)
+    first = r.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("seq"))).where("i <= 5").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s"))
+    return r.groupBy("name").agg(F.least(F.countDistinct("value"), F.lit(500)).alias("uniques"), F.min("value").alias("lo"), F.max("value").alias("hi")).join(first.select("name", F.array_join(F.transform("s", lambda x: x["value"].cast("string")), ";").alias("samples")), "name")
+
+
+@query("SELECT event_type name, count(*) FILTER (WHERE user_id%3=0) f0, count(*) FILTER (WHERE user_id%3=1) f1, count(*) FILTER (WHERE user_id%3=2) f2 FROM events GROUP BY ALL")
+def type_matrix_pivot(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("f", F.concat(F.lit("f"), (F.col("file") % 3).cast("string")))
+    return r.groupBy("name").pivot("f", ["f0", "f1", "f2"]).count().na.fill(0)
+
+
+@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id%97=0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id%89=0) SELECT 'common' kind, user_id FROM a INTERSECT SELECT 'common', user_id FROM b UNION ALL (SELECT 'only_a', user_id FROM a EXCEPT SELECT 'only_a', user_id FROM b) UNION ALL (SELECT 'only_b', user_id FROM b EXCEPT SELECT 'only_b', user_id FROM a)")
+def set_compare(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    a, b = (e.where(F.col("event_id") % n == 0).select("user_id").distinct() for n in (97, 89))
+    named = lambda k, d: d.select(F.lit(k).alias("kind"), "user_id")
+    return named("common", a.intersect(b)).unionByName(named("only_a", a.subtract(b))).unionByName(named("only_b", b.subtract(a)))
+
+
+@query(f"WITH {REC}, {EKF}, p AS (SELECT file, max(sqrt(ivn*ivn+ive*ive)) peak, file%5=0 attack FROM ekf GROUP BY file), c AS (SELECT i, 0.1+i*14.9/499.0::double threshold FROM range(500) r(i)) SELECT i, round(threshold,6) threshold, round(count(*) FILTER (WHERE attack AND peak>threshold)/(count(*) FILTER (WHERE attack))::double,6) tpr, round(count(*) FILTER (WHERE NOT attack AND peak>threshold)/(count(*) FILTER (WHERE NOT attack))::double,6) fpr FROM p, c GROUP BY i, threshold")
+def threshold_sweep(spark, sf_dir):
+    peaks = telemetry.innovation(ekf(spark, sf_dir)).select(F.col("max_mag").alias("peak"), (F.col("file") % 5 == 0).alias("attack"))
+    return telemetry.threshold_sweep(peaks).select(F.col("i").cast("long").alias("i"), *(F.round(c, 6).alias(c) for c in ("threshold", "tpr", "fpr")))
+
+
+@query("WITH b AS (SELECT min(value) lo, max(value) hi FROM events) SELECT least(floor((value-lo)/((hi-lo)/20)),19)::bigint bin, count(*) n FROM events, b GROUP BY ALL")
+def histogram20(spark, sf_dir):
+    r = records(spark, sf_dir)
+    bounds = r.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
+    bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)), F.lit(19))
+    return r.crossJoin(F.broadcast(bounds)).groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def file_semi(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
+def file_anti(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")

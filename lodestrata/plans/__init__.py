@@ -1 +1 @@
-"""plans"""
+"""Whole analyses put together from operators."""
