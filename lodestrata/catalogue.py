@@ -350,7 +350,7 @@ FINDINGS = f"""{JUMPS}, {SHIFTS}, {NEAR}, en AS (SELECT file, count(*)>=5 ok FRO
   UNION ALL SELECT en.file, 'alt_divergence', CASE WHEN NOT ok OR d IS NULL THEN 'UNKNOWN' WHEN d>=20 THEN 'ALERT' WHEN d>=10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 0.25 FROM en LEFT JOIN dv USING (file)
   UNION ALL SELECT en.file, 'ekf_innovation', CASE WHEN NOT ok OR m IS NULL THEN 'UNKNOWN' WHEN m>10 THEN 'ALERT' WHEN m>5 THEN 'SUSPICIOUS' ELSE 'CLEAN' END, 0.15 FROM en LEFT JOIN ek USING (file)),
  sc AS (SELECT *, CASE verdict WHEN 'ALERT' THEN 2 WHEN 'SUSPICIOUS' THEN 1 WHEN 'CLEAN' THEN 0 END s FROM fd),
- vd AS (SELECT file, CASE max(s) WHEN 2 THEN 'ALERT' WHEN 1 THEN 'SUSPICIOUS' WHEN 0 THEN 'CLEAN' ELSE 'UNKNOWN' END verdict, coalesce(least(least(sum(CASE WHEN s IS NOT NULL THEN w END),1)*(0.5+0.5*sum(w*s)/sum(CASE WHEN s IS NOT NULL THEN w END)),1),0) confidence FROM sc GROUP BY file)"""
+ vd AS (SELECT file, CASE max(s) WHEN 2 THEN 'ALERT' WHEN 1 THEN 'SUSPICIOUS' WHEN 0 THEN 'CLEAN' ELSE 'UNKNOWN' END verdict, CASE WHEN max(s) IS NULL THEN 0 ELSE least(least(sum(CASE WHEN s IS NOT NULL THEN w END),1)*(0.5+0.5*sum(w*s)/sum(CASE WHEN s IS NOT NULL THEN w END)),1) END confidence FROM sc GROUP BY file)"""
 
 
 def _findings(spark, sf_dir):

@@ -25,7 +25,8 @@ def share(samples: Column, test) -> Column:
 def type_hint(samples: Column) -> Column:
     """ipv4, ipv6, mac, hash_md5, hash_sha1, hash_sha256, uuid, url, fqdn or null; the first whose share is over its bound."""
     like = lambda pattern: share(samples, lambda x: x.rlike(pattern))
-    lengths = {name: F.size(F.filter(samples, lambda x, n=n: x.rlike(HEX) & (F.length(x) == n))) for name, n in (("hash_md5", 32), ("hash_sha1", 40), ("hash_sha256", 64))}
+    digits = lambda n: F.size(F.filter(samples, lambda x: x.rlike(HEX) & (F.length(x) == n)))
+    lengths = {"hash_md5": digits(32), "hash_sha1": digits(40), "hash_sha256": digits(64)}
     most = F.greatest(*lengths.values())
     digest = F.when(lengths["hash_md5"] == most, "hash_md5").when(lengths["hash_sha1"] == most, "hash_sha1").otherwise("hash_sha256")
     return (

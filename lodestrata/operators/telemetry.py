@@ -166,7 +166,7 @@ def weighted_verdict(findings: DataFrame) -> DataFrame:
     score = F.when(F.col("verdict") == "ALERT", 2).when(F.col("verdict") == "SUSPICIOUS", 1).when(F.col("verdict") == "CLEAN", 0)
     f = findings.withColumn("score", score).withColumn("w", F.when(F.col("score").isNotNull(), weight[F.col("check")]))
     out = f.groupBy("file").agg(F.max("score").alias("worst"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("score")).alias("ws"))
-    confidence = F.least(F.least("w", F.lit(1.0)) * (0.5 + 0.5 * F.col("ws") / F.col("w")), F.lit(1.0))
+    confidence = F.when(F.col("w").isNotNull(), F.least(F.least("w", F.lit(1.0)) * (0.5 + 0.5 * F.col("ws") / F.col("w")), F.lit(1.0)))
     verdict = F.when(F.col("worst") == 2, "ALERT").when(F.col("worst") == 1, "SUSPICIOUS").when(F.col("worst") == 0, "CLEAN").otherwise("UNKNOWN")
     return out.select("file", verdict.alias("verdict"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"))
 

@@ -1 +1 @@
-"""streaming"""
+"""Streaming forms of the profile and telemetry operators."""
