@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.where("b > a").join(least, "a").selectExpr("m as a", "b").where("a <> b").distinct()
+        return both.where("b > a").join(least, "a").selectExpr("m as a", "b").where("a <> b")
     down = edges.selectExpr("b as a", "a as b")  # a > b
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     joined = down.join(least, "a")

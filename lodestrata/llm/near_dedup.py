@@ -9,21 +9,23 @@ counts of larger, smaller and equal registers give a joint likelihood of the sim
 prunes candidates before the sets themselves are compared.
 
 Sets that are equal are one class, represented by its least id, before anything is compared.  In a
-bucket of a band, members are only compared with one centre; what that leaves apart is compared
-with other centres in further rounds, and when few pairs of members in different components are
-left, with each other.  No pair that shares a bucket and passes the size bound is left out, unless
-its members are in one component already.
+bucket of a band, members are compared with one centre, in a few rounds with different centres.  The
+members of buckets that are still in several components then go through an exact join on the rare
+ends of their sets, so no pair that shares a bucket is left out, unless its members are in one
+component already, and no bucket is ever expanded into its pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import stored
 from .components import components
 from .shingles import GOLDEN, mixed, shingle_set
 
@@ -132,52 +134,99 @@ def banded(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
 
 
-def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose estimated similarity is not far below the bound."""
+def compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of ids that are linked.
+
+    full: id, n, registers, elements (the sorted set). Pairs whose likeliest similarity is far below the
+    bound go by their registers; all others by 100 * intersection >= percent * union of the sets.
+    """
     bound = percent / 100
     least = bound - DEVIATIONS * np.sqrt(bound * (1 - bound) / M)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-                near = estimates(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= least
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
-
-    a, b = reps.selectExpr("id as a", "n as na", "registers as ra"), reps.selectExpr("id as b", "n as nb", "registers as rb")
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
+            near = estimates(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= least
+            ea, eb = batch.column("ea"), batch.column("eb")
+            for i in np.flatnonzero(near):
+                u, v = np.frombuffer(ea[i].as_py(), np.uint64), np.frombuffer(eb[i].as_py(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                near[i] = 100 * both >= percent * (len(u) + len(v) - both)
+            near = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+
+    a, b = (full.selectExpr(f"id as {i}", f"n as n{i}", f"registers as r{i}", f"elements as e{i}") for i in "ab")
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of ids whose full shingle sets have 100 * intersection >= percent * union."""
+def hooked(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label (id, component) after links: components hang on the least one linked to them, and on what that hangs on.
 
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(x, k).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["id", "elements"])
+    Cheaper than full components, and as good for telling what is joined already: what it leaves apart is
+    only compared once more.
+    """
+    if label is not None:
+        links = links.join(label.selectExpr("id as a", "component as ca"), "a", "left").join(label.selectExpr("id as b", "component as cb"), "b", "left")
+        links = links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = links.where("a <> b").groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("component"))
+    for _ in range(2):
+        next_ = up.selectExpr("id as component", "component as higher")
+        up = up.join(next_, "component", "left").select("id", F.coalesce("higher", "component").alias("component"))
+    if label is None:
+        return stored(up, "labels")
+    moved = label.join(up.selectExpr("id as component", "component as higher"), "component", "left").select("id", F.coalesce("higher", "component").alias("component"))
+    return stored(moved.unionByName(up.join(label.select("id"), "id", "left_anti")), "labels")
+
+
+def shared_prefixes(open_: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open_ (id, component) in different components that may be linked, none of the linked ones left out.
+
+    Elements are put in order of the number of sets that hold them. Of two linked sets, the first elements
+    of the larger one, all but as many as the overlap must have, meet those of the smaller one, which
+    needs fewer still; what is behind the place where they meet bounds the overlap. In the sets of an
+    element, all pairs are of one in the commonest component and one outside it, or both outside.
+    """
+    t = percent / 100
+    sets = full.select("id", "n", "elements").join(open_, "id")
 
-    def compared(batches):
+    def exploded(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    ids = pairs.selectExpr("a as id").unionByName(pairs.selectExpr("b as id")).distinct()
-    full = docs.selectExpr("cast(doc_id as bigint) id", "text").where("id is not null").join(ids, "id").dropDuplicates(["id"]).mapInArrow(sets, "id long, elements binary")
-    full = stored(full, "sets")
-    return pairs.join(full.selectExpr("id as a", "elements as sa"), "a").join(full.selectExpr("id as b", "elements as sb"), "b").mapInArrow(compared, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, few: float = 4.0) -> DataFrame:
+            for i in range(batch.num_rows):
+                e = np.frombuffer(batch.column("elements")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e), *(pa.array(np.full(len(e), batch.column(c)[i].as_py())) for c in ("id", "n", "component"))], ["element", "id", "n", "component"])
+
+    rows = stored(sets.select("id", "n", "component", "elements").mapInArrow(exploded, "element long, id long, n long, component long"), "elements")
+    often = rows.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    # the elements of one set alone come first, and meet none
+    ranked = rows.join(often, "element").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
+    place = ranked.select("id", "n", "component", (F.col("n") - F.size("e")).alias("own"), F.posexplode("e").alias("i", "x"))
+    place = place.select("id", "n", "component", F.col("x.element").alias("element"), (F.col("own") + F.col("i")).alias("at"))
+    probe = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9) + 1
+    index = F.col("n") - F.ceil(F.col("n") * F.lit(2 * t / (1 + t)) - 1e-9) + 1
+    place = stored(place.where(F.col("at") < probe).withColumn("short", F.col("at") < index), "prefixes")
+    parts = place.groupBy("element", "component").agg(F.count("*").alias("c"))
+    common = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("element", F.col("top.component").alias("top"))
+    place = place.join(common, "element").withColumn("out", F.col("component") != F.col("top"))
+    x, y = (place.selectExpr("element", f"id as {i}", f"n as n{i}", f"component as c{i}", f"at as p{i}", f"short as s{i}", f"out as o{i}") for i in "ab")
+    fits = f"ca <> cb and (na < nb or na = nb and a < b) and sa and 100 * na >= {percent} * nb and least(na - pa, nb - pb) * {100 + percent} >= {percent} * (na + nb)"
+    outside = x.where("oa and sa").join(y, "element").where(fits)
+    inside = x.where("not oa and sa").join(y.where("ob"), "element").where(fits)
+    return outside.select("a", "b").unionByName(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Rounds in which the members of a bucket are compared with one centre.
+ROUNDS = 3
+
+
+def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked when their sets of k-word shingles have 100 * intersection >= percent * union
     (at least 1).  Null and empty texts and texts without words have no shingles, and are their own
     component.  doc_id is unique and not null for links; rows with a null one are their own component
-    (null, not kept).  `few`: pairs that rounds of centres may leave, for each member of a bucket, to be
-    compared one by one.
+    (null, not kept).
     """
     table = stored(sketched(docs, k), "sketches")
     reps = table.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r"))
@@ -185,36 +234,35 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, few: float =
     bands = banded(reps)
     shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = stored(bands.join(shared, "key"), "buckets")
-    links, label = None, None
-    for round_ in range(8):
-        labelled = members if label is None else members.join(label, "id", "left")
-        labelled = labelled.select("key", "id", "n", F.coalesce("component", "id").alias("component") if label is not None else F.col("id").alias("component"))
-        # buckets whose members are in several components; the size bound is met by neighbours in size at least
-        open_ = labelled.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("s2")).where("parts > 1")
-        labelled = stored(labelled.join(open_.select("key"), "key"), "open")
-        todo = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("s2")) / 2).alias("pairs"), F.sum("s").alias("members")).first()
-        if not todo["members"]:
-            break
-        last = round_ == 7 or (round_ and todo["pairs"] <= few * todo["members"])
-        if last:
-            x, y = (labelled.selectExpr("key", f"id as {i}", f"n as n{i}", f"component as c{i}") for i in "ab")
-            pairs = x.join(y, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(x, k).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["id", "elements"])
+
+    candidates = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers")
+    texts = docs.selectExpr("cast(doc_id as bigint) id", "text").join(candidates.select("id"), "id", "left_semi")
+    full = stored(candidates.join(texts.mapInArrow(sets, "id long, elements binary"), "id"), "sets")
+
+    links, label, open_ = [], None, members.withColumn("component", F.col("id"))
+    for round_ in range(ROUNDS + 1):
+        if label is not None:
+            open_ = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+            open_ = stored(open_.join(several, "key"), "open")
+        if round_ == ROUNDS:
+            pairs = shared_prefixes(open_.select("id", "component").distinct(), full, percent)
         else:
-            order = F.struct(F.xxhash64("id", F.lit(round_)) if round_ else F.lit(0), F.col("id"))
-            centre = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "component")).alias("m")).selectExpr("key", "m.id as a", "m.n as na", "m.component as ca")
-            pairs = labelled.join(centre, "key").where(f"id <> a and component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)").groupBy("id", "component").agg(F.min("a").alias("a")) if not round_ else labelled.join(centre, "key").where(f"component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)")
-            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        found = stored(verified(stored(likely(pairs, reps, percent), "likely"), docs, k, percent), "links")
-        links = found if links is None else stored(links.unionByName(found).distinct(), "links")
-        label = components(links)
-        dropped(labelled)
-        if last:
-            break
+            order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
+            centre = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("component"))).alias("m")).selectExpr("key", "m.id as a", "m.n as na", "m.component as ca")
+            pairs = open_.join(centre, "key").where(f"component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)")
+            pairs = pairs.groupBy("id").agg(F.min("a").alias("a")) if not round_ else pairs.select("id", "a").distinct()
+            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        links.append(stored(compared(pairs, full, percent), "links"))
+        if round_ < ROUNDS:
+            label = hooked(label, links[-1])
+    label = components(reduce(DataFrame.unionByName, links))
     out = table.join(reps.select("digest", F.col("id").alias("class")), "digest", "left")
-    if label is not None:
-        out = out.join(label.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    else:
-        out = out.withColumn("component", F.col("class"))
+    out = out.join(label.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
