@@ -26,9 +26,9 @@ from .common import Memo
 #: Most labelled rows that are learnt from; most words and beginnings with a weight of their own; grades above 0.
 SAMPLE, FEATURES, GRADES = 20_000, 2_000, 3
 #: Documents that a word is in at least; steps of the fit; weight of the squared norm.
-LEAST, STEPS, RIDGE = 5, 400, 1e-4
-#: Likelihood ratio statistic of a word with the label for a weight and for marking a toxic text (chance 1 in 10 million).
-WEIGHED, MARKED = 28.0, 28.0
+LEAST, STEPS, RIDGE = 3, 400, 1e-4
+#: Likelihood ratio statistic of a word with the label for a weight (chance 1 in 2,000) and for marking a toxic text (1 in 10 million).
+WEIGHED, MARKED = 12.0, 28.0
 
 #: Chance of a grade above 0 from which a text is taken for toxic.
 CUT = 0.4
