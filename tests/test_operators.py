@@ -154,3 +154,47 @@ def test_profile_is_whole(spark):
     p = profile.source_profile(leaves, 60, "src", 4).first()
     assert p.revision == 5 and len(p.fingerprint) == 16 and {f.path: f.role for f in p.fields} == {"ip": "entity", "level": "metric"}
     assert math.isclose(p.fields[0].profile_cardinality, 19 / 60)
+
+
+def test_corpus_of_logs(spark, tmp_path):
+    from lodestrata.plans import corpus
+
+    types = [(1, "GPS", "QBBcLLe", "TimeUS,Status,NSats,HDop,Lat,Lng,Alt"), (2, "BARO", "Qf", "TimeUS,Alt"), (3, "ERR", "QBB", "TimeUS,Subsys,ECode"), (4, "PARM", "QNf", "TimeUS,Name,Value"), (5, "MODE", "QM", "TimeUS,Mode")]
+    point = lambda i, status: (1, (1_000_000 * (i + 1), status, 9, 120, -353632610, 1491652300, 58400))
+    logs = {
+        "fly.BIN": [point(i, 3) for i in range(40)] + [(2, (1_000_000 * i + 1, 1.0 + i)) for i in range(40)] + [(4, (1, b"GPS_TYPE", 1.0))],
+        "err.BIN": [point(i, (3, 1)[i % 2]) for i in range(10)] + [(3, (9, 6, 1)), (3, (9, 10, 2))],
+        "short.BIN": [point(0, 0), point(1, 0)],
+    }
+    for name, records in logs.items():
+        (tmp_path / name).write_bytes(dataflash.written(types, records))
+    (tmp_path / "none.BIN").write_bytes(b"nothing here")
+    rows = dataflash.read(spark, str(tmp_path))
+    files = corpus.inventory(rows)
+    got = {r.file: (r.session_type, r.verdict, r.reasons) for r in files.collect()}
+    assert got["fly.BIN"] == ("flight", "clean_baseline", []) and got["short.BIN"] == ("ground", "exclude", ["duration_too_short"])
+    assert got["err.BIN"][1:] == ("contains_deviations", ["err_count=2", "gps_glitches=4", "compass_warnings=1", "arming_failures=1"]) and got["none.BIN"][1:] == ("exclude", ["no_schema"])
+    present = spark.createDataFrame([("fly.BIN",)], "file string")
+    assert [r.file for r in corpus.selected(files, present, names=["fly.BIN", "err.BIN"]).collect()] == ["fly.BIN"]
+    assert corpus.summary(files).first().files == 3
+    results = corpus.analysis(rows)
+    assert {r.file: r.verdict for r in results.collect()}["fly.BIN"] == "ALERT"  # the barometer climbs, the position doesn't
+    assert corpus.report(results).count() == 3
+
+
+def test_checks(spark, tmp_path):
+    from lodestrata.operators import checks
+
+    predicted = spark.createDataFrame([("a.b.c", "entity", 0.9), ("a.x", "enum", 0.5), ("z", "text", 0.55)], "path string, role string, confidence double")
+    known = spark.createDataFrame([("a.b", "entity", 1), ("a", "metric", 2), ("q", "text", 0)], "pattern string, role string, rank int")
+    got = checks.against_known(predicted, known)
+    assert {r.path: (r.expected, r.correct) for r in got.collect()} == {"a.b.c": ("entity", True), "a.x": ("metric", False), "z": (None, None)}
+    a = checks.accuracy(got).first()
+    assert (a.checked, a.correct, a.by_classifier, a.flagged, a.percent) == (2, 1, 2, 2, 50)
+    examples = learning.bootstrap(spark, 4)
+    assert len(examples.select(checks.vector_id("label", "path", "feature_vector").alias("i")).distinct().collect()) == 20
+    model = learning.train(examples, 5)
+    checks.save(model, str(tmp_path / "m"))
+    again = checks.load(str(tmp_path / "m"))
+    view = lambda m: sorted((r.path, r.label) for r in learning.predict(m, examples.select("path", "feature_vector")).collect())
+    assert view(model) == view(again)
