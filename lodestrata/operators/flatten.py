@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,19 +66,13 @@ def field_counts(leaves: DataFrame, events: DataFrame, seq: str) -> DataFrame:
 
     Events before that one are not counted as nulls, later ones without the path are.
     """
-    # ranks of events come from their order; leaves of one event share its rank
-    ranked = events.select(F.col(seq).alias("seq")).withColumn("one", F.lit(1))
-    total = ranked.agg(F.count("*").alias("n"))
-    first = leaves.groupBy("path").agg(F.min("seq").alias("first"), F.count("*").alias("present"), F.count("value").alias("filled"), F.countDistinct("value").alias("unique_count"))
-    # paths are few: how many events come before each distinct first sighting
-    marks = first.select(F.col("first").alias("seq")).distinct()
-    before = ranked.unionByName(marks.withColumn("one", F.lit(0)))
-    starts = before.groupBy("seq").agg(F.sum("one").alias("one"))
-    span = 1 << 12
-    blocks = starts.groupBy(F.floor(F.col("seq") / span).alias("block")).agg(F.sum("one").alias("n"))
-    earlier = blocks.withColumn("before", F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = starts.withColumn("block", F.floor(F.col("seq") / span)).withColumn("inner", F.sum("one").over(Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = inside.join(marks, "seq").join(earlier.select("block", "before"), "block").select("seq", (F.coalesce("before", F.lit(0)) + F.coalesce("inner", F.lit(0))).alias("rank"))
-    out = first.join(rank, first["first"] == rank["seq"]).crossJoin(F.broadcast(total))  # total: one row
-    counted = F.col("n") - F.col("rank")
-    return out.select("path", counted.alias("sample_count"), (counted - F.col("filled")).alias("null_count"), "unique_count")
+    first = leaves.groupBy("path").agg(F.min("seq").alias("first"), F.count("*").alias("present"), F.count("value").alias("filled"), F.countDistinct("value").alias("unique_count")).persist()
+    # few: at most one for each path of the schema
+    marks = sorted(r["first"] for r in first.select("first").distinct().collect())
+    passed = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(seq))) if marks else F.lit(0)
+    counts = {r["k"]: r["n"] for r in events.groupBy(passed.alias("k")).agg(F.count("*").alias("n")).collect()}
+    # events with i marks passed at most come before mark i
+    later = [(m, sum(n for k, n in counts.items() if k > i)) for i, m in enumerate(marks)]
+    rank = events.sparkSession.createDataFrame(later, "first long, n long")
+    out = first.join(F.broadcast(rank), "first")
+    return out.select("path", F.col("n").alias("sample_count"), (F.col("n") - F.col("filled")).alias("null_count"), "unique_count")
