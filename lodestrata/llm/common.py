@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +48,27 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.of(key)
         return value
+
+
+class Rows(dict):
+    """Rows of numbers of a function for the keys seen so far in this Python worker, and their sums over lists of keys; emptied when `most` are held."""
+
+    def __init__(self, of, width: int, most: int = 400_000):
+        super().__init__()
+        self.of, self.most, self.table = of, most, np.zeros((most, width))
+
+    def __missing__(self, key):
+        row = self.of(key)
+        at = self[key] = len(self)
+        self.table[at] = row
+        return at
+
+    def sum(self, keys: list) -> np.ndarray:
+        total = np.zeros(self.table.shape[1])
+        step = self.most // 4
+        for start in range(0, len(keys), step):
+            part = keys[start : start + step]
+            if len(self) + len(part) > self.most:
+                self.clear()
+            total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        return total

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Rows
 
 #: Bytes of context; most documents of a language from which its tree is made.
 ORDER, SAMPLE = 4, 500
@@ -41,41 +42,48 @@ class Trees:
     def __init__(self, rows):
         """rows: (lang, context, byte, n)"""
         self.langs = sorted({row[0] for row in rows})
-        self.trees: list[dict[bytes, dict[int, int]]] = [{} for _ in self.langs]
+        self.trees: list[dict[bytes, list]] = [{} for _ in self.langs]
         number = {lang: i for i, lang in enumerate(self.langs)}
         for lang, context, byte, n in rows:
-            self.trees[number[lang]].setdefault(bytes(context), {})[byte] = n
-        self.bytes = Memo(lambda key: np.array([self.bits(tree, key[:-1], key[-1]) for tree in self.trees]), 300_000)
-        self.words = Memo(self._word, 400_000)
+            node = self.trees[number[lang]].setdefault(bytes(context), [0, {}])
+            node[0] += n
+            node[1][byte] = n
+        self.bytes = Rows(lambda key: [self.bits(tree, key[:-1], key[-1]) for tree in self.trees], len(self.langs), 600_000)
+        self.words = Rows(self._word, len(self.langs), 500_000)
 
     @staticmethod
     def bits(tree: dict, context: bytes, byte: int) -> float:
         """Bits of a byte after a context."""
-        total, seen = 0.0, set()
+        total, seen = 0.0, None
         for start in range(len(context) + 1):
             node = tree.get(context[start:])
-            if not node:
+            if node is None:
                 continue
-            open_ = {b: n for b, n in node.items() if b not in seen} if seen else node
-            if not open_:
-                continue
-            size = sum(open_.values()) + len(open_)
-            if byte in open_:
-                return total + np.log2(size) - np.log2(open_[byte])
-            total += np.log2(size) - np.log2(len(open_))
-            seen |= open_.keys()
-        return total + np.log2(256 - len(seen))
+            count, counts = node
+            distinct = len(counts)
+            if seen:
+                rest = [n for b, n in counts.items() if b not in seen]
+                count, distinct = sum(rest), len(rest)
+                if not distinct:
+                    continue
+            n = counts.get(byte)
+            if n:
+                return total + log2((count + distinct) / n)
+            total += log2((count + distinct) / distinct)
+            seen = seen | counts.keys() if seen else counts.keys()
+        return total + log2(256 - len(seen or ()))
 
     def _word(self, word: bytes) -> np.ndarray:
         data = b" " + word + b" "
-        return np.sum([self.bytes[data[max(0, at - ORDER) : at + 1]] for at in range(1, len(data))], axis=0)
+        short = range(1, min(ORDER, len(data)))
+        return self.bytes.sum([data[: at + 1] for at in short] + [data[at : at + ORDER + 1] for at in range(len(data) - ORDER)])
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and the posterior probability of it, languages being equally likely before."""
         words = text.lower().encode().split()
         if not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
-        lengths = np.sum(list(map(self.words.__getitem__, words)), axis=0)
+        lengths = self.words.sum(words)
         best = int(lengths.argmin())
         return self.langs[best], float(1 / np.exp2(np.minimum(lengths[best] - lengths, 0)).sum())
 
