@@ -225,6 +225,22 @@ def test_quality_keeps_clean(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_bands_hold_lone_and_clustered_junk(spark):
+    """A lone very long junk text, a pair of them and a source of them at one end of the lengths don't make bands of their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(4000)]
+    junk = [(10**6 + i, " ".join(rng.choice(vocabulary, n)), "en") for i, n in enumerate([60_000, 12_000, 12_500] + [int(x) for x in rng.integers(3000, 3900, 12)])]
+    alone = [(3 * 10**6, junk[3][1], "xx")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs.unionByName(spark.createDataFrame(junk + alone, docs.schema)), PIECES).where("doc_id >= 1000000").collect()}
+    assert len(got) == 16 and not any(got[i].base_failed for i, *_ in junk)
+    assert not any(got[i].kept for i, *_ in junk + alone)
+
+
+def test_script():
+    assert [quality_rules.script(x) for x in ("", "abc", "né à", "Ж и ю 12", "日本の語", "é–—")] == [0, 0, 0, 2, 9, 0]
+
+
 def test_fingerprints(small, odd, empty):
     for docs in (small, odd):
         rows = sorted(((r.doc_id if r.doc_id is not None else -(2**63), r.text or "") for r in docs.collect()))
