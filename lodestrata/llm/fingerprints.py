@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .shingles import GOLDEN, mixed, word_hashes
 
 BITS = 128
+#: Radius of the search, blocks of its tables; rows whose doc_id is a multiple of EVERY are looked for.
+RADIUS, BLOCKS, EVERY = 3, 6, 20
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -49,11 +52,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fingerprint binary")
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(doc_id, other_id, distance) for every query row and every other row at most `radius` bits away.
+def class_pairs(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(asked, fingerprint, distance): each fingerprint of queries and every one of prints at most `radius` bits away, itself too.
 
-    prints, queries: doc_id and fingerprint. Rows with equal fingerprints are one class while tables are
-    searched, so that many copies meet no more often than one; their ids are joined afterwards.
+    Rows with equal fingerprints are one class, so that many copies meet no more often than one.
     """
     tables = list(combinations(range(blocks), blocks - radius))
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -80,11 +82,30 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks
             keep = pa.array(distance <= radius)
             yield pa.RecordBatch.from_arrays([batch.column("asked").filter(keep), batch.column("fingerprint").filter(keep), pa.array(distance).filter(keep)], ["asked", "fingerprint", "distance"])
 
-    pairs = asked.join(rows, "key").select("asked", "fingerprint").distinct().mapInArrow(near, "asked binary, fingerprint binary, distance int")
-    found = queries.select("doc_id", F.col("fingerprint").alias("asked")).join(pairs, "asked")
+    return asked.join(rows, "key").select("asked", "fingerprint").distinct().mapInArrow(near, "asked binary, fingerprint binary, distance int")
+
+
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, other_id, distance) for every query row and every other row at most `radius` bits away.
+
+    prints, queries: doc_id and fingerprint. As many rows as there are pairs: `neighbours` counts them without.
+    """
+    found = queries.select("doc_id", F.col("fingerprint").alias("asked")).join(class_pairs(prints, queries, radius, blocks), "asked")
     return found.join(prints.select(F.col("doc_id").alias("other_id"), "fingerprint"), "fingerprint").where("doc_id <> other_id").select("doc_id", "other_id", "distance")
 
 
+def neighbours(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """fingerprint, n_near, nearest for each fingerprint of queries, whose rows are rows of prints.
+
+    n_near: other rows at most `radius` bits away, copies included; nearest: the least of their distances,
+    null if there are none. Copies are counted by class and not expanded.
+    """
+    counts = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    others = F.col("n") - F.when(F.col("distance") == 0, 1).otherwise(0)
+    found = class_pairs(prints, queries, radius, blocks).join(counts, "fingerprint").withColumn("others", others)
+    return found.groupBy(F.col("asked").alias("fingerprint")).agg(F.sum("others").alias("n_near"), F.min(F.when(F.col("others") > 0, F.col("distance"))).alias("nearest"))
+
+
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow of `run` over ranges of doc_id in rising order, each followed by the row that comes next.
 
@@ -157,5 +178,15 @@ OUT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def searched(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every: int = EVERY) -> DataFrame:
+    """edit_likeness of docs, with n_near and nearest (see neighbours) of rows with doc_id % every = 0 among all rows; null for the others."""
+    rows = stored(edit_likeness(docs), "likeness")
+    prints = rows.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = neighbours(prints, prints.where(asked), radius, blocks).withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+    rest = rows.where(~asked).withColumn("n_near", F.lit(None).cast("long")).withColumn("nearest", F.lit(None).cast("int"))
+    return rows.where(asked).join(found, "fingerprint", "left").select(*rest.columns).unionByName(rest)
+
+
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return edit_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return searched(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -263,6 +263,21 @@ def test_block_tables_find_all(spark, small):
         assert {tuple(r) for r in fingerprints.within_radius(prints, prints.where("doc_id % 20 = 0"), radius, blocks).collect()} == want
 
 
+def test_op9_searches(spark, small, odd, empty):
+    """Query rows get the number and least distance of all other rows in the radius, copies and blank texts counted."""
+    copied = small.select("doc_id", "text").unionByName(small.selectExpr("doc_id + 100001 as doc_id", "if(doc_id % 3 = 0, '', text) as text"))
+    for docs, radius, blocks in ((copied, 3, 6), (copied, 10, 12), (odd.select("doc_id", "text"), 3, 6)):
+        rows = [(r.doc_id, fingerprints.fingerprint(r.text)) for r in docs.collect()]
+        want = []
+        for i, (a, x) in enumerate(rows):
+            near = [d for j, (_, y) in enumerate(rows) if i != j and (d := int(np.bitwise_count(x ^ y).sum())) <= radius] if a is not None and a % 4 == 0 else None
+            want.append((a or -1, *((None, None) if near is None else (len(near), min(near, default=None)))))
+        got = fingerprints.searched(docs, radius, blocks, 4).collect()
+        assert sorted(map(str, ((r.doc_id or -1, r.n_near, r.nearest) for r in got))) == sorted(map(str, want))
+    assert fingerprints.searched(empty).count() == 0
+    assert {"n_near", "nearest"} <= set(fingerprints.op9_fingerprints(spark, "/root/testdata/sf0.001").columns)
+
+
 def test_shingles():
     assert len(shingles.shingle_set("a b a b a", 2)) == 2 and len(shingles.shingle_set("A", 2)) == 1 and len(shingles.shingle_set(None, 2)) == 0
     assert (shingles.shingle_set("One Two", 2) == shingles.shingle_set("one two", 2)).all()
