@@ -21,16 +21,28 @@ from lodestrata.llm.toxicity import not_toxic
 SHINGLE, SIMILARITY = 5, 80
 
 
-def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null for one) is that of a row of kept; rows that share one go together."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """docs with a number of each row in _row, written once; ordered: numbers rise with doc_id (null last), then with a hash of the text."""
+    if ordered:
+        docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """Rows of _keyed with their number for a doc_id, so that operators judge each row by its own text."""
+    return keyed.withColumn("doc_id", F.col("_row"))
+
+
+def _of(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keyed whose number is the doc_id of a row of kept."""
+    return keyed.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands of their language."""
-    rules = quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return _of(docs, rules.where("kept"))
+    """Rows that pass the base rules and the fertility bands of their language."""
+    keyed = _keyed(docs)
+    rules = quality_rules(_by_row(keyed), public_tokenizers.path("piece_bpe_32k.model"))
+    return _of(keyed, rules.where("kept")).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +51,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates, and rows without doc_id."""
-    return _of(docs, near_duplicates(docs, SHINGLE, SIMILARITY).where("kept or doc_id is null"))
+    """The first row of each group of near duplicates, in order of doc_id, null last; rows without words stay."""
+    keyed = _keyed(docs, ordered=True)
+    return _of(keyed, near_duplicates(_by_row(keyed), SHINGLE, SIMILARITY).where("kept")).select(*docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 words and more that an earlier one holds."""
-    return without_repeats(docs)
+    """All rows, without the passages of 50 words and more that an earlier one holds, in order of doc_id, null last."""
+    keyed = _keyed(docs, ordered=True)
+    cut = without_repeats(_by_row(keyed)).drop("doc_id")
+    return cut.join(keyed.select("_row", "doc_id"), "_row").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,27 @@ def test_odd_rows_pass(spark, odd, empty, tmp_path):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"{name}{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+
+
+def test_rows_are_judged_by_their_own_text(spark, small):
+    """Rows with a null or a shared doc_id aren't kept for another row's sake, lose their copies and passages like all others."""
+    prose = [r.text for r in small.where("lang = 'en' and n_chars between 1500 and 4000").orderBy("doc_id").limit(3).collect()]
+    columns = small.columns
+    odd = [(None, "", "en", "s", 0), (None, "one two", "en", "s", 7), (None, "for " * 300, "en", "s", 1200), (7_000_000, prose[0], "en", "s", 1), (7_000_000, "one", "en", "s", 3)]
+    rows = spark.createDataFrame(odd + [(None, prose[1], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").select(*columns)
+    got = corpus_pipeline.quality(spark, small.select(*columns).unionByName(rows), "")
+    texts = {r.text for r in got.where("doc_id is null or doc_id = 7000000").collect()}
+    assert texts == {prose[0], prose[1]} and got.columns == columns
+
+    words = [f"a{i} b{i * i}" for i in range(90)]
+    base, other = " ".join(words), " ".join(f"z{i} y{i}" for i in range(90))
+    many = [(None, base), (None, base + " end"), (5, base), (5, other), (None, other), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in many], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.deduplicated(spark, docs, "").collect()))
+    assert got == sorted([(5, base), (5, other), (0, ""), (0, "")])
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    many = [(None, f"{passage} u v"), (9, f"{passage} s t"), (9, f"k l {other}"), (3, f"a b {passage}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in many], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.without_passages(spark, docs, "").collect()))
+    assert got == sorted([(0, "u v"), (9, "s t"), (9, f"k l {other}"), (3, f"a b {passage}")])
