@@ -47,9 +47,9 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.longest = max(map(len, ranks), default=1)
-        self.apart = Memo(self._apart, 2_000_000)
-        self.split = Memo(self._split, 100_000)
-        self.begun = Memo(self.prefixes, 200_000)
+        self.apart = Memo(self._apart, 500_000)
+        self.split = lru_cache(100_000)(self._split)
+        self.begun = Memo(self.prefixes, 100_000)
 
     def _split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes."""
@@ -84,18 +84,18 @@ class Bpe:
             if joined is not None and joined < limit:
                 return False
             if left > right:
-                limit, parts = left, self.split[left]
+                limit, parts = left, self.split(left)
                 if parts is None:
-                    limit, parts = right, self.split[right]
+                    limit, parts = right, self.split(right)
                     if parts is None:
                         return True
                     right = parts[0]
                 else:
                     left = parts[1]
             else:
-                limit, parts = right + 1, self.split[right]
+                limit, parts = right + 1, self.split(right)
                 if parts is None:
-                    limit, parts = left, self.split[left]
+                    limit, parts = left, self.split(left)
                     if parts is None:
                         return True
                     left = parts[1]
@@ -147,7 +147,7 @@ def load(path: str) -> Bpe:
 @lru_cache(2)
 def memo(path: str) -> Memo:
     bpe = load(path)
-    return Memo(lambda word: tuple(bpe.ids(word.encode())), 600_000)
+    return Memo(lambda word: tuple(bpe.ids(word.encode())), 300_000)
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none (tests), a new local one is set."""
+    """The folder in spark.checkpoint.dir; where a session on one machine names none (tests), a new local one is set.
+
+    On a cluster without that setting it raises: executors don't share the folders of the driver's machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,14 +42,20 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Length from which a key isn't kept in a memo, so that memos are bounded in bytes too.
+LONG = 64
+
+
 class Memo(dict):
-    """A function's values for the keys seen so far in this Python worker; emptied when it holds `most`."""
+    """A function's values for the keys (texts, bytes or tuples) seen so far in this Python worker; emptied when it holds `most`, long keys are never held."""
 
-    def __init__(self, of, most: int = 400_000):
+    def __init__(self, of, most: int = 200_000):
         super().__init__()
         self.of, self.most = of, most
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.of(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.of(key)
@@ -53,7 +65,7 @@ class Memo(dict):
 class Rows(dict):
     """Rows of numbers of a function for the keys seen so far in this Python worker, and their sums over lists of keys; emptied when `most` are held."""
 
-    def __init__(self, of, width: int, most: int = 400_000):
+    def __init__(self, of, width: int, most: int = 200_000):
         super().__init__()
         self.of, self.most, self.table = of, most, np.zeros((most, width))
 
@@ -65,6 +77,9 @@ class Rows(dict):
 
     def sum(self, keys: list) -> np.ndarray:
         total = np.zeros(self.table.shape[1])
+        if max(map(len, keys), default=0) > LONG:
+            total += sum(np.asarray(self.of(key)) for key in keys if len(key) > LONG)
+            keys = [key for key in keys if len(key) <= LONG]
         step = self.most // 4
         for start in range(0, len(keys), step):
             part = keys[start : start + step]

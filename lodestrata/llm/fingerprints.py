@@ -22,6 +22,8 @@ from .shingles import GOLDEN, mixed, word_hashes
 BITS = 128
 #: Radius of the search, blocks of its tables; rows whose doc_id is a multiple of EVERY are looked for.
 RADIUS, BLOCKS, EVERY = 3, 6, 20
+#: Terms whose votes are added up at a time.
+BLOCK = 32_768
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -31,10 +33,11 @@ def fingerprint(text: str | None) -> np.ndarray:
         return np.zeros(BITS // 8, np.uint8)
     terms = mixed(mixed(h[:-1] * GOLDEN) + h[1:]) if len(h) > 1 else mixed(h)
     terms, counts = np.unique(terms, return_counts=True)
-    weights = (1 + np.log(counts)).astype(np.float32)
-    hashes = mixed(terms[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * GOLDEN)
-    bits = np.unpackbits(hashes.view(np.uint8), axis=1).astype(np.float32)
-    return np.packbits(2 * (weights @ bits) > weights.sum())
+    weights, votes = 1 + np.log(counts), np.zeros(BITS)
+    for at in range(0, len(terms), BLOCK):
+        hashes = mixed(terms[at : at + BLOCK, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * GOLDEN)
+        votes += weights[at : at + BLOCK].astype(np.float32) @ np.unpackbits(hashes.view(np.uint8), axis=1).astype(np.float32)
+    return np.packbits(2 * votes > weights.sum())
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -12,7 +12,8 @@ Sets that are equal are one class, represented by its least id, before anything
 bucket of a band, members are compared with one centre, in a few rounds with different centres.  The
 members of buckets that are still in several components then go through an exact join on the rare
 ends of their sets, so no pair that shares a bucket is left out, unless its members are in one
-component already, and no bucket is ever expanded into its pairs.
+component already, and no bucket is expanded into its pairs; in the join, sets that hold a rare element
+meet only if they are in different components and one of them is outside the element's commonest one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .components import components
 from .shingles import GOLDEN, mixed, shingle_set
 
@@ -67,7 +68,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def merged(*registers: np.ndarray) -> np.ndarray:
-    """Registers of the union of the sets."""
+    """Registers of the union of the sets; sets of more than CHUNK elements are sketched in parts."""
     return np.maximum.reduce(registers)
 
 
@@ -110,10 +111,13 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             while at < len(texts):
                 sets, size, first = [], 0, at
                 while at < len(texts) and size < CHUNK:
-                    sets.append(shingle_set(texts[at], k))
-                    size += len(sets[-1])
+                    found = shingle_set(texts[at], k)
+                    if sets and len(found) > CHUNK:
+                        break  # a long text is sketched by itself
+                    sets.append(found)
+                    size += len(found)
                     at += 1
-                registers = sketches(sets)
+                registers = sketches(sets) if len(sets) > 1 or size <= CHUNK else merged(*(sketches([sets[0][i : i + CHUNK]]) for i in range(0, size, CHUNK)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:at], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.tobytes() for x in registers], pa.binary())],
                     ["doc_id", "n", "digest", "registers"],
@@ -134,31 +138,37 @@ def banded(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "registers").mapInArrow(run, "key long, id long, n long")
 
 
-def compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) of ids that are linked.
 
-    full: id, n, registers, elements (the sorted set). Pairs whose likeliest similarity is far below the
-    bound go by their registers; all others by 100 * intersection >= percent * union of the sets.
+    reps: id, n, registers; sets: id, elements (the sorted set). Pairs whose likeliest similarity is far
+    below the bound go by their registers; the sets of all others follow, and 100 * intersection >=
+    percent * union decides. A node of very many pairs is on one side of plain joins of stored tables,
+    whose partitions Spark splits.
     """
     bound = percent / 100
     least = bound - DEVIATIONS * np.sqrt(bound * (1 - bound) / M)
 
-    def run(batches):
+    def likely(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
+                near = pa.array(estimates(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+
+    def exact(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("ra", "rb"))
-            near = estimates(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= least
-            ea, eb = batch.column("ea"), batch.column("eb")
-            for i in np.flatnonzero(near):
-                u, v = np.frombuffer(ea[i].as_py(), np.uint64), np.frombuffer(eb[i].as_py(), np.uint64)
+            near, ea, eb = np.zeros(batch.num_rows, bool), batch.column("ea"), batch.column("eb")
+            for i in range(len(near)):
+                u, v = np.frombuffer(ea[i].as_buffer(), np.uint64), np.frombuffer(eb[i].as_buffer(), np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 near[i] = 100 * both >= percent * (len(u) + len(v) - both)
-            near = pa.array(near)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
 
-    a, b = (full.selectExpr(f"id as {i}", f"n as n{i}", f"registers as r{i}", f"elements as e{i}") for i in "ab")
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+    a, b = (reps.selectExpr(f"id as {i}", f"n as n{i}", f"registers as r{i}") for i in "ab")
+    found = pairs.join(b, "b").join(a, "a").mapInArrow(likely, "a long, b long")
+    a, b = (sets.selectExpr(f"id as {i}", f"elements as e{i}") for i in "ab")
+    return found.join(b, "b").join(a, "a").mapInArrow(exact, "a long, b long")
 
 
 def hooked(label: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -189,7 +199,7 @@ def shared_prefixes(open_: DataFrame, full: DataFrame, percent: int) -> DataFram
     element, all pairs are of one in the commonest component and one outside it, or both outside.
     """
     t = percent / 100
-    sets = full.select("id", "n", "elements").join(open_, "id")
+    sets = full.withColumn("n", (F.length("elements") / 8).cast("long")).join(open_, "id")
 
     def exploded(batches):
         for batch in batches:
@@ -199,7 +209,8 @@ def shared_prefixes(open_: DataFrame, full: DataFrame, percent: int) -> DataFram
 
     rows = stored(sets.select("id", "n", "component", "elements").mapInArrow(exploded, "element long, id long, n long, component long"), "elements")
     often = rows.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
-    # the elements of one set alone come first, and meet none
+    # the elements of one set alone come first, and meet none; stored, so that the rows of a common one may be split in the join
+    often = stored(often, "frequencies")
     ranked = rows.join(often, "element").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
     place = ranked.select("id", "n", "component", (F.col("n") - F.size("e")).alias("own"), F.posexplode("e").alias("i", "x"))
     place = place.select("id", "n", "component", F.col("x.element").alias("element"), (F.col("own") + F.col("i")).alias("at"))
@@ -208,12 +219,18 @@ def shared_prefixes(open_: DataFrame, full: DataFrame, percent: int) -> DataFram
     place = stored(place.where(F.col("at") < probe).withColumn("short", F.col("at") < index), "prefixes")
     parts = place.groupBy("element", "component").agg(F.count("*").alias("c"))
     common = parts.groupBy("element").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("element", F.col("top.component").alias("top"))
-    place = place.join(common, "element").withColumn("out", F.col("component") != F.col("top"))
+    dropped(rows, often)
+    common, first = stored(common, "common"), place
+    place = stored(place.join(common, "element").withColumn("out", F.col("component") != F.col("top")), "places")
+    dropped(common, first)
     x, y = (place.selectExpr("element", f"id as {i}", f"n as n{i}", f"component as c{i}", f"at as p{i}", f"short as s{i}", f"out as o{i}") for i in "ab")
     fits = f"ca <> cb and (na < nb or na = nb and a < b) and sa and 100 * na >= {percent} * nb and least(na - pa, nb - pb) * {100 + percent} >= {percent} * (na + nb)"
     outside = x.where("oa and sa").join(y, "element").where(fits)
     inside = x.where("not oa and sa").join(y.where("ob"), "element").where(fits)
-    return outside.select("a", "b").unionByName(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = outside.select("a", "b").unionByName(inside.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = stored(pairs, "pairs")
+    dropped(place)
+    return out
 
 
 #: Rounds in which the members of a bucket are compared with one centre.
@@ -225,8 +242,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
     Documents are linked when their sets of k-word shingles have 100 * intersection >= percent * union
     (at least 1).  Null and empty texts and texts without words have no shingles, and are their own
-    component.  doc_id is unique and not null for links; rows with a null one are their own component
-    (null, not kept).
+    component.  Rows that share a doc_id are linked where one of their texts is; rows with a null one are
+    their own component (null, not kept).
     """
     table = stored(sketched(docs, k), "sketches")
     reps = table.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r"))
@@ -239,28 +256,34 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(x, k).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["id", "elements"])
 
-    candidates = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "registers")
-    texts = docs.selectExpr("cast(doc_id as bigint) id", "text").join(candidates.select("id"), "id", "left_semi")
-    full = stored(candidates.join(texts.mapInArrow(sets, "id long, elements binary"), "id"), "sets")
+    texts = docs.selectExpr("cast(doc_id as bigint) id", "text").join(members.select("id").distinct(), "id", "left_semi")
+    full = stored(texts.mapInArrow(sets, "id long, elements binary"), "sets")
 
     links, label, open_ = [], None, members.withColumn("component", F.col("id"))
     for round_ in range(ROUNDS + 1):
+        scratch = []
         if label is not None:
             open_ = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
             open_ = stored(open_.join(several, "key"), "open")
+            scratch.append(open_)
         if round_ == ROUNDS:
             pairs = shared_prefixes(open_.select("id", "component").distinct(), full, percent)
+            scratch.append(pairs)
         else:
             order = F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")
             centre = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("component"))).alias("m")).selectExpr("key", "m.id as a", "m.n as na", "m.component as ca")
             pairs = open_.join(centre, "key").where(f"component <> ca and 100 * least(n, na) >= {percent} * greatest(n, na)")
             pairs = pairs.groupBy("id").agg(F.min("a").alias("a")) if not round_ else pairs.select("id", "a").distinct()
             pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        links.append(stored(compared(pairs, full, percent), "links"))
+        links.append(stored(compared(pairs, reps, full, percent), "links"))
         if round_ < ROUNDS:
-            label = hooked(label, links[-1])
+            before, label = label, hooked(label, links[-1])
+            scratch += [before] if before is not None else []
+        dropped(*scratch)
+    dropped(members, full, label)
     label = components(reduce(DataFrame.unionByName, links))
+    dropped(*links)
     out = table.join(reps.select("digest", F.col("id").alias("class")), "digest", "left")
     out = out.join(label.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

@@ -9,7 +9,7 @@ from .common import Memo
 
 MIX1, MIX2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Hashes of the words seen by this worker.
-WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 600_000)
+WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, dropped, stored
 
 #: Most labelled rows that are learnt from; most words and beginnings with a weight of their own; grades above 0.
 SAMPLE, FEATURES, GRADES = 20_000, 2_000, 3
 #: Documents that a word is in at least; steps of the fit; weight of the squared norm.
 LEAST, STEPS, RIDGE = 3, 400, 1e-4
+#: Rows that a step of the fit takes at a time.
+ROWS = 4_000
 #: Likelihood ratio statistic of a word with the label for a weight (chance 1 in 2,000) and for marking a toxic text (1 in 10 million).
 WEIGHED, MARKED = 12.0, 28.0
 
@@ -46,7 +48,7 @@ def features_of(word: str) -> list[str]:
 
 
 def hits(found: list[str], known: Memo) -> Counter:
-    """Frequency of each feature; known: the features with a weight of a word."""
+    """Frequency of each feature, by its number; known: numbers of the features with a weight of a word."""
     out: Counter = Counter()
     for word, n in Counter(found).items():
         for feature in known[word]:
@@ -55,11 +57,14 @@ def hits(found: list[str], known: Memo) -> Counter:
 
 
 def fit(rows: list[list[tuple[int, float]]], grades: np.ndarray, size: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that fit `grades` to sparse rows of (feature, value), by Adam on the mean log-likelihood."""
-    where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    column = np.array([f for r in rows for f, _ in r], np.int64)
-    value = np.array([v for r in rows for _, v in r], np.float64)
-    levels = np.arange(GRADES)
+    """Weights and thresholds that fit `grades` to sparse rows of (feature, value)."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return fit_sparse(ends, np.array([f for r in rows for f, _ in r], np.int32), np.array([v for r in rows for _, v in r], np.float32), grades, size, steps)
+
+
+def fit_sparse(ends: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray, size: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the mean log-likelihood; row i has the features `column` and their `value` from ends[i] to ends[i + 1]."""
+    n, levels = len(ends) - 1, np.arange(GRADES)
     w, raw = np.zeros(size), np.concatenate([[2.0], np.full(GRADES - 1, 0.5)])  # first threshold; logarithms of the gaps
     state = [np.zeros(size + GRADES), np.zeros(size + GRADES)]
 
@@ -71,16 +76,22 @@ def fit(rows: list[list[tuple[int, float]]], grades: np.ndarray, size: int, step
 
     for step in range(1, steps + 1):
         theta = thresholds(raw)
-        score = np.bincount(where, value * w[column], len(rows)) if len(column) else np.zeros(len(rows))
-        above = sigmoid(score[:, None] - theta[None, :])  # P(grade > k)
-        full = np.concatenate([np.ones((len(rows), 1)), above, np.zeros((len(rows), 1))], axis=1)
-        p = np.maximum(full[np.arange(len(rows)), grades] - full[np.arange(len(rows)), grades + 1], 1e-12)
-        slope = above * (1 - above)
-        # d p / d(score - theta_k): + where the grade is just above k, - where it is k itself
-        sign = (levels[None, :] == grades[:, None] - 1).astype(float) - (levels[None, :] == grades[:, None])
-        push = -sign * slope / p[:, None] / len(rows)
-        g_w = np.bincount(column, value * push.sum(axis=1)[where], size) + RIDGE * w
-        g_theta = -push.sum(axis=0)
+        g_w, g_theta = RIDGE * w, np.zeros(GRADES)
+        for at in range(0, n, ROWS):  # rows at a time: the fit holds little besides the rows
+            last = min(n, at + ROWS)
+            part, grade = slice(ends[at], ends[last]), grades[at:last]
+            where, c, v = np.repeat(np.arange(last - at), np.diff(ends[at : last + 1])), column[part], value[part]
+            score = np.bincount(where, v * w[c], last - at) if len(c) else np.zeros(last - at)
+            above = sigmoid(score[:, None] - theta[None, :])  # P(grade > k)
+            full = np.concatenate([np.ones((last - at, 1)), above, np.zeros((last - at, 1))], axis=1)
+            p = np.maximum(full[np.arange(last - at), grade] - full[np.arange(last - at), grade + 1], 1e-12)
+            slope = above * (1 - above)
+            # d p / d(score - theta_k): + where the grade is just above k, - where it is k itself
+            sign = (levels[None, :] == grade[:, None] - 1).astype(float) - (levels[None, :] == grade[:, None])
+            push = -sign * slope / p[:, None] / n
+            if len(c):
+                g_w = g_w + np.bincount(c, v * push.sum(axis=1)[where], size)
+            g_theta -= push.sum(axis=0)
         g_raw = np.concatenate([[g_theta.sum()], [g_theta[i:].sum() * np.exp(raw[i]) for i in range(1, GRADES)]])
         g = np.concatenate([g_w, g_raw])
         state[0] = 0.9 * state[0] + 0.1 * g
@@ -90,20 +101,16 @@ def fit(rows: list[list[tuple[int, float]]], grades: np.ndarray, size: int, step
     return w, thresholds(raw)
 
 
-def row_of(counts: dict[str, int], n_words: int, number: dict[str, int]) -> list[tuple[int, float]]:
+def row_of(counts: dict[int, int], n_words: int) -> list[tuple[int, float]]:
     """The sparse row of a document; feature 0 is the length."""
-    return [(0, np.log1p(n_words) / 10)] + [(number[word], 1 + np.log(n)) for word, n in counts.items()]
+    return [(0, np.log1p(n_words) / 10)] + [(feature, 1 + np.log(n)) for feature, n in counts.items()]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Feature numbers by word, weights and thresholds; learnt from the `sample` labelled rows with the least hash of doc_id.
+def vocabulary(texts: DataFrame, features: int) -> tuple[dict[str, int], set[int]]:
+    """Numbers, from 1, of the `features` words and beginnings that go most with the label either way, and those that mark a toxic text.
 
-    Rows that come to the driver: one for each of the words looked at (those of the sample) and one
-    for each document of the sample.
+    texts: text and toxic. The statistic is counted and ranked by Spark; at most `features` rows come to the driver.
     """
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
 
     def spread(batches):
         count = {0: Counter(), 1: Counter()}
@@ -111,57 +118,76 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 count[int(toxic > 0)].update({f for word in set(words(text)) for f in features_of(word)} | {""})
         seen = list(count[0].keys() | count[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([count[y][x] for x in seen], pa.int64()) for y in (1, 0))], ["word", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([count[y][x] for x in seen], pa.int64()) for y in (1, 0))], ["word", "a", "b"])
 
-    table = texts.mapInArrow(spread, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = table.where((F.col("word") == "") | (F.col("toxic") + F.col("clean") >= LEAST)).toArrow()
-    names, a, b = table.column("word").to_pylist(), *(table.column(c).to_numpy().astype(float) for c in ("toxic", "clean"))
-    if "" not in names:
-        return {}, np.zeros(1), np.full(GRADES, 40.0)
-    all_ = names.index("")
-    total_a, total_b = a[all_], b[all_]
-
-    def part(x, e):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
-
-    share = total_a / max(1.0, total_a + total_b)
-    n = a + b
-    rest_a, rest_b, rest = total_a - a, total_b - b, total_a + total_b - n
-    g2 = 2 * (part(a, n * share) + part(b, n * (1 - share)) + part(rest_a, rest * share) + part(rest_b, rest * (1 - share)))
-    g2[all_] = -1
-    rate = ((a + 0.5) / (total_a + 1)) / ((b + 0.5) / (total_b + 1))
-    order = sorted(range(len(names)), key=lambda i: (-g2[i], names[i]))[:features]
-    number = {names[i]: k for k, i in enumerate((i for i in order if g2[i] > WEIGHED), 1)}
-    marked = {names[i] for i in order if g2[i] > MARKED and rate[i] > 4}
+    table = texts.mapInArrow(spread, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    table = stored(table.where((F.col("word") == "") | (F.col("a") + F.col("b") >= LEAST)), "words")
+    whole = table.where("word = ''").first()  # the documents of either kind
+    if whole is None:
+        return {}, set()
+    a, b, all_a, all_b = F.col("a"), F.col("b"), F.lit(float(whole.a)), F.lit(float(whole.b))
+    n, share, rest = a + b, all_a / (all_a + all_b), all_a + all_b - a - b
+
+    def part(x, expected):
+        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+
+    g2 = 2 * (part(a, n * share) + part(b, n * (1 - share)) + part(all_a - a, rest * share) + part(all_b - b, rest * (1 - share)))
+    rate = ((a + 0.5) / (all_a + 1)) / ((b + 0.5) / (all_b + 1))
+    best = table.where("word <> ''").select("word", g2.alias("g2"), rate.alias("rate")).where(F.col("g2") > WEIGHED)
+    found = best.orderBy(F.desc("g2"), "word").limit(features).collect()
+    dropped(table)
+    return {r.word: i for i, r in enumerate(found, 1)}, {i for i, r in enumerate(found, 1) if r.g2 > MARKED and r.rate > 4}
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Feature numbers by word, weights and thresholds; learnt from the `sample` labelled rows with the least hash of doc_id.
+
+    What comes to the driver is one row for each feature, and for each document of the sample its numbers
+    and frequencies of features, as Arrow arrays.
+    """
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    texts = stored(texts, "sample")
+    number, marked = vocabulary(texts, features)
 
     def counted(batches):
+        known = Memo(lambda word: [number[f] for f in features_of(word) if f in number])
         for batch in batches:
-            known = Memo(lambda word: [f for f in features_of(word) if f in number])
             found = [words(text) for text in batch.column("text").to_pylist()]
             counts = [hits(x, known) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(map(len, found), pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "toxic", "n", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(map(len, found), pa.int64()), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "n", "features", "counts"])
 
-    rows = texts.mapInArrow(counted, "doc_id long, toxic int, n long, words array<string>, counts array<long>").toArrow().sort_by("doc_id").to_pylist()
-    much = np.array([sum(1 + np.log(c) for w, c in zip(r["words"], r["counts"]) if w in marked) for r in rows])
-    toxic = np.array([r["toxic"] > 0 for r in rows])
+    rows = texts.mapInArrow(counted, "doc_id long, toxic int, n long, features array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")]).combine_chunks()
+    dropped(texts)
+    if not len(rows):
+        return {}, np.zeros(1), np.full(GRADES, 40.0)
+    features_, counts, n = (rows.column(c).combine_chunks() for c in ("features", "counts", "n"))
+    own = np.append(0, np.cumsum(features_.value_lengths().to_numpy()))
+    column, value = features_.flatten().to_numpy(), 1 + np.log(counts.flatten().to_numpy().astype(np.float32))
+    mark = np.zeros(len(number) + 1, np.float32)
+    mark[list(marked)] = 1
+    much = np.bincount(np.repeat(np.arange(len(rows)), np.diff(own)), mark[column] * value, len(rows)).round(4)
+    toxic = rows.column("toxic").to_numpy() > 0
     cuts = np.quantile(much[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
     grades = np.where(toxic, 1 + np.searchsorted(cuts, much, "left"), 0)
-    w, theta = fit([row_of(dict(zip(r["words"], r["counts"])), r["n"], number) for r in rows], grades, len(number) + 1)
+    # the length, feature 0, comes first in every row
+    column, value = np.insert(column, own[:-1], 0), np.insert(value, own[:-1], np.log1p(n.to_numpy()) / 10)
+    w, theta = fit_sparse(own + np.arange(len(own)), column, value, grades, len(number) + 1)
     return number, w, theta
 
 
 def scorer(docs: DataFrame, labels: DataFrame, sample: int):
     """A function, for use in workers, from texts to their chances of a grade above 0, above 1, .."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    number, w, theta = train(docs, labels, sample)  # FEATURES words and numbers at most: sent with the tasks
 
     def score(texts: list) -> np.ndarray:
-        number, w, theta = model.value
         if score.known is None:
-            score.known = Memo(lambda word: [f for f in features_of(word) if f in number])
+            score.known = Memo(lambda word: [number[f] for f in features_of(word) if f in number])
         scores = np.zeros(len(texts))
         for i, text in enumerate(texts):
             found = words(text)
-            scores[i] = sum(v * w[f] for f, v in row_of(hits(found, score.known), len(found), number))
+            scores[i] = sum(v * w[f] for f, v in row_of(hits(found, score.known), len(found)))
         return 1 / (1 + np.exp(np.clip(theta[None, :] - scores.reshape(-1, 1), -40, 40)))
 
     score.known = None

@@ -17,7 +17,7 @@ def test_stages(spark, small, labels, tmp_path):
         elif name == "toxicity":
             want = {r.doc_id for r in toxicity.toxicity(before, labels).where("not toxic").collect()}
         elif name == "near-dedup":
-            want = {r.doc_id for r in near_dedup.near_duplicates(before, 5, 80).where("kept").collect()}
+            want = {r.doc_id for r in near_dedup.near_duplicates(before, 2, 80).where("kept").collect()}
         else:
             want = {r.doc_id for r in before.select("doc_id").collect()}
         assert ids == want
