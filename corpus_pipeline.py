@@ -17,8 +17,8 @@ from lodestrata.llm.quality_rules import quality_rules
 from lodestrata.llm.suffix_dedup import without_repeats
 from lodestrata.llm.toxicity import not_toxic
 
-#: Words of a shingle of near duplicates; their least similarity in percent.
-SHINGLE, SIMILARITY = 5, 80
+#: Words of a shingle of near duplicates, as in op3; their least similarity in percent.
+SHINGLE, SIMILARITY = 2, 80
 
 
 def _keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
