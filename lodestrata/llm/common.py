@@ -42,6 +42,14 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or that with underscores behind it, so that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Length from which a key isn't kept in a memo, so that memos are bounded in bytes too.
 LONG = 64
 

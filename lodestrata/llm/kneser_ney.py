@@ -2,26 +2,29 @@
 
 Symbols are characters, N-grams lie within a word: each word is led by N - 1 start marks and ended by
 a stop mark, so a text's code length is the sum over its words' N-grams.  Counts of trusted N-grams
-come from all documents labelled good; lower orders count the distinct symbols before a gram.
+come from documents labelled good, RESERVED of every PARTS of which are kept out of the model; lower
+orders count the distinct symbols before a gram, or, of a gram led by a start mark, its occurrences.
 Discounts, context totals and probabilities are aggregations and joins on the gram, sharded by it; the
 grams of all documents are joined to them, each once, and their costs to the documents' frequencies.
-A document is kept if its log-perplexity is at most the threshold of its language: a quantile of the
-trusted documents of that language, and a margin in spreads of them.
+A document is kept if its log-perplexity is at most the threshold of its language: the QUANTILE of the
+trusted documents of that language that the model has not seen.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .sums import unit_counts, unit_sums
 
 N, START, STOP = 4, "\x02", "\x03"
-#: The quantile, and widths of the trusted documents' quartile distance above it.
-QUANTILE, MARGIN = 0.9, 12.0
+#: The quantile of trusted documents outside the model that is the threshold; how many of them a language has one of its own from.
+QUANTILE, ENOUGH = 0.98, 50
+#: Of the trusted documents, the share RESERVED / PARTS is kept out of the model.
+RESERVED, PARTS = 1, 4
 #: Most labelled rows whose ids are broadcast; more are joined by shuffle.
 BROADCAST = 2_000_000
 
@@ -52,7 +55,8 @@ def costs(trusted: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     orders = {N: trusted.select(F.col("unit").alias("g"), F.col("n").alias("c"))}
     for k in range(N - 1, 0, -1):
-        orders[k] = stored(orders[k + 1].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("c")), f"grams{k}")
+        occurs = F.when(F.expr("substring(g, 2, 1)") == START, F.col("c")).otherwise(1)  # nothing but a start mark comes before one
+        orders[k] = stored(orders[k + 1].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.sum(occurs).alias("c")), f"grams{k}")
     spread = [orders[k].agg(*(F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4))).select(F.lit(k).alias("k"), "*") for k in orders]
     found = {row.k: list(row)[1:] for row in reduce(DataFrame.unionByName, spread).collect()}  # N rows
     symbols = orders[1].count()
@@ -77,31 +81,34 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return unit_sums(docs, split, grams, table, lambda text: sum(map(len, words := text.split())) + len(words), exact=False)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def reserved():
+    """Whether a document is kept out of the model if it is trusted; by a hash of doc_id."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(PARTS)) < RESERVED
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, trusted, n_symbols, perplexity, threshold, kept of each row of docs (doc_id, text, lang).
 
     trusted: labelled of quality 1 (labels: doc_id, quality). Null, empty and blank texts have no symbols,
-    a null perplexity and are not kept. A language without trusted documents (null is one, `und`) gets
-    the threshold of all trusted documents; without any of these everything with symbols is kept.
+    a null perplexity and are not kept. A language (null is one) with fewer than ENOUGH reserved trusted
+    documents gets the threshold of those of all languages; without any of these everything with symbols
+    is kept.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     small = good.limit(BROADCAST + 1).count() <= BROADCAST
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")).alias("lang"), "text")
     trusted = docs.join(F.broadcast(good) if small else good, "doc_id", "left_semi")
-    table = stored(perplexities(docs, trusted), "perplexities")
+    table = perplexities(docs, trusted.where(~reserved()))
     table = table.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    table = table.withColumn("x", F.when(F.col("size") > 0, F.col("total") / F.col("size")))
-    shares = F.array(F.lit(0.25), F.lit(0.75), F.lit(quantile))
-
-    def bound(q: Column) -> Column:
-        return q[2] + margin * (q[1] - q[0])
-
-    seen = table.where("trusted and x is not null")
-    by_lang = seen.groupBy("lang").agg(bound(F.percentile_approx("x", shares, F.lit(20_000))).alias("own"))
-    overall = seen.agg(bound(F.percentile_approx("x", shares, F.lit(20_000))).alias("all_"))  # one row
-    out = table.join(by_lang, "lang", "left").join(F.broadcast(overall), F.lit(True), "left").withColumn("threshold", F.coalesce("own", "all_"))
+    table = stored(table.withColumn("x", F.when(F.col("size") > 0, F.col("total") / F.col("size"))), "perplexities")
+    seen, bound = table.where("trusted and x is not null").where(reserved()), F.percentile_approx("x", quantile, F.lit(20_000))
+    # a row for each language in a stored table: broadcast while it is small, by its size
+    by_lang = stored(seen.groupBy("lang").agg(F.count("*").alias("n"), bound.alias("own")).where(F.col("n") >= ENOUGH).drop("n"), "thresholds")
+    overall = seen.agg(bound).first()[0]
+    out = table.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
     kept = F.col("x").isNotNull() & F.coalesce(F.col("x") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "trusted", F.col("size").alias("n_symbols"), F.exp("x").alias("perplexity"), F.exp("threshold").alias("threshold"), kept.alias("kept"))
+    lang = F.when(F.col("lang") != "null", F.expr("substring(lang, 2)")).alias("lang")
+    return out.select("doc_id", lang, "trusted", F.col("size").alias("n_symbols"), F.exp("x").alias("perplexity"), F.exp("threshold").alias("threshold"), kept.alias("kept"))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows
+from .common import Rows, stored
 
 #: Bytes of context; most documents of a language from which its tree is made.
 ORDER, SAMPLE = 4, 500
@@ -41,6 +41,7 @@ class Trees:
 
     def __init__(self, rows):
         """rows: (lang, context, byte, n)"""
+        rows = list(rows)
         self.langs = sorted({row[0] for row in rows})
         self.trees: list[dict[bytes, list]] = [{} for _ in self.langs]
         number = {lang: i for i, lang in enumerate(self.langs)}
@@ -48,8 +49,8 @@ class Trees:
             node = self.trees[number[lang]].setdefault(bytes(context), [0, {}])
             node[0] += n
             node[1][byte] = n
-        self.bytes = Rows(lambda key: [self.bits(tree, key[:-1], key[-1]) for tree in self.trees], len(self.langs), 600_000)
-        self.words = Rows(self._word, len(self.langs), 500_000)
+        self.bytes = Rows(lambda key: [self.bits(tree, key[:-1], key[-1]) for tree in self.trees], len(self.langs), 300_000)
+        self.words = Rows(self._word, len(self.langs), 300_000)
 
     @staticmethod
     def bits(tree: dict, context: bytes, byte: int) -> float:
@@ -88,15 +89,20 @@ class Trees:
         return self.langs[best], float(1 / np.exp2(np.minimum(lengths[best] - lengths, 0)).sum())
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> list[tuple]:
-    """(lang, context, byte, n) of the documents (doc_id, text, lang) with a language.
+def trained(docs: DataFrame, sample: int = SAMPLE) -> pa.Table:
+    """lang, context, byte, n of the documents (doc_id, text, lang) with a language.
 
     At most `sample` documents of a language, those with the least hash of doc_id: the rows that come to
-    the driver are bounded by them.
+    the driver are bounded by them. Of a common language, only hashes under a bound by its number of
+    documents, at which twice `sample` are left, are looked at.
     """
     known = docs.where("lang is not null and text is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
+    # a row for each language in a stored table: broadcast while it is small, by its size
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("_all")), "languages")
+    under = F.xxhash64("doc_id") / F.lit(2.0**63) <= 4.0 * sample / F.col("_all") - 1
+    few = stored(known.select("doc_id", "lang").join(counts, "lang").where(under).select("doc_id", "lang"), "candidates")
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
 
     def counted(batches):
         words: dict[str, Counter] = {}
@@ -109,8 +115,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> list[tuple]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "context", "byte", "n"])
 
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most `sample` rows of a language
-    table = texts.select("lang", "text").mapInArrow(counted, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")).toArrow()
-    return list(zip(*(table.column(c).to_pylist() for c in ("lang", "context", "byte", "n"))))
+    return texts.select("lang", "text").mapInArrow(counted, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n")).select("lang", "context", "byte", "n").toArrow()
 
 
 def language_id(docs: DataFrame, train: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -123,10 +128,7 @@ def language_id(docs: DataFrame, train: DataFrame, sample: int = SAMPLE) -> Data
     key = uuid.uuid4().hex
 
     def run(batches):
-        trees = TREES.get(key)
-        if trees is None:
-            TREES.clear()
-            trees = TREES[key] = Trees(rows.value)
+        trees = planted(key, rows)
         for batch in batches:
             found = [trees.predict(text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -139,6 +141,14 @@ def language_id(docs: DataFrame, train: DataFrame, sample: int = SAMPLE) -> Data
 TREES: dict = {}
 
 
+def planted(key: str, rows) -> Trees:
+    """The trees of broadcast rows, made once in a worker."""
+    if key not in TREES:
+        TREES.clear()
+        TREES[key] = Trees(zip(*(rows.value.column(c).to_pylist() for c in ("lang", "context", "byte", "n"))))
+    return TREES[key]
+
+
 def held_out():
     """Whether crc32 of doc_id as text leaves 2 modulo 4; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -2,10 +2,13 @@
 
 A configuration is a multiset of lengths that fits a sequence; the program covers the demand of every
 length with as few configurations as possible.  It is solved on the histogram, whose size is bounded
-by the capacity: each round prices configurations by a knapsack dynamic program under the present
-weights of the lengths, takes copies of the best one through every length, and multiplies up the
-weights of lengths that are covered less than the mean (multiplicative weights).  Copies are
-whole numbers all along (the rounding), and what the last round leaves is packed best-fit.
+by the capacity: lengths of at least a SMALL-th of the capacity, in GROUPS groups at most, each counted
+as its longest member.  Multiplicative weights move on both sides of the program, over the groups and
+over the configurations known; a knapsack dynamic program prices new configurations under the groups'
+weights, whose best price also bounds the number of sequences from below.  The fractional numbers of
+copies are rounded down and filled with real lengths; what is left, and all shorter pieces, is packed
+best-fit into the room of these sequences and new ones.  Where plain best fit needs fewer sequences
+(lengths that lose more by being grouped than the program gains), its result is taken.
 
 The documents themselves never meet in one place: a piece gets its rank among the pieces of its
 length, and a table of runs of ranks, as large as the configurations at most, gives the sequence
@@ -16,6 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, stored
 
-#: Groups in which the pieces of one length are ranked.
-GROUPS = 64
+#: Groups of lengths in the program at most; the part of the capacity from which a length is in it.
+GROUPS, SMALL = 64, 32
+#: Rounds of pricing at most; steps of the weights in a round; their rate; gap to the bound at which the program is solved.
+ROUNDS, STEPS, RATE, GAP = 40, 2_000, 4.0, 0.001
 
 # ---- ids ------------------------------------------------------------------------------------------
 
@@ -53,7 +60,7 @@ class WordIds:
         parts = [t.id for w in FAST.findall(sample.lower()) for t in self.model.model.tokenize(w.encode().decode("latin-1").translate(byte_names))]
         self.by_word = whole == parts
         tokenize = self.model.model.tokenize
-        self.words = Memo(lambda w: np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(byte_names))], "<u4").tobytes(), 600_000)
+        self.words = Memo(lambda w: np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(byte_names))], "<u4").tobytes(), 300_000)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or PLAIN.search(text) or self.special.search(text):
@@ -83,100 +90,196 @@ def priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.
     return best, take
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations for demands `left`: the longest length open first, then the longest that still fits."""
-    left, out = left.copy(), []
-    open_ = np.flatnonzero(left)
-    while len(open_):
-        room, items, used = capacity, [], {}
-        while room > 0:
-            k = np.searchsorted(open_, room, "right") - 1
-            while k >= 0 and left[open_[k]] <= used.get(open_[k], 0):
-                k -= 1
-            if k < 0:
-                break
-            length = int(open_[k])
-            copies = min(room // length, int(left[length]) - used.get(length, 0))
-            items += [length] * copies
-            used[length] = used.get(length, 0) + copies
-            room -= copies * length
-        copies = min(int(left[length]) // n for length, n in used.items())
-        for length, n in used.items():
-            left[length] -= copies * n
-        out.append((tuple(items), copies))
-        if any(left[length] == 0 for length in used):
-            open_ = open_[left[open_] > 0]
-    return out
-
-
-def configurations(demand: np.ndarray, capacity: int, rounds: int = 24, rate: float = 1.0, share: float = 0.3, slack: float = 0.001) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and whole numbers of copies that cover `demand[length]` exactly.
-
-    rounds, rate: of the multiplicative weights; share: of what is left of a length, at most so much
-    is covered in a round; slack: how far below the best price a configuration may be.
+def best_fit(left: np.ndarray, capacity: int, runs: list = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and copies: `runs`, with demands `left` put in by falling length, each into the fullest sequence with room for it, or a new one."""
+    rooms: dict[int, list] = {}
+    order: list[int] = []
+    full = []
+
+    def put(items, copies, room):
+        if copies and not room:
+            full.append((items, copies))
+        elif copies:
+            if room not in rooms:
+                rooms[room] = []
+                insort(order, room)
+            rooms[room].append((items, copies))
+
+    for items, copies in runs:
+        put(items, copies, capacity - sum(items))
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
+            at = bisect_left(order, length)
+            if at < len(order):
+                room = order[at]
+                items, copies = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room], order[at]
+            else:
+                room, items, copies = capacity, (), n
+            each = min(room // length, n)
+            whole = min(copies, n // each)
+            if items:
+                put(items, copies - whole, room)
+            put(items + (length,) * each, whole, room - each * length)
+            n -= whole * each
+    return full + [run for found in rooms.values() for run in found]
+
+
+def grouped(demand: np.ndarray, capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the program, rising, and the group of each: one each if they are few, else groups of like total length."""
+    lengths = np.flatnonzero(demand)
+    lengths = lengths[lengths * SMALL >= capacity]
+    if len(lengths) <= groups:
+        return lengths, np.arange(len(lengths))
+    mass = (demand[lengths] * lengths).astype(float)
+    group = np.minimum((np.cumsum(mass) - mass / 2) * groups // mass.sum(), groups - 1)
+    return lengths, np.unique(group, return_inverse=True)[1]
+
+
+def program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Configurations (a row of copies of each size), fractional numbers of them that cover `demand`, and the sizes' dual weights.
+
+    The sum of demand times weight over the best price of a configuration is a lower bound of the numbers' sum.
     """
-    demand = np.asarray(demand, np.int64)
-    left, out = demand.copy(), []
-    if capacity < len(left) and left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    weights = np.arange(len(left)) / capacity
-    for _ in range(rounds):
-        lengths = np.flatnonzero(left)
-        if not len(lengths):
-            break
-        best, take = priced(weights[lengths], lengths, capacity)
-        start = left.copy()
-        for first in lengths[::-1]:
-            if weights[first] + best[capacity - first] < (1 - slack) * best[capacity]:
+    n, place = len(sizes), {int(x): i for i, x in enumerate(sizes)}
+    known: dict[tuple, None] = {}
+
+    def add(items):
+        known.setdefault(tuple(np.bincount([place[x] for x in items], minlength=n).tolist()))
+
+    start = np.zeros(capacity + 1, np.int64)
+    start[sizes] = demand
+    for items, _ in best_fit(start, capacity):
+        add(items)
+    p = demand * sizes / (demand * sizes).sum()  # the demand's weights; a size's price is its weight over its demand
+    q, bound = None, 0.0
+    for _ in range(ROUNDS):
+        best, take = priced(p / demand, sizes, capacity)
+        bound = max(bound, 1 / best[capacity])
+        for i, first in enumerate(sizes.tolist()):
+            if p[i] / demand[i] + best[capacity - first] < 0.97 * best[capacity]:
                 continue
-            items, room = [int(first)], capacity - int(first)
-            while room > 0:
+            items, room = [first], capacity - first
+            while room > 0 and take[room]:
                 if take[room] < 0:
                     room -= 1
-                elif take[room] == 0:
-                    break
                 else:
                     items.append(int(take[room]))
                     room -= int(take[room])
-            used, counts = np.unique(items, return_counts=True)
-            copies = int(np.min(np.minimum(left[used], np.ceil(share * start[used]).astype(np.int64)) // counts))
-            if copies > 0:
-                left[used] -= copies * counts
-                out.append((tuple(sorted(items, reverse=True)), copies))
-        uncovered = np.divide(left, demand, out=np.zeros(len(left)), where=demand > 0)
-        weights = weights * np.exp(rate * (uncovered - left.sum() / max(1, demand.sum())))
-        if (left == start).all():
+            add(items)
+        cover = np.array(list(known), float).T / demand[:, None]
+        old = 0 if q is None else len(q)
+        fresh = cover.shape[1] - old
+        q = np.full(fresh, 1 / fresh) if not old else np.append(q * (0.98 if fresh else 1), np.full(fresh, 0.02 / max(1, fresh)))
+        q = np.maximum(q, 1e-9) / np.maximum(q, 1e-9).sum()
+        gain = cover * bound  # about 1 at the solution
+        rate, sum_p, sum_q = RATE / gain.max(), np.zeros(n), np.zeros(len(q))
+        last_p, last_q = gain @ q, gain.T @ p
+        for step in range(STEPS):
+            now_p, now_q = gain @ q, gain.T @ p
+            p, q = p * np.exp(-rate * (2 * now_p - last_p)), q * np.exp(rate * (2 * now_q - last_q))
+            p, q, last_p, last_q = p / p.sum(), q / q.sum(), now_p, now_q
+            if step >= STEPS // 2:
+                sum_p, sum_q = sum_p + p, sum_q + q
+        p = sum_p / sum_p.sum()
+        q = max((sum_q / sum_q.sum(), q), key=lambda x: (cover @ x).min())
+        if 1 / max((cover @ q).min(), 1e-12) <= bound * (1 + GAP):
             break
-    return out + best_fit(left, capacity)
+    return np.array(list(known)), q / max((cover @ q).min(), 1e-12), p / demand
+
+
+def rounded(table: np.ndarray, copies: np.ndarray, lengths: np.ndarray, group: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Runs of configurations of real lengths for whole numbers of copies, rounded down; what they hold is taken from `left`."""
+    stock = [lengths[group == i].tolist() for i in range(table.shape[1])]  # taken from the end: the longest first
+    have = np.bincount(group, left[lengths], table.shape[1]).astype(np.int64)
+    out = []
+    for i in np.argsort(-copies, kind="stable"):
+        used = np.flatnonzero(table[i])
+        each = table[i][used]
+        n = int(min(np.floor(copies[i] + 1e-6), (have[used] // each).min()))
+        have[used] -= n * each
+        while n > 0:
+            for k in used:
+                while not left[stock[k][-1]]:
+                    stock[k].pop()
+            alike = min(n, *(int(left[stock[k][-1]]) // int(e) for k, e in zip(used, each)))
+            items = []
+            for k, e in zip(used, each):
+                for _ in range(int(e)):
+                    while not left[stock[k][-1]]:
+                        stock[k].pop()
+                    items.append(stock[k][-1])
+                    left[stock[k][-1]] -= max(1, alike)
+            out.append((tuple(items), max(1, alike)))
+            n -= max(1, alike)
+    return out
+
+
+def configurations(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and whole numbers of copies that cover `demand[length]` exactly, never more of them than best fit takes."""
+    demand = np.asarray(demand, np.int64)
+    plain = best_fit(demand, capacity)
+    lengths, group = grouped(demand, capacity)
+    if not len(lengths):
+        return plain
+    sizes = np.array([lengths[group == i].max() for i in range(group[-1] + 1)])
+    table, copies, _ = program(sizes, np.bincount(group, demand[lengths]), capacity)
+    left = demand.copy()
+    found = best_fit(left, capacity, rounded(table, copies, lengths, group, left))
+    return min(found, plain, key=lambda runs: sum(n for _, n in runs))
+
+
+def least(demand: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of sequences: the total length, or the program's dual weights over the dearest configuration of real lengths."""
+    demand = np.asarray(demand, np.int64)
+    bound = (demand * np.arange(len(demand))).sum() / capacity
+    lengths, group = grouped(demand, capacity)
+    if len(lengths):
+        sizes = np.array([lengths[group == i].max() for i in range(group[-1] + 1)])
+        _, _, weights = program(sizes, np.bincount(group, demand[lengths]), capacity)
+        best, _ = priced(weights[group], lengths, capacity)
+        bound = max(bound, (demand[lengths] * weights[group]).sum() / best[capacity])
+    return int(np.ceil(bound - 1e-6))
 
 
 # ---- documents ------------------------------------------------------------------------------------
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the documents' ids with `end` behind them, cut only where longer than `capacity`."""
+    """doc_id, piece, start, length, ids_crc32, _part, _nth: the documents' ids with `end` behind them, cut only where longer than `capacity`.
+
+    _part, _nth: the partition, and the number of the piece among those of its length there.
+    """
 
     def run(batches):
-        ids_of, last = word_ids(path), np.array([end], "<u4").tobytes()
+        from pyspark import TaskContext
+
+        ids_of, last, seen, part_id = word_ids(path), np.array([end], "<u4").tobytes(), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = ids_of(text or "") + last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
+                    length = len(part) // 4
+                    for column, value in zip(rows, (doc_id, piece, at // 4, length, zlib.crc32(part), seen[length])):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    seen[length] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:5]), pa.array([part_id] * len(rows[0]), pa.int32()), pa.array(rows[5], pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_nth"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _nth long")
 
 
 def packed(parts: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a length from 1 to capacity; repeated rows are packed one by one."""
+    """sequence_id and offset of the rows of `pieces`, in a stored table; repeated rows are packed one by one.
+
+    A piece's rank among those of its length is its number in its partition and the numbers of such pieces
+    in the partitions before: nothing is sorted, and a length of very many pieces is no group of one task.
+    """
     spark = parts.sparkSession
-    parts = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS)))
-    counts = stored(parts.groupBy("length", "_group").agg(F.count("*").alias("_n")), "lengths")
+    counts = stored(parts.groupBy("length", "_part").agg(F.count("*").alias("_n")), "lengths")
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("_n")).collect():  # as many rows as the capacity at most
         demand[length] = n
@@ -202,10 +305,9 @@ def packed(parts: DataFrame, capacity: int) -> DataFrame:
                 kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(first[at] + key - keys[at]), pa.array(offsets[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece")
-    ranked = parts.withColumn("_rank", F.row_number().over(own) - 1).join(starts, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_from"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = stored(counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from")), "starts")
+    ranked = parts.join(starts, ["length", "_part"]).withColumn("_rank", F.col("_nth") + F.col("_from"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_rank").cast("long").alias("_rank")).mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -1,9 +1,10 @@
-"""Quality rules: counts of words, symbols and repeats, and the fertility of a public vocabulary.
+"""Quality rules: counts of words, symbols and repeats, and the fertility of public vocabularies.
 
-A text that a vocabulary for natural language cuts into unusually short or long pieces, spells in
-single bytes, or covers with few or too evenly spread pieces is seldom prose.  Three measures of
-each whole text -- characters per token, share of byte-fallback tokens (line feeds and tabs aside),
-entropy of its tokens in bits -- are held against one band per language.  Length is taken out of the
+A text that vocabularies for natural language cut into unusually short or long pieces, spell in
+single bytes, or cover with few or too evenly spread pieces is seldom prose.  Four measures of
+each whole text -- characters per token of a piece vocabulary and of a byte-level one, share of
+byte-fallback tokens (line feeds and tabs aside) and entropy in bits of the pieces -- are held against
+one band per language.  Length is taken out of the
 measures: their trend and the logarithm of their spread are curves in log2 of the number of tokens,
 fitted to all lengths of the language at once (least absolute deviations, so that a class of length
 full of junk, or one that holds a single document, neither bends them nor has a band of its own).
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import load, words
 from .common import Memo, stored
 from .shingles import GOLDEN, WORD_HASHES, mixed
 from .token_counts import pieces
@@ -35,19 +37,19 @@ TREND, SPREAD = 2, 1
 #: First code points of the ranges that tell scripts apart: Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and so on, Latin again, Han and kana, Hangul, others.
 SCRIPTS = np.array([0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00, 0x1E00, 0x2E80, 0xAC00, 0xD7B0], np.uint32)
 #: Least deviation of each measure.
-LEAST = {"chars_per_token": 0.02, "byte_share": 0.004, "token_entropy": 0.08}
+LEAST = {"chars_per_token": 0.02, "byte_share": 0.004, "token_entropy": 0.08, "chars_per_byte_token": 0.02}
 
 
 def word_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    words = text.encode().split()
-    n = len(words)
+    found = text.encode().split()
+    n = len(found)
     chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [line for line in text.split("\n") if line.strip(BLANKS)]
     repeated = 0
     if n > WINDOW:
-        h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, n)
+        h = np.fromiter(map(WORD_HASHES.__getitem__, found), np.uint64, n)
         window = h[: n - WINDOW + 1]
         for i in range(1, WINDOW):
             window = mixed(window * GOLDEN) + h[i : n - WINDOW + 1 + i]
@@ -71,8 +73,8 @@ def script(text: str) -> int:
 
 
 @lru_cache(2)
-def fertility(path: str):
-    """A function of a text: tokens, characters per token, byte-fallback share, token entropy."""
+def fertility(path: str, ranks: str):
+    """A function of a text: tokens, characters per token, byte-fallback share, token entropy under the pieces of `path`; characters per token under the byte-level `ranks`."""
     import sentencepiece
 
     model, split = sentencepiece.SentencePieceProcessor(model_file=path), pieces(path).split
@@ -88,36 +90,38 @@ def fertility(path: str):
             found = model.encode(token[1:]) if token[0] == " " else model.encode("\n" + token)[2:]
         return np.array(found, np.int32).tobytes()
 
-    known = Memo(ids, 500_000)
+    known, by_bytes = Memo(ids, 250_000), load(ranks)
+    n_ids = Memo(lambda word: len(by_bytes.ids(word.encode())), 250_000)
     if split("a\nb") != [" a", "\n", "b"]:  # a vocabulary whose texts can't be split is given whole texts
         known = Memo(lambda token: np.array(model.encode(token), np.int32).tobytes(), 1)
 
-    def measures(text: str) -> tuple[int, float, float, float]:
+    def measures(text: str) -> tuple[int, float, float, float, float]:
         found = np.frombuffer(b"".join(map(known.__getitem__, split(text))), np.int32)
         if not len(found):
-            return 0, 0.0, 0.0, 0.0
+            return 0, 0.0, 0.0, 0.0, 0.0
         share = np.unique(found, return_counts=True)[1] / len(found)
-        return len(found), len(text) / len(found), float(fallback[found].mean()), float(-(share * np.log2(share)).sum())
+        n_bytes = max(1, sum(map(n_ids.__getitem__, words(text))))
+        return len(found), len(text) / len(found), float(fallback[found].mean()), float(-(share * np.log2(share)).sum()), len(text) / n_bytes
 
     return measures
 
 
-def measured(docs: DataFrame, path: str) -> DataFrame:
-    """The counts and measures of each row's whole text."""
+def measured(docs: DataFrame, path: str, ranks: str) -> DataFrame:
+    """The counts and measures of each row's whole text; lang is the language behind a mark, and another mark where it is null."""
 
     def run(batches):
-        measures = fertility(path)
+        measures = fertility(path, ranks)
         for batch in batches:
             rows = [(*word_counts(text or ""), *measures(text or ""), script(text or "")) for text in batch.column("text").to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * 10
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.int32()]
+            columns = list(zip(*rows)) if rows else [()] * 11
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(c, k) for c, k in zip(columns, kinds))], NAMES)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return found.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")).alias("lang"), "text")
+    return found.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, chars_per_byte_token double, script int")
 
 
-NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script"]
+NAMES = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "chars_per_byte_token", "script"]
 
 
 def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, degree: int) -> np.ndarray:
@@ -176,15 +180,15 @@ def bands(table: DataFrame) -> DataFrame:
     return stored(out.select("lang", "script", F.coalesce("bl", "bs", "ba").alias("b")).select("lang", "script", "b.*"), "bands")
 
 
-def quality_rules(docs: DataFrame, path: str, width: float = WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, path: str, width: float = WIDTH, ranks: str | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the measures.
 
-    A row for each row of docs (doc_id, text, lang).  base_failed: under 10 words, or over 20 % of them
+    A row for each row of docs (doc_id, text, lang); path: of the pieces, ranks: of the byte-level vocabulary.  base_failed: under 10 words, or over 20 % of them
     in 5-word windows found twice or more; null and empty texts fail so.  kept: not base_failed, and
     every measure within its band; documents of a null language form a language of their own.  A language
     of under ENOUGH documents is held against its script, a script of under ENOUGH against all documents.
     """
-    table = stored(measured(docs, path), "measures")
+    table = stored(measured(docs, path, ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), "measures")
     table = table.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     table = table.withColumn("length", F.log2(F.greatest("n_tokens", F.lit(1)).cast("double")))
     # a row for each language and script (some tens of them) in a stored table: broadcast while it is small, by its size

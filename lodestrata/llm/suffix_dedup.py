@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .shingles import GOLDEN, WORD_HASHES, mixed
 
 #: Words of a passage that count as a repeat; words by which suffixes are sorted.
@@ -198,18 +198,23 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated passages cut out of `text`, of which the first occurrence stays; all rows and columns are kept, n_chars follows the text."""
-    spans = repeats(docs, window).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+def without_repeats(docs: DataFrame, window: int = WINDOW, by: str = "doc_id") -> DataFrame:
+    """docs with repeated passages cut out of `text`, of which the first occurrence, in order of the column `by`, stays.
+
+    All rows and columns are kept, n_chars follows the text; rows without a number in `by` stay as they are.
+    """
+    key, found = fresh(docs, "_key"), fresh(docs, "_spans")
+    spans = repeats(docs.select(F.col(by).alias("doc_id"), "text"), window)
+    spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(found))
 
     @F.pandas_udf("string")
     def cleaned(texts, spans):
         return texts.combine(spans, lambda text, found: text if text is None or found is None or len(found) == 0 else cut(text, [(x["start_word"], x["end_word"]) for x in found]))
 
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned("text", "_spans")))
+    joined = docs.join(spans, F.col(by) == F.col(key), "left")
+    joined = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cleaned("text", found)))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(*docs.columns)
 
 

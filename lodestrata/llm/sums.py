@@ -6,6 +6,7 @@ every other (document, unit, frequency) row goes through a shuffle join on the u
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
 
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, stored
 
-#: Distinct units that one Python worker counts before it passes their counts on.
-FLUSH = 500_000
-#: Most units that are broadcast.
-HOT = 800_000
+#: Distinct units, and characters of texts, that one Python worker counts before it passes their counts on.
+FLUSH, CHARACTERS = 300_000, 1 << 26
+#: Most units that are broadcast; frequency up to which frequencies are told apart exactly, beyond it by steps of a hundredth.
+HOT, EXACT = 400_000, 10_000
 
 
 def unit_counts(docs: DataFrame, split: Callable[[], Callable[[str], Iterable[str]]], units: Callable[[str], list[str]] | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def unit_counts(docs: DataFrame, split: Callable[[], Callable[[str], Iterable[st
     """
 
     def run(batches):
-        words, seen = split(), Counter()
+        words, seen, size = split(), Counter(), 0
 
         def counted():
             found = seen
@@ -42,31 +43,54 @@ def unit_counts(docs: DataFrame, split: Callable[[], Callable[[str], Iterable[st
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.update(words(text or ""))
-                if len(seen) > FLUSH:
+                size += len(text or "")
+                if len(seen) > FLUSH or size > CHARACTERS:
                     yield counted()
                     seen.clear()
+                    size = 0
         yield counted()
 
     return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+#: The broadcast table that this worker used last.
+KNOWN: dict = {}
+
+
+def values(key: str, table) -> dict:
+    """The broadcast values by unit, made once in a worker."""
+    if key not in KNOWN:
+        KNOWN.clear()
+        KNOWN[key] = dict(zip(table.value.column("unit").to_pylist(), table.value.column("value").to_pylist()))
+    return KNOWN[key]
+
+
+def level(exact: int = EXACT):
+    """A whole number that rises with the frequency n: n itself up to `exact`, then one for each hundredth more."""
+    return F.when(F.col("n") <= exact, F.col("n")).otherwise(exact + 1 + F.floor(F.log(F.greatest("n", F.lit(exact)) / F.lit(float(exact))) / F.log(F.lit(1.01))))
+
+
+def commonest(table: DataFrame, hot: int, exact: int = EXACT) -> int:
+    """The least level at which no more than `hot` units of table (unit, n) remain; beyond all levels if the highest alone has more."""
+    least, total = 1 << 60, 0
+    for n, count in table.groupBy(level(exact).alias("l")).count().orderBy(F.desc("l")).collect():  # a row for each level
+        total += count
+        if total > hot:
+            break
+        least = n
+    return least
+
+
 def unit_sums(docs: DataFrame, split, units, table: DataFrame, size: Callable[[str], int], hot: int = HOT, exact: bool = True) -> DataFrame:
     """doc_id, the other columns of docs but text, size (of the text) and total: the sum over the text's units of frequency times value.
 
-    table: (unit, n, value) of all units, n being the frequency in the corpus; exact: values are whole numbers.
+    table: (unit, n, value) of all units, n being the frequency in the corpus; exact: values are whole
+    numbers. At most `hot` units, the commonest, are broadcast.
     """
     spark = docs.sparkSession
     kind, arrow = ("long", pa.int64()) if exact else ("double", pa.float64())
-    # the least frequency at which at most `hot` units remain
-    least, total = 10_001, 0
-    for n, count in table.select(F.least("n", F.lit(10_000)).alias("n")).groupBy("n").count().orderBy(F.desc("n")).collect():
-        total += count
-        if total > hot:
-            break
-        least = n
-    frequent = table.where(F.col("n") >= least).select("unit", "value").toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(frequent.column("unit").to_pylist(), frequent.column("value").to_pylist())))
-    del frequent
+    least = commonest(table, hot)
+    key, known = uuid.uuid4().hex, spark.sparkContext.broadcast(table.where(level() >= least).select("unit", "value").toArrow())
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     names = ["row", "doc_id", *(f.name for f in others), "size", "unit", "total", "n"]
     schema = ", ".join(["row long", "doc_id long", *(f"{f.name} {f.dataType.simpleString()}" for f in others), "size long", "unit string", f"total {kind}", "n long"])
@@ -75,7 +99,7 @@ def unit_sums(docs: DataFrame, split, units, table: DataFrame, size: Callable[[s
         """A row without unit for each document, with the sum over its frequent units; a row for each of its other units."""
         from pyspark import TaskContext
 
-        have, row = known.value, TaskContext.get().partitionId() << 40
+        have, row = values(key, known), TaskContext.get().partitionId() << 40
 
         def valued(word):
             found = [word] if units is None else units(word)
@@ -104,7 +128,7 @@ def unit_sums(docs: DataFrame, split, units, table: DataFrame, size: Callable[[s
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(nulls, batch.column(c).type) for c in names[1 : 2 + len(others)]), pa.array(nulls, pa.int64()), pa.array(missing, pa.string()), pa.array(nulls, arrow), pa.array(ns, pa.int64())], names)
 
     rows = stored(docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", *(f.name for f in others), "text").mapInArrow(run, schema), "frequencies")
-    joined = rows.where("unit is not null").select("row", "unit", "n").join(table.where(F.col("n") < least).select("unit", "value"), "unit")
+    joined = rows.where("unit is not null").select("row", "unit", "n").join(table.where(level() < least).select("unit", "value"), "unit")
     joined = joined.groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("_rest"))
     whole = rows.where("unit is null").drop("unit", "n").join(joined, "row", "left")
     return whole.withColumn("total", F.col("total") + F.coalesce("_rest", F.lit(0).cast(kind))).drop("row", "_rest")

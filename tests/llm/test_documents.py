@@ -124,6 +124,8 @@ def test_repeats(spark, small, odd, empty):
     assert suffix_dedup.repeats(empty).count() == 0
     out = suffix_dedup.without_repeats(odd)
     assert out.count() == 10 and out.columns == odd.columns
+    clash = odd.withColumnsRenamed({"kept": "_key", "n_tokens": "_spans"})
+    assert suffix_dedup.without_repeats(clash).columns == clash.columns and suffix_dedup.without_repeats(clash).count() == 10
 
 
 def test_cut():
@@ -140,6 +142,39 @@ def test_language(small, odd, empty):
     assert language_id.language_id(empty, small).count() == 0
 
 
+def test_language_against_definition(spark, small):
+    """Code lengths of whole texts, byte by byte, by the definition, and the language of the shortest."""
+    docs = small.where("lang is not null and text is not null").where(~language_id.held_out())
+    trees = defaultdict(lambda: defaultdict(Counter))
+    for r in docs.collect():
+        for word in r.text.lower().encode().split():
+            data = b" " + word + b" "
+            for at in range(1, len(data)):
+                for order in range(min(at, language_id.ORDER) + 1):
+                    trees[r.lang][data[at - order : at]][data[at]] += 1
+
+    def bits(tree, context, byte):
+        total, excluded = 0.0, set()
+        for start in range(len(context) + 1):
+            counts = {b: n for b, n in tree.get(context[start:], {}).items() if b not in excluded}
+            if not counts:
+                continue
+            whole = sum(counts.values()) + len(counts)
+            if byte in counts:
+                return total - math.log2(counts[byte] / whole)
+            total -= math.log2(len(counts) / whole)
+            excluded |= counts.keys()
+        return total + math.log2(256 - len(excluded))
+
+    some = {r.doc_id: r.text for r in small.where("length(text) < 1500").orderBy("doc_id").limit(25).collect()}
+    got = {r.doc_id: r for r in language_id.language_id(small, docs).collect()}
+    for i, text in some.items():
+        lengths = {lang: sum(bits(tree, data[max(0, at - language_id.ORDER) : at], data[at]) for word in text.lower().encode().split() for data in [b" " + word + b" "] for at in range(1, len(data))) for lang, tree in trees.items()}
+        if any(map(str.isalpha, text)):
+            best = min(lengths, key=lambda lang: (lengths[lang], lang))
+            assert got[i].lang_pred == best and got[i].score == pytest.approx(1 / sum(2 ** min(0, lengths[best] - x) for x in lengths.values()))
+
+
 def test_code_lengths_are_a_distribution():
     words = Counter({b"banana": 3, b"band": 2, b"nab": 1})
     tree = language_id.Trees([("x", c, b, n) for (c, b), n in language_id.contexts(words).items()]).trees[0]
@@ -158,6 +193,49 @@ def test_toxicity(spark, odd, empty, labels):
     assert toxicity.not_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_against_definition(spark, small, labels):
+    """Features by the likelihood ratio, grades by their marks, and chances from the weights, all in plain Python."""
+    texts = {r.doc_id: r.text for r in small.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts}
+    number, w, theta = toxicity.train(small, labels)
+    count = {0: Counter(), 1: Counter()}
+    for i, y in known.items():
+        count[y].update({f for word in set(toxicity.words(texts[i])) for f in toxicity.features_of(word)})
+    na, nb = sum(known.values()), len(known) - sum(known.values())
+
+    def g2(f):
+        a, b = count[1][f], count[0][f]
+        cells = [(a, (a + b) * na / (na + nb)), (b, (a + b) * nb / (na + nb)), (na - a, (na + nb - a - b) * na / (na + nb)), (nb - b, (na + nb - a - b) * nb / (na + nb))]
+        return 2 * sum(x * math.log(x / e) for x, e in cells if x)
+
+    scores = {f: g2(f) for f in count[0] | count[1] if count[0][f] + count[1][f] >= toxicity.LEAST}
+    assert set(number) == {f for f, x in scores.items() if x > toxicity.WEIGHED} and len(number) < toxicity.FEATURES
+    assert [scores[f] for f in number] == pytest.approx(sorted(scores[f] for f in number)[::-1])
+    assert (np.diff(theta) > 0).all() and len(theta) == toxicity.GRADES
+    for r in toxicity.toxicity(small, labels).collect():
+        found = Counter(f for word in toxicity.words(texts[r.doc_id]) for f in toxicity.features_of(word) if f in number)
+        score = w[0] * math.log1p(len(toxicity.words(texts[r.doc_id]))) / 10 + sum(w[number[f]] * (1 + math.log(n)) for f, n in found.items())
+        above = [1 / (1 + math.exp(t - score)) for t in theta]
+        assert r.expected_severity == pytest.approx(sum(above), abs=1e-6) and r.p_toxic == pytest.approx(above[0], abs=1e-6) and r.toxic == (r.p_toxic >= toxicity.CUT)
+
+
+def test_ordinal_fit_is_a_maximum():
+    """No small change of a weight or a threshold makes the grades likelier."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (500, 2))
+    grades = np.digitize(x @ [1.5, -1] + rng.logistic(0, 1, 500), [0, 1, 2.5])
+    w, theta = toxicity.fit([[(0, a), (1, b)] for a, b in x], grades, 2)
+
+    def loss(w, theta):
+        above = np.hstack([np.ones((500, 1)), 1 / (1 + np.exp(theta[None, :] - (x @ w)[:, None])), np.zeros((500, 1))])
+        return -np.log(above[np.arange(500), grades] - above[np.arange(500), grades + 1]).mean() + toxicity.RIDGE / 2 * (w @ w)
+
+    for i in range(5):
+        for step in (-0.05, 0.05):
+            d = np.eye(5)[i] * step
+            assert loss(w + d[:2], theta + d[2:]) > loss(w, theta) - 1e-6
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(4)
     x = rng.uniform(0, 4, 400)
@@ -170,13 +248,16 @@ def test_ordinal_fit_orders_grades():
 
 def test_kneser_ney_against_definition(small, labels, odd, empty):
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    held = good & {r.doc_id for r in small.where(kneser_ney.reserved()).collect()}
     counts = {kneser_ney.N: Counter()}
     texts = {r.doc_id: r.text for r in small.collect()}
-    for i in good & texts.keys():
+    for i in (good - held) & texts.keys():
         for word in texts[i].split():
             counts[kneser_ney.N].update(kneser_ney.grams(word))
-    for k in range(kneser_ney.N - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    for k in range(kneser_ney.N - 1, 0, -1):  # symbols before a gram; occurrences of one that a word starts with
+        counts[k] = Counter()
+        for g, n in counts[k + 1].items():
+            counts[k][g[1:]] += n if g[1] == kneser_ney.START else 1
     discounts = {k: kneser_ney._discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]) for k, c in counts.items()}
     total, held = defaultdict(float), defaultdict(float)
     for k, c in counts.items():
@@ -193,7 +274,11 @@ def test_kneser_ney_against_definition(small, labels, odd, empty):
         n = counts[k].get(g, 0)
         return ((n - discounts[k][min(n, 3) - 1] if n else 0) + held[k, g[:-1]] * low) / total[k, g[:-1]]
 
-    for r in kneser_ney.quality(small, labels).collect():
+    rows = kneser_ney.quality(small, labels).collect()
+    seen = sorted(r.perplexity for r in rows if r.doc_id in held and r.perplexity is not None)
+    bound = seen[math.ceil(kneser_ney.QUANTILE * len(seen)) - 1]  # no language has enough for one of its own here
+    assert all(r.kept == (r.perplexity is not None and r.perplexity <= bound * (1 + 1e-12)) for r in rows) and not all(r.kept for r in rows)
+    for r in rows:
         grams = [g for word in texts[r.doc_id].split() for g in kneser_ney.grams(word)]
         assert r.n_symbols == len(grams) and r.perplexity == pytest.approx(math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)))
     got = {r.doc_id: r for r in kneser_ney.quality(odd, labels).collect()}
@@ -202,6 +287,84 @@ def test_kneser_ney_against_definition(small, labels, odd, empty):
     assert all(r.kept == (r.n_symbols > 0) for r in kneser_ney.quality(odd, labels.where("1 = 0")).collect())
 
 
+def test_kneser_ney_thresholds_by_language(spark):
+    """With enough reserved documents a language has its own quantile of them."""
+    docs, known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = kneser_ney.quality(docs, known).collect()
+    held = {r.doc_id for r in docs.where(kneser_ney.reserved()).collect()}
+    seen = defaultdict(list)
+    for r in rows:
+        if r.trusted and r.doc_id in held and r.perplexity is not None:
+            seen[r.lang].append(r.perplexity)
+    quantile = lambda x: sorted(x)[math.ceil(kneser_ney.QUANTILE * len(x)) - 1]
+    overall = quantile([x for v in seen.values() for x in v])
+    assert any(len(v) >= kneser_ney.ENOUGH for v in seen.values())
+    for r in rows:
+        assert r.threshold == pytest.approx(quantile(seen[r.lang]) if len(seen[r.lang]) >= kneser_ney.ENOUGH else overall)
+    truth = {r.doc_id: r.quality for r in known.collect()}
+    good, bad = ([r.kept for r in rows if truth.get(r.doc_id) == q] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_fertility_bands_against_definition(small, odd):
+    """Measures by the libraries on whole texts; a document is kept that passes the base rules and is within every band of its language, script or all."""
+    import sentencepiece
+    import tiktoken
+
+    from lodestrata.llm import bpe
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ranks = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = small.select("doc_id", "text", "lang").unionByName(odd.where("doc_id is not null").dropDuplicates(["doc_id"]).selectExpr("doc_id + 10000000 as doc_id", "text", "lang"))
+    texts = {r.doc_id: (r.text or "", r.lang) for r in docs.collect()}
+    rows, names = {}, list(quality_rules.LEAST)
+    for i, (text, lang) in texts.items():
+        ids = model.encode(text)
+        share = np.array(list(Counter(ids).values())) / max(1, len(ids))
+        fallback = sum(model.is_byte(x) and model.id_to_piece(x) not in ("<0x0A>", "<0x09>", "<0x0D>") for x in ids)
+        rows[i] = [len(text) / len(ids), fallback / len(ids), float(-(share * np.log2(share)).sum()), len(text) / len(tik.encode_ordinary(text))] if ids else [0.0] * 4
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, PIECES).collect()}
+    for i, want in rows.items():
+        assert [got[i][c] for c in names] == pytest.approx(want)
+    length = {i: math.log2(max(1, len(model.encode(t)))) for i, (t, _) in texts.items()}
+    groups = defaultdict(list)
+    for i, (t, lang) in texts.items():
+        if not got[i].base_failed:
+            for band in (("lang", lang), ("script", quality_rules.script(t)), "all"):
+                groups[band].append(i)
+
+    def curves(members, of, degree, logarithm):
+        classes = defaultdict(list)
+        for i in members:
+            classes[math.floor(length[i])].append(i)
+        classes = [classes[k] for k in sorted(classes)]
+        n, x = np.array([len(c) for c in classes]), np.array([np.mean([length[i] for i in c]) for c in classes])
+        low, high = x[np.cumsum(n) >= quality_rules.ENDS * n.sum()][0], x[np.cumsum(n[::-1])[::-1] >= quality_rules.ENDS * n.sum()][-1]
+        fitted = []
+        for m, name in enumerate(names):
+            y = np.array([sorted(of[i][m] for i in c)[math.ceil(0.5 * len(c)) - 1] for c in classes])
+            y = np.log(np.maximum(1.4826 * y, quality_rules.LEAST[name] / 4)) if logarithm else y
+            fitted.append(quality_rules.curve(np.clip(x, low, high) - quality_rules.MIDDLE, y, n, degree))
+        return low, high, lambda m, i, low=low, high=high: sum(c * (min(max(length[i], low), high) - quality_rules.MIDDLE) ** k for k, c in enumerate(fitted[m]))
+
+    bands = {}
+    for band, members in groups.items():
+        low, high, trend = curves(members, rows, quality_rules.TREND, False)
+        off = {i: [abs(rows[i][m] - trend(m, i)) for m in range(4)] for i in members}
+        bands[band] = low, high, trend, curves(members, off, quality_rules.SPREAD, True)[2]
+    close = 0
+    for i, (t, lang) in texts.items():
+        band = next(b for b in (("lang", lang), ("script", quality_rules.script(t)), "all") if b == "all" or len(groups[b]) >= quality_rules.ENOUGH)
+        _, _, trend, spread = bands[band]
+        off = [abs(rows[i][m] - trend(m, i)) / (quality_rules.WIDTH * max(math.exp(spread(m, i)), quality_rules.LEAST[name])) for m, name in enumerate(names)]
+        if all(abs(x - 1) > 1e-6 for x in off):
+            assert got[i].kept == (not got[i].base_failed and all(x <= 1 for x in off))
+        else:
+            close += 1
+    assert close <= 2 and any(not r.kept and not r.base_failed for r in got.values())
+
+
 def test_quality_counts(small, odd, empty):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for docs in (small, odd):
@@ -255,6 +418,46 @@ def test_fingerprints(small, odd, empty):
     assert fingerprints.edit_likeness(empty).count() == 0
 
 
+def test_fingerprint_against_definition(small, odd):
+    """Bits by votes added up term by term in Python, with hashes of one's own."""
+    import xxhash
+
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    golden = 0x9E3779B97F4A7C15
+    texts = [r.text or "" for r in small.where("length(text) < 4000").orderBy("doc_id").limit(20).collect()] + ["", "one", "one two one two"] + [r.text or "" for r in odd.where("doc_id <> 6").collect()]
+    for text in texts:
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+        terms = Counter([mixed((mixed(a * golden & mask) + b) & mask) for a, b in zip(h, h[1:])] if len(h) > 1 else map(mixed, h))
+        votes = np.zeros(fingerprints.BITS)
+        for term, n in terms.items():
+            raw = b"".join(mixed((term + k * golden) & mask).to_bytes(8, "little") for k in (1, 2))
+            signs = np.array([1 if byte >> 7 - i & 1 else -1 for byte in raw for i in range(8)])
+            votes += signs * (1 + math.log(n))
+        got = np.unpackbits(fingerprints.fingerprint(text)).astype(bool)
+        assert all(g == (v > 0) for g, v in zip(got, votes) if abs(v) > 1e-3)
+
+
+def test_long_text_in_blocks():
+    text = " ".join(f"w{i}" for i in range(200_000))
+    whole, fingerprints.BLOCK = fingerprints.BLOCK, 1 << 30
+    try:
+        want = fingerprints.fingerprint(text)
+    finally:
+        fingerprints.BLOCK = whole
+    assert np.bitwise_count(fingerprints.fingerprint(text) ^ want).sum() <= 1
+    x = np.unique(np.random.default_rng(1).integers(0, 2**63, 3 * near_dedup.CHUNK // 2).astype(np.uint64))
+    parts = near_dedup.merged(*(near_dedup.sketches([x[i : i + near_dedup.CHUNK]]) for i in range(0, len(x), near_dedup.CHUNK)))
+    assert (parts == near_dedup.sketches([x])[0]).all()
+
+
 def test_block_tables_find_all(spark, small):
     prints = fingerprints.fingerprints(small)
     rows = [(r.doc_id, np.frombuffer(r.fingerprint, np.uint8)) for r in prints.collect()]

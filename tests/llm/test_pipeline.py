@@ -28,7 +28,8 @@ def test_stages(spark, small, labels, tmp_path):
 
 
 def test_odd_rows_pass(spark, odd, empty, tmp_path):
-    for name, docs in (("odd", odd), ("empty", empty)):
+    clash = odd.withColumnsRenamed({"kept": "_row", "n_tokens": "_key"})
+    for name, docs in (("odd", odd), ("empty", empty), ("clash", clash)):
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"{name}{i}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))

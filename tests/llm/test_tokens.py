@@ -104,3 +104,63 @@ def test_configurations_cover(lengths):
         for x in items:
             covered[x] += copies
     assert (covered == demand).all()
+
+
+def covered(found, capacity):
+    out = np.zeros(capacity + 1, int)
+    for items, copies in found:
+        assert sum(items) <= capacity and copies > 0
+        np.add.at(out, list(items), copies)
+    return out
+
+
+def test_program_is_never_worse_than_best_fit_and_near_its_bound():
+    rng = np.random.default_rng(1)
+    five, middle = np.zeros(4097, int), np.bincount(rng.integers(1100, 1701, 20_000), minlength=4097)
+    five[[900, 1366, 1400, 1500, 2731]] = 12_000
+    logs = np.bincount(np.clip(rng.lognormal(5.5, 1.2, 20_000).astype(int), 1, 4096), minlength=4097)
+    number = lambda found: sum(n for _, n in found)
+    for demand, gap in ((five, 0), (middle, 0.03), (logs, 0.001)):
+        found, plain, least = packing.configurations(demand, 4096), number(packing.best_fit(demand, 4096)), packing.least(demand, 4096)
+        assert (covered(found, 4096) == demand).all()
+        assert least <= number(found) <= min(plain, least * (1 + gap) + 1)
+    assert number(packing.configurations(middle, 4096)) < 0.95 * number(packing.best_fit(middle, 4096))
+
+
+def test_least_is_a_bound():
+    """No packing of a few pieces, tried in every way, needs fewer sequences than the bound."""
+
+    def fewest(items, rooms):
+        if not items:
+            return len(rooms)
+        first, rest = items[0], items[1:]
+        tries = [fewest(rest, rooms[:i] + (r - first,) + rooms[i + 1 :]) for i, r in enumerate(rooms) if r >= first]
+        return min([*tries, fewest(rest, (*rooms, 64 - first))])
+
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        items = tuple(int(x) for x in rng.integers(2, 60, 6))
+        demand = np.bincount(items, minlength=65)
+        assert packing.least(demand, 64) <= fewest(items, ()) <= sum(n for _, n in packing.configurations(demand, 64))
+
+
+def test_frequent_units_beyond_the_bound_are_not_broadcast(spark):
+    """With more units of one frequency than may be broadcast none is, and of levels all that fit are."""
+    from lodestrata.llm import sums
+
+    table = spark.createDataFrame([(f"u{i}", 20_000, 1) for i in range(500)] + [("v", 90_000, 1), ("w", 7, 1)], "unit string, n long, value long")
+    for hot, want in ((10, {"v"}), (0, set()), (501, {"v"} | {f"u{i}" for i in range(500)}), (502, None)):
+        least = sums.commonest(table, hot)
+        got = {r.unit for r in table.where(sums.level() >= least).collect()}
+        assert got == ({r.unit for r in table.collect()} if want is None else want)
+
+
+def test_long_words(spark, tik):
+    """One word of a million bytes among short ones."""
+    text = "a " + "xyzéq" * 170_000 + " b"
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(docs, RANKS).collect()}
+    want = np.array(tik.encode_ordinary(text), "<u4")
+    assert (got[1].n_tokens, got[1].ids_sha256) == (len(want), hashlib.sha256(want.tobytes()).hexdigest())
+    whole = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, PIECES).collect()} == {1: len(whole.encode(text)), 2: len(whole.encode("a b"))}
