@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import stored
+from lodestrata.llm.common import fresh, stored
 from lodestrata.llm.near_dedup import near_duplicates
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality_rules import quality_rules
@@ -21,28 +21,24 @@ from lodestrata.llm.toxicity import not_toxic
 SHINGLE, SIMILARITY = 2, 80
 
 
-def _keyed(docs: DataFrame, ordered: bool = False) -> DataFrame:
-    """docs with a number of each row in _row, written once; ordered: numbers rise with doc_id (null last), then with a hash of the text."""
+def _keyed(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
+    """docs with a number of each row, written once, and the name of that column; ordered: numbers rise with doc_id (null last), then with a hash of the text."""
+    row = fresh(docs, "_row")
     if ordered:
         docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def _by_row(keyed: DataFrame) -> DataFrame:
-    """Rows of _keyed with their number for a doc_id, so that operators judge each row by its own text."""
-    return keyed.withColumn("doc_id", F.col("_row"))
-
-
-def _of(keyed: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of keyed whose number is the doc_id of a row of kept."""
-    return keyed.join(kept.select(F.col("doc_id").alias("_row")), "_row", "left_semi").drop("_row")
+def _of(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows of keyed whose number is the doc_id of a row of kept, without the number."""
+    return keyed.join(kept.select(F.col("doc_id").alias(row)), row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and the fertility bands of their language."""
-    keyed = _keyed(docs)
-    rules = quality_rules(_by_row(keyed), public_tokenizers.path("piece_bpe_32k.model"))
-    return _of(keyed, rules.where("kept")).select(*docs.columns)
+    """Rows that pass the base rules and the fertility bands of their language; each row is judged by its own text."""
+    keyed, row = _keyed(docs)
+    rules = quality_rules(keyed.select(F.col(row).alias("doc_id"), "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
+    return _of(keyed, row, rules.where("kept")).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +48,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near duplicates, in order of doc_id, null last; rows without words stay."""
-    keyed = _keyed(docs, ordered=True)
-    return _of(keyed, near_duplicates(_by_row(keyed), SHINGLE, SIMILARITY).where("kept")).select(*docs.columns)
+    keyed, row = _keyed(docs, ordered=True)
+    return _of(keyed, row, near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), SHINGLE, SIMILARITY).where("kept")).select(*docs.columns)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages of 50 words and more that an earlier one holds, in order of doc_id, null last."""
-    keyed = _keyed(docs, ordered=True)
-    cut = without_repeats(_by_row(keyed)).drop("doc_id")
-    return cut.join(keyed.select("_row", "doc_id"), "_row").select(*docs.columns)
+    keyed, row = _keyed(docs, ordered=True)
+    return without_repeats(keyed, by=row).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
