@@ -6,10 +6,12 @@ the order and ts the time; GPS, barometer and estimator points are derived from
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import features, flatten, learning, relations, roles, telemetry
+from lodestrata.operators import explore, features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import profile
 
 QUERIES: dict = {}
@@ -49,13 +51,16 @@ ENTITIES = """leaves AS (
   SELECT c_custkey seq, unnest(['c_name','c_mktsegment','c_nationkey','c_acctbal']) path,
          unnest([c_name, c_mktsegment, c_nationkey::varchar, round(c_acctbal*100)::bigint::varchar]) "value" FROM customer
   UNION ALL SELECT page_id, 'url', url FROM pages
-  UNION ALL SELECT doc_id, unnest(['lang','source']), unnest([lang, source]) FROM documents)"""
+  UNION ALL SELECT doc_id, unnest(['lang','source']), unnest([lang, source]) FROM documents
+  UNION ALL SELECT event_id, 'seen_at', strftime(ts,'%Y-%m-%d %H:%M:%S') FROM events)"""
 
 
 def entity_leaves(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return flatten.flatten_columns(customer, "c_custkey").unionByName(flatten.flatten_columns(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id")).unionByName(flatten.flatten_columns(docs, "doc_id"))
+    seen = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
+    parts = (customer, "c_custkey"), (table(spark, sf_dir, "pages").select("page_id", "url"), "page_id"), (docs, "doc_id"), (seen, "event_id")
+    return reduce(DataFrame.unionByName, (flatten.flatten_columns(*p) for p in parts))
 
 
 @query(f"WITH {LEAVES} SELECT path, count(*) n, count(\"value\") filled, min(\"value\") lo, max(\"value\") hi FROM leaves GROUP BY path")
@@ -68,16 +73,15 @@ def flatten_json_props(spark, sf_dir):
     return flatten.flatten_json(table(spark, sf_dir, "events"), "event_id", "props")
 
 
-@query("""WITH l AS (SELECT event_id seq, unnest([event_type, 'always']) path, unnest([CASE WHEN user_id % 3 <> 0 THEN user_id END, event_id]) v FROM events WHERE event_id >= 7),
- kept AS (SELECT * FROM l WHERE path <> 'error' OR seq > 5000),
- f AS (SELECT path, min(seq) mn, count(v) filled, count(DISTINCT v) u FROM kept GROUP BY path)
+@query("""WITH l AS (SELECT event_id seq, unnest([event_type, 'always', 'd' || length(event_id::varchar)]) path, unnest([CASE WHEN user_id % 3 <> 0 THEN user_id END, event_id, user_id % 10]) v FROM events),
+ f AS (SELECT path, min(seq) mn, count(v) filled, count(DISTINCT v) u FROM l GROUP BY path)
  SELECT path, (SELECT count(*) FROM events WHERE event_id >= f.mn) sample_count, (SELECT count(*) FROM events WHERE event_id >= f.mn) - filled null_count, u unique_count FROM f""")
 def field_counts(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    late = events.where("event_id >= 7")
-    one = late.where("event_type <> 'error' or event_id > 5000").select(F.col("event_id").alias("seq"), F.col("event_type").alias("path"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).cast("string").alias("value"))
-    two = late.select(F.col("event_id").alias("seq"), F.lit("always").alias("path"), F.col("event_id").cast("string").alias("value"))
-    return flatten.field_counts(one.unionByName(two), events, "event_id")
+    """Paths that come first at the start (types, always) and late (numbers of so many digits) in the events."""
+    events, seq = table(spark, sf_dir, "events"), F.col("event_id")
+    leaf = lambda path, value: F.struct(path.alias("path"), value.cast("string").alias("value"))
+    leaves = F.array(leaf(F.col("event_type"), F.when(F.col("user_id") % 3 != 0, F.col("user_id"))), leaf(F.lit("always"), seq), leaf(F.concat(F.lit("d"), F.length(seq.cast("string"))), F.col("user_id") % 10))
+    return flatten.field_counts(events.select(seq.alias("seq"), F.explode(leaves).alias("l")).select("seq", "l.*"), events, "event_id")
 
 
 def _features_sql(leaves: str) -> str:
@@ -117,19 +121,28 @@ def entity_feature_matrix(spark, sf_dir):
     return _rounded(features.field_features(entity_leaves(spark, sf_dir)))
 
 
-@query(f"""WITH {ENTITIES}, a AS (SELECT path, count("value") n, count(DISTINCT "value") u, count(DISTINCT "value")/count("value")::double card, avg(length("value")) len, var_pop(length("value"))/(avg(length("value"))**2+1e-10) lvr,
+#: Shares of the first ten distinct values of a path that fit each format, in SQL.
+SAMPLED = """tn AS (SELECT path, "value" v FROM (SELECT path, "value", row_number() OVER (PARTITION BY path ORDER BY "value") r FROM (SELECT DISTINCT path, "value" FROM leaves WHERE "value" IS NOT NULL)) WHERE r <= 10),
+ sm AS (SELECT path, avg(regexp_matches(v,'^\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}$')::int) ip4, avg(regexp_matches(v,'^([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$')::int) ip6, avg(regexp_matches(v,'^([0-9a-fA-F]{2}[:\\-]){5}[0-9a-fA-F]{2}$')::int) mac,
+  avg(regexp_matches(v,'^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$')::int) hx, mode(length(v)) hl, avg(regexp_matches(v,'^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')::int) uu,
+  avg(regexp_matches(v,'^https?://')::int) ur, avg(regexp_matches(v,'^[a-zA-Z][a-zA-Z0-9\\-]*(\\.[a-zA-Z][a-zA-Z0-9\\-]*)+$')::int) fq, avg(regexp_matches(v,'\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}')::int) iso FROM tn GROUP BY path)"""
+HINT = "CASE WHEN ip4>0.8 THEN 'ipv4' WHEN ip6>0.6 THEN 'ipv6' WHEN mac>0.6 THEN 'mac' WHEN hx>0.7 THEN CASE hl WHEN 32 THEN 'hash_md5' WHEN 40 THEN 'hash_sha1' ELSE 'hash_sha256' END WHEN uu>0.6 THEN 'uuid' WHEN ur>0.5 THEN 'url' WHEN fq>0.5 THEN 'fqdn' END"
+ROLES = f"""{SAMPLED}, ra AS (SELECT path, count(*) total, count("value") n, count(DISTINCT "value") u, count(DISTINCT "value")/count("value")::double card, avg(length("value")) len, var_pop(length("value"))/(avg(length("value"))**2+1e-10) lvr,
   min(length("value"))=max(length("value")) fixed, sum(length(regexp_replace("value",'[^\\p{{L}}]','','g')))/sum(length("value"))::double alpha, sum(length(regexp_replace("value",'[^\\p{{Nd}}]','','g')))/sum(length("value"))::double num,
   sum(length(regexp_replace("value",'[^\\s]','','g')))/sum(length("value"))::double ws, avg(regexp_matches("value",'^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$')::int) isnum,
-  avg(contains("value",'.')::int)+avg(contains("value",'-')::int)+avg(contains("value",':')::int)+avg(contains("value",'_')::int)+avg(contains("value",'@')::int) marks FROM leaves GROUP BY path),
- ch AS (SELECT path, unnest(string_split("value",'')) ch FROM leaves), en AS (SELECT path, sum(-(k/t)*log2(k/t))/7 e FROM (SELECT path, k, sum(k) OVER (PARTITION BY path)::double t FROM (SELECT path, ch, count(*) k FROM ch WHERE ch<>'' GROUP BY ALL)) GROUP BY path),
- s AS (SELECT a.*, (CASE WHEN card>0.1 AND card<0.95 THEN 0.3::double WHEN card>=0.95 AND u>5 THEN 0.2::double ELSE 0 END)+(CASE WHEN marks>0.3 THEN 0.2::double ELSE 0 END)+(CASE WHEN lvr<0.3 THEN 0.15::double ELSE 0 END)+(CASE WHEN fixed AND n>1 THEN 0.2::double ELSE 0 END)+(CASE WHEN len>5 AND len<100 THEN 0.15::double ELSE 0 END)+(CASE WHEN alpha>0.2 AND num>0.1 THEN 0.1::double ELSE 0 END)+(CASE WHEN e>0.4 THEN 0.1::double ELSE 0 END) score FROM a JOIN en USING (path))
- SELECT path, CASE WHEN n=0 THEN 'unknown' WHEN isnum>0.9 THEN 'metric' WHEN (u<=3 AND n>=5) OR (card<0.1 AND n>=10) THEN 'enum' WHEN len>50 AND alpha>0.7 AND ws>0.05 THEN 'text' WHEN score>=0.5 THEN 'entity' ELSE 'unknown' END AS "role",
-  CASE WHEN path='url' THEN 'url' END type_hint FROM s""")
+  avg(contains("value",':')::int) colon, avg(contains("value",'-')::int) dash, avg(contains("value",'.')::int)+avg(contains("value",'-')::int)+avg(contains("value",':')::int)+avg(contains("value",'_')::int)+avg(contains("value",'@')::int) marks FROM leaves GROUP BY path),
+ rc AS (SELECT path, unnest(string_split("value",'')) ch FROM leaves), re AS (SELECT path, sum(-(k/t)*log2(k/t))/7 e FROM (SELECT path, k, sum(k) OVER (PARTITION BY path)::double t FROM (SELECT path, ch, count(*) k FROM rc WHERE ch<>'' GROUP BY ALL)) GROUP BY path),
+ rs AS (SELECT ra.*, sm.* EXCLUDE (path), (CASE WHEN card>0.1 AND card<0.95 THEN 0.3::double WHEN card>=0.95 AND u>5 THEN 0.2::double ELSE 0 END)+(CASE WHEN marks>0.3 THEN 0.2::double ELSE 0 END)+(CASE WHEN lvr<0.3 THEN 0.15::double ELSE 0 END)+(CASE WHEN fixed AND n>1 THEN 0.2::double ELSE 0 END)+(CASE WHEN len>5 AND len<100 THEN 0.15::double ELSE 0 END)+(CASE WHEN alpha>0.2 AND num>0.1 THEN 0.1::double ELSE 0 END)+(CASE WHEN e>0.4 THEN 0.1::double ELSE 0 END) score FROM ra JOIN re USING (path) JOIN sm USING (path)),
+ rr AS (SELECT *, CASE WHEN n=0 THEN 'unknown' WHEN colon>0.8 AND dash>0.5 AND len>15 AND len<35 AND iso>0.7 THEN 'temporal' WHEN isnum>0.9 THEN 'metric' WHEN (u<=3 AND n>=5) OR (card<0.1 AND n>=10) THEN 'enum' WHEN len>50 AND alpha>0.7 AND ws>0.05 THEN 'text' WHEN score>=0.5 THEN 'entity' ELSE 'unknown' END AS "role" FROM rs)"""
+
+
+@query(f"""WITH {ENTITIES}, {ROLES} SELECT path, "role", CASE WHEN "role"='entity' THEN {HINT} END type_hint FROM rr""")
 def role_classification(spark, sf_dir):
     return roles.classified(features.field_features(entity_leaves(spark, sf_dir))).select("path", "role", "type_hint")
 
 
-@query("""SELECT event_type path, CASE event_type WHEN 'click' THEN 'ipv4' WHEN 'view' THEN 'hash_md5' WHEN 'error' THEN 'uuid' WHEN 'signup' THEN 'fqdn' WHEN 'purchase' THEN 'mac' END hint FROM (SELECT DISTINCT event_type FROM events)""")
+@query(f"""WITH m AS (SELECT event_id, event_type, md5(event_id::varchar) h FROM events), leaves AS (SELECT event_type path, CASE event_type WHEN 'click' THEN (event_id%256) || '.' || (event_id*3%256) || '.' || (event_id*7%256) || '.' || (event_id*11%256) WHEN 'view' THEN h
+  WHEN 'error' THEN h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] WHEN 'signup' THEN 'h' || h[1:6] || '.example.org' ELSE h[1:2] || '-' || h[3:4] || '-' || h[5:6] || '-' || h[7:8] || '-' || h[9:10] || '-' || h[11:12] END "value" FROM m), {SAMPLED} SELECT path, {HINT} hint FROM sm""")
 def type_hints(spark, sf_dir):
     h = F.md5(F.col("event_id").cast("string"))
     ip = F.concat_ws(".", *((F.col("event_id") * k % 256).cast("string") for k in (1, 3, 7, 11)))
@@ -169,11 +182,27 @@ def schema_fingerprint(spark, sf_dir):
     return profile.fingerprint(event_leaves(spark, sf_dir))
 
 
-@query(f"WITH {LEAVES} SELECT 'events' source_id, 1 revision, 5::bigint n_fields, substr(sha256('[\"' || string_agg(DISTINCT path, '\", \"' ORDER BY path) || '\"]'),1,16) fingerprint FROM leaves WHERE seq < 10")
+@query(f"""WITH {ENTITIES}, {ROLES}, nm AS (SELECT (SELECT count(DISTINCT seq) FROM leaves) n), ps AS (SELECT DISTINCT seq, path FROM leaves WHERE trim("value") <> '' AND path IN (SELECT path FROM rr WHERE "role"='entity')),
+ k AS (SELECT path, count(*) k FROM ps GROUP BY path), b AS (SELECT x.path path_a, y.path path_b, count(*) c FROM ps x JOIN ps y ON x.seq=y.seq AND x.path<y.path GROUP BY ALL), j AS (SELECT path_a, path_b, c, ka.k ka, kb.k kb, nm.n n FROM b JOIN k ka ON ka.path=path_a JOIN k kb ON kb.path=path_b, nm)
+ SELECT 'field' kind, path, "role" label, CASE WHEN "role"='entity' THEN {HINT} END hint, total sample_count, total-n null_count, u unique_count, round(u/total::double,6) share FROM rr
+ UNION ALL SELECT 'link', path_a || ' ' || path_b, 'CO_OCCURS_WITH', NULL, c, 0, 0, round(greatest({{MI}},0),4) FROM j WHERE greatest({{MI}},0) >= 0.1
+ UNION ALL SELECT 'head', 'entities', substr(sha256('[' || string_agg(DISTINCT '"' || path || '"', ', ' ORDER BY '"' || path || '"') || ']'),1,16), NULL, 1, 0, 0, 0 FROM leaves WHERE seq IN (SELECT DISTINCT seq FROM leaves ORDER BY seq LIMIT 10)""".replace("{MI}", MI))
 def source_profile(spark, sf_dir):
-    leaves = event_leaves(spark, sf_dir)
-    found = profile.source_profile(leaves, table(spark, sf_dir, "events").count(), "events")
-    return found.select("source_id", "revision", F.size("fields").cast("long").alias("n_fields"), "fingerprint")
+    """The profile of the entities' fields: its head, every field and every link, a row each."""
+    leaves = entity_leaves(spark, sf_dir)
+    found = profile.source_profile(leaves, leaves.select("seq").distinct().count(), "entities").persist()  # one row
+    null, zero = F.lit(None), F.lit(0)
+    fields = profile.fields_of(found).select(F.lit("field").alias("kind"), "path", F.col("role").alias("label"), F.col("type_hint").alias("hint"), "sample_count", "null_count", "unique_count", F.round("profile_cardinality", 6).alias("share"))
+    links = profile.relationships_of(found).select(F.lit("link"), F.concat_ws(" ", "path_a", "path_b"), "relationship_type", null, "both_count", zero, zero, "mutual_information")
+    head = found.select(F.lit("head"), "source_id", "fingerprint", null, "revision", zero, zero, zero)
+    return fields.union(links).union(head)
+
+
+@query(f"""WITH {ENTITIES}, {ROLES} SELECT "role", count(*) n FROM rr GROUP BY ALL""")
+def role_counts(spark, sf_dir):
+    leaves = entity_leaves(spark, sf_dir)
+    found = profile.source_profile(leaves, leaves.select("seq").distinct().count(), "entities")
+    return profile.role_counts(found).select("role", "n")
 
 
 # ---- corrections and learning ---------------------------------------------------------------------
@@ -294,10 +323,11 @@ def nearest_asof(spark, sf_dir):
     return telemetry.nearest_in_time(gps(spark, sf_dir).select("file", "seq", "t", "alt"), baro(spark, sf_dir), 2_000_000_000).select("file", "seq", F.coalesce("gap", F.lit(-1)).alias("gap"), F.coalesce("other", F.lit(-1.0)).alias("other"))
 
 
-@query(f"""WITH {REC}, {GPS}, {NEAR}, fx AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) rk FROM nr WHERE status>=3), ok AS (SELECT * FROM fx WHERE gap<=2000000), o AS (SELECT file, avg(alt-balt) off FROM ok WHERE rk<=5 GROUP BY file)
- SELECT f.file, coalesce(count(d),0) samples, CASE WHEN count(d)=0 THEN 'UNKNOWN' WHEN max(d)>=20 THEN 'ALERT' WHEN max(d)>=10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM (SELECT DISTINCT file FROM gps) f LEFT JOIN (SELECT ok.file, abs(alt-(balt+off)) d FROM ok JOIN o USING (file)) x USING (file) GROUP BY f.file""")
+@query(f"""WITH {REC}, {GPS}, {NEAR}, fx AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) rk FROM nr WHERE status>=3), ok AS (SELECT * FROM fx WHERE gap<=2000000000), o AS (SELECT file, avg(alt-balt) off FROM ok WHERE rk<=5 GROUP BY file)
+ SELECT f.file, coalesce(count(d),0) samples, round(any_value(off),6) offset_m, round(max(d),6) max_div_m, round(avg(d),6) avg_div_m, CASE WHEN count(d)=0 THEN 'UNKNOWN' WHEN max(d)>=20 THEN 'ALERT' WHEN max(d)>=10 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM (SELECT DISTINCT file FROM gps) f LEFT JOIN (SELECT ok.file, o.off, abs(alt-(balt+off)) d FROM ok JOIN o USING (file)) x USING (file) GROUP BY f.file""")
 def altitude_baseline(spark, sf_dir):
-    return telemetry.altitude_divergence(gps(spark, sf_dir), baro(spark, sf_dir)).select("file", "samples", "verdict")
+    found = telemetry.altitude_divergence(gps(spark, sf_dir), baro(spark, sf_dir), tolerance=2_000_000_000)
+    return found.select("file", "samples", *(F.round(c, 6).alias(c) for c in ("offset_m", "max_div_m", "avg_div_m")), "verdict")
 
 
 @query(f"WITH {REC}, {EKF}, m AS (SELECT *, sqrt(ivn*ivn+ive*ive) m FROM ekf) SELECT file, count(*) n, round(max(m),6) max_mag, round(avg(m),6) mean_mag, arg_min(t, (-m, t, seq)) max_t, count(*) FILTER (WHERE m>10) over_10, count(*) FILTER (WHERE m>5) over_5, CASE WHEN max(m)>10 THEN 'ALERT' WHEN max(m)>5 THEN 'SUSPICIOUS' ELSE 'CLEAN' END verdict FROM m GROUP BY file")
@@ -383,32 +413,25 @@ def corpus_summary(spark, sf_dir):
 
 @query("SELECT event_type name, count(*) n, round(100.0*count(*)/sum(count(*)) OVER ()::double,6) percent FROM events GROUP BY ALL")
 def type_counts_pct(spark, sf_dir):
-    counts = records(spark, sf_dir).groupBy("name").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("name", "n", F.round(100.0 * F.col("n") / F.col("t"), 6).alias("percent"))
+    return explore.type_shares(records(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 
 
-@query("SELECT event_type name, least(count(DISTINCT value),500) uniques, min(value) lo, max(value) hi, array_to_string(list(value ORDER BY event_id)[1:5], ';') samples FROM events GROUP BY ALL")
+@query("SELECT event_type name, least(count(DISTINCT round(value,6)),500) uniques, min(value) lo, max(value) hi, array_to_string(list(value ORDER BY event_id)[1:5], ';') samples FROM events GROUP BY ALL")
 def field_stats_capped(spark, sf_dir):
-    from pyspark.sql import Window
-
-    r = records(spark, sf_dir)
-    first = r.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("seq"))).where("i <= 5").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("s"))
-    return r.groupBy("name").agg(F.least(F.countDistinct("value"), F.lit(500)).alias("uniques"), F.min("value").alias("lo"), F.max("value").alias("hi")).join(first.select("name", F.array_join(F.transform("s", lambda x: x["value"].cast("string")), ";").alias("samples")), "name")
+    found = explore.field_stats(records(spark, sf_dir), ["name"])
+    return found.withColumn("uniques", F.col("uniques").cast("long")).withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ";"))
 
 
 @query("SELECT event_type name, count(*) FILTER (WHERE user_id%3=0) f0, count(*) FILTER (WHERE user_id%3=1) f1, count(*) FILTER (WHERE user_id%3=2) f2 FROM events GROUP BY ALL")
 def type_matrix_pivot(spark, sf_dir):
-    r = records(spark, sf_dir).withColumn("f", F.concat(F.lit("f"), (F.col("file") % 3).cast("string")))
-    return r.groupBy("name").pivot("f", ["f0", "f1", "f2"]).count().na.fill(0)
+    return explore.type_matrix(records(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), (F.col("file") % 3).cast("string"))))
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id%97=0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id%89=0) SELECT 'common' kind, user_id FROM a INTERSECT SELECT 'common', user_id FROM b UNION ALL (SELECT 'only_a', user_id FROM a EXCEPT SELECT 'only_a', user_id FROM b) UNION ALL (SELECT 'only_b', user_id FROM b EXCEPT SELECT 'only_b', user_id FROM a)")
+@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type='signup'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type='purchase') SELECT 'common' kind, user_id FROM a INTERSECT SELECT 'common', user_id FROM b UNION ALL (SELECT 'only_a', user_id FROM a EXCEPT SELECT 'only_a', user_id FROM b) UNION ALL (SELECT 'only_b', user_id FROM b EXCEPT SELECT 'only_b', user_id FROM a)")
 def set_compare(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    a, b = (e.where(F.col("event_id") % n == 0).select("user_id").distinct() for n in (97, 89))
-    named = lambda k, d: d.select(F.lit(k).alias("kind"), "user_id")
-    return named("common", a.intersect(b)).unionByName(named("only_a", a.subtract(b))).unionByName(named("only_b", b.subtract(a)))
+    """Users who signed up, who purchased, and both: the sets of names of two files."""
+    names = records(spark, sf_dir).select(F.col("name").alias("file"), F.col("file").alias("name"))
+    return explore.set_comparison(names, "signup", "purchase").withColumnRenamed("name", "user_id")
 
 
 @query(f"WITH {REC}, {EKF}, p AS (SELECT file, max(sqrt(ivn*ivn+ive*ive)) peak, file%5=0 attack FROM ekf GROUP BY file), c AS (SELECT i, 0.1+i*14.9/499.0::double threshold FROM range(500) r(i)) SELECT i, round(threshold,6) threshold, round(count(*) FILTER (WHERE attack AND peak>threshold)/(count(*) FILTER (WHERE attack))::double,6) tpr, round(count(*) FILTER (WHERE NOT attack AND peak>threshold)/(count(*) FILTER (WHERE NOT attack))::double,6) fpr FROM p, c GROUP BY i, threshold")
@@ -417,12 +440,32 @@ def threshold_sweep(spark, sf_dir):
     return telemetry.threshold_sweep(peaks).select(F.col("i").cast("long").alias("i"), *(F.round(c, 6).alias(c) for c in ("threshold", "tpr", "fpr")))
 
 
+@query(f"WITH {REC}, {EKF}, p AS (SELECT file, max(sqrt(ivn*ivn+ive*ive)) peak, file%5=0 attack FROM ekf GROUP BY file) SELECT round(max(peak) FILTER (WHERE NOT attack),6) ceiling, round(min(peak) FILTER (WHERE attack),6) floor FROM p")
+def peak_bounds(spark, sf_dir):
+    peaks = telemetry.innovation(ekf(spark, sf_dir)).select(F.col("max_mag").alias("peak"), (F.col("file") % 5 == 0).alias("attack"))
+    return explore.bounds_of_peaks(peaks).select(F.round("ceiling", 6).alias("ceiling"), F.round("floor", 6).alias("floor"))
+
+
+@query(f"WITH {REC}, {EKF}, p AS (SELECT file, max(sqrt(ivn*ivn+ive*ive)) peak FROM ekf GROUP BY file), q AS (SELECT peak, peak >= 8 attack FROM p), c AS (SELECT 0.1+i*14.9/499.0::double threshold FROM range(500) r(i)), s AS (SELECT threshold, count(*) FILTER (WHERE attack AND peak>threshold)/(count(*) FILTER (WHERE attack))::double tpr, count(*) FILTER (WHERE NOT attack AND peak>threshold)/(count(*) FILTER (WHERE NOT attack))::double fpr FROM q, c GROUP BY threshold) SELECT round(min(CASE WHEN fpr=0 AND tpr=1 THEN threshold END),6) optimal FROM s")
+def optimal_threshold(spark, sf_dir):
+    """Attacks being the files with a peak of 8 and more."""
+    peaks = telemetry.innovation(ekf(spark, sf_dir)).select(F.col("max_mag").alias("peak"), (F.col("max_mag") >= 8).alias("attack"))
+    return explore.best_threshold(telemetry.threshold_sweep(peaks)).withColumn("optimal", F.round("optimal", 6))
+
+
+@query(f'WITH {REC} SELECT file, seq, round((t-first_value(t) OVER (PARTITION BY file, name ORDER BY seq))/1e6,6) AS "seconds" FROM rec')
+def relative_time(spark, sf_dir):
+    return explore.relative_series(records(spark, sf_dir), ["file", "name"]).select("file", "seq", F.round("seconds", 6).alias("seconds"))
+
+
+@query("SELECT event_type name, count(DISTINCT user_id % 7) files FROM events GROUP BY ALL")
+def names_in_files(spark, sf_dir):
+    return explore.all_names(records(spark, sf_dir).withColumn("file", F.col("file") % 7))
+
+
 @query("WITH b AS (SELECT min(value) lo, max(value) hi FROM events) SELECT least(floor((value-lo)/((hi-lo)/20)),19)::bigint bin, count(*) n FROM events, b GROUP BY ALL")
 def histogram20(spark, sf_dir):
-    r = records(spark, sf_dir)
-    bounds = r.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # one row
-    bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20)), F.lit(19))
-    return r.crossJoin(F.broadcast(bounds)).groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return explore.histogram(records(spark, sf_dir))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")

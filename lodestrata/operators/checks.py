@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,9 +39,33 @@ def filled(features: DataFrame, least: int = 10) -> DataFrame:
     return features.where(F.col("sample_count") - F.col("null_count") >= least)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel, path: str, about: dict | None = None) -> None:
+    """The model in a folder, and beside it what `learning.stats` says of it."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(about or {}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load(path: str) -> tuple[PipelineModel, dict]:
+    """The model of a folder and what was saved with it."""
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/about").first().value)
+
+
+class Models:
+    """Models by source, in folders below one; each is loaded once."""
+
+    def __init__(self, folder: str):
+        self.folder, self.loaded = folder, {}
 
+    def put(self, source: str, model: PipelineModel, about: dict | None = None) -> None:
+        save(model, f"{self.folder}/{source}", about)
+        self.loaded[source] = model, about or {}
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    def get(self, source: str) -> tuple[PipelineModel | None, dict]:
+        """The source's model and what is known of it; (None, {}) if it has none yet."""
+        if source not in self.loaded:
+            try:
+                self.loaded[source] = load(f"{self.folder}/{source}")
+            except (AnalysisException, Py4JJavaError):  # no such folder
+                return None, {}
+        return self.loaded[source]

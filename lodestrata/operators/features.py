@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Order of the features in a vector. Fixed values.
+#: Names of the features, in the order in which they stand in a vector.
 NAMES = [
     "mean_length", "median_length", "stddev_length", "min_length", "max_length",
     "alpha_ratio", "numeric_ratio", "hex_ratio", "punct_ratio", "whitespace_ratio", "uppercase_ratio",

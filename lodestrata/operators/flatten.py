@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,13 +65,14 @@ def flatten_json(events: DataFrame, seq: str, payload: str) -> DataFrame:
 def field_counts(leaves: DataFrame, events: DataFrame, seq: str) -> DataFrame:
     """path, sample_count, null_count, unique_count: a path counts from the event that first has it on.
 
-    Events before that one are not counted as nulls, later ones without the path are.
+    Events before that one are not counted as nulls, later ones without the path are. The places where
+    paths come first, one for each path of the schema at most, cut the events into ranges; events are
+    counted by range (a binary search for each), so nothing is sorted or paired with the paths.
     """
-    first = leaves.groupBy("path").agg(F.min("seq").alias("first"), F.count("*").alias("present"), F.count("value").alias("filled"), F.countDistinct("value").alias("unique_count")).persist()
-    # few: at most one for each path of the schema
+    first = leaves.groupBy("path").agg(F.min("seq").alias("first"), F.count("*").alias("present"), F.count("value").alias("filled"), F.countDistinct("value").alias("unique_count"))
     marks = sorted(r["first"] for r in first.select("first").distinct().collect())
-    passed = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col(seq))) if marks else F.lit(0)
-    counts = {r["k"]: r["n"] for r in events.groupBy(passed.alias("k")).agg(F.count("*").alias("n")).collect()}
+    cut = Bucketizer(splits=[float("-inf"), *map(float, marks), float("inf")], inputCol="_at", outputCol="_k", handleInvalid="skip")
+    counts = {int(r["_k"]): r["n"] for r in cut.transform(events.select(F.col(seq).cast("double").alias("_at"))).groupBy("_k").agg(F.count("*").alias("n")).collect()} if marks else {}
     # events with i marks passed at most come before mark i
     later = [(m, sum(n for k, n in counts.items() if k > i)) for i, m in enumerate(marks)]
     rank = events.sparkSession.createDataFrame(later, "first long, n long")

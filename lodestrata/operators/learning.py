@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -10,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features
+from . import features, roles
 
 LABELS = ["entity", "metric", "enum", "temporal", "text", "unknown"]
 #: Below this a prediction or an earlier confidence is flagged; corrections needed beyond the last training. Fixed values.
@@ -61,36 +62,101 @@ def train(examples: DataFrame, trees: int = 100, seed: int = 42) -> PipelineMode
     weight = F.create_map(*(x for name, n in counts.items() for x in (F.lit(name), F.lit(total / (len(counts) * n)))))
     data = examples.select("label", array_to_vector("feature_vector").alias("features"), weight[F.col("label")].alias("weight"))
     indexer = StringIndexer(inputCol="label", outputCol="index").fit(data)
-    forest = RandomForestClassifier(labelCol="index", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=12, minInstancesPerNode=2, seed=seed)
+    forest = RandomForestClassifier(labelCol="index", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=30, minInstancesPerNode=2, seed=seed)
     fitted = forest.fit(indexer.transform(data))
     return PipelineModel([fitted, IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)])
 
 
-def retrain(model: PipelineModel | None, examples: DataFrame, corrected: DataFrame, trained_on: int, force: bool = False) -> tuple[PipelineModel | None, str]:
-    """The model after corrections (label, feature_vector) and `trained`, or the old one and `skipped` where too few are new."""
+def retrain(model: PipelineModel | None, examples: DataFrame, corrected: DataFrame, trained_on: int, force: bool = False, dry_run: bool = False) -> tuple[PipelineModel | None, str]:
+    """The model after corrections (label, feature_vector), and what was done.
+
+    `trained`; `skipped`, with the old model, where fewer than NEW_CORRECTIONS are new and it isn't forced;
+    `empty` where there is nothing to learn from; `ready` where a dry run finds that it would train.
+    """
     if not force and corrected.limit(trained_on + NEW_CORRECTIONS).count() - trained_on < NEW_CORRECTIONS:
         return model, "skipped"
-    return train(examples.select("label", "feature_vector").unionByName(corrected.select("label", "feature_vector"))), "trained"
+    if dry_run:
+        return model, "ready"
+    new = train(examples.select("label", "feature_vector").unionByName(corrected.select("label", "feature_vector")))
+    return (model, "empty") if new is None else (new, "trained")
+
 
+def predict(model: PipelineModel | None, fields: DataFrame) -> DataFrame:
+    """fields with label, confidence, is_entity and flagged (confidence below the bound).
 
-def predict(model: PipelineModel, fields: DataFrame) -> DataFrame:
-    """fields with label, confidence, is_entity and flagged (confidence below the bound)."""
-    out = model.transform(fields.withColumn("features", array_to_vector("feature_vector")))
+    Without a model, and where a vector has another size than the features, all four are null.
+    """
+    fits = F.coalesce(F.size("feature_vector") == len(features.NAMES), F.lit(False))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("label", "string"), ("confidence", "double"), ("is_entity", "boolean"), ("flagged", "boolean"))]
+    if model is None:
+        return fields.select("*", *none)
+    out = model.transform(fields.where(fits).withColumn("features", array_to_vector("feature_vector")))
     confidence = F.array_max(vector_to_array("probability"))
-    return out.select(*fields.columns, F.col("predicted").alias("label"), confidence.alias("confidence"), (F.col("predicted") == "entity").alias("is_entity"), (confidence < CERTAIN).alias("flagged"))
+    found = out.select(*fields.columns, F.col("predicted").alias("label"), confidence.alias("confidence"), (F.col("predicted") == "entity").alias("is_entity"), (confidence < CERTAIN).alias("flagged"))
+    return found.unionByName(fields.where(~fits).select("*", *none))
+
+
+def stats(source_id: str, model: PipelineModel | None, trained_on: int = 0, corrections: int = 0) -> dict:
+    """What there is to say of a source's model: its state, classes, training rows, corrections and bounds."""
+    classes = list(model.stages[-1].getLabels()) if model is not None else []
+    return {"source_id": source_id, "model_status": "trained" if model is not None else "cold", "training_samples": trained_on, "correction_count": corrections, "feature_dim": len(features.NAMES), "confidence_threshold": CERTAIN, "min_corrections": NEW_CORRECTIONS, "classes": classes}
 
 
-def clusters(fields: DataFrame) -> DataFrame:
-    """path, cluster (-1: noise), confidence; fields (path, feature_vector) are few: one for each path of a schema.
+def decided(fields: DataFrame, predicted: DataFrame | None, found: DataFrame) -> DataFrame:
+    """fields (path, role, samples, ..; by rule) with the role, is_entity, type_hint, confidence and cluster_id that count.
+
+    predicted: path, label, confidence, flagged of the source's model, None if it has none yet: its label
+    counts unless it is flagged, else the role by rule with a confidence of 0.5. found: path and cluster of
+    `clusters`; noise (-1) has a confidence of 0.5, a field without a row there is unknown, in cluster -1
+    with a confidence of 0.
+    """
+    out = fields.join(found.select("path", F.col("cluster").alias("cluster_id")), "path", "left")
+    if predicted is None:
+        label, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    else:
+        out = out.join(predicted.where("not flagged").select("path", F.col("label").alias("_label"), F.col("confidence").alias("_sure")), "path", "left")
+        label, sure = F.col("_label"), F.col("_sure")
+    known = F.col("cluster_id").isNotNull()
+    role = F.when(known, F.coalesce(label, "role")).otherwise("unknown")
+    confidence = F.when(~known, 0.0).when(F.col("cluster_id") == -1, 0.5).otherwise(F.coalesce(sure, F.lit(0.5)))
+    kept = [c for c in fields.columns if c not in ("role", "is_entity", "type_hint", "confidence", "cluster_id")]
+    out = out.select(*kept, role.alias("role"), confidence.alias("confidence"), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    return out.withColumn("is_entity", F.col("role") == "entity").withColumn("type_hint", F.when(F.col("is_entity"), roles.type_hint(F.col("samples"))))
+
+
+def clusters(fields: DataFrame, source: str | None = None) -> DataFrame:
+    """path, cluster (-1: noise), confidence of fields (path, feature_vector), each source (a column, if named) by itself.
 
     Columns are standardised, fields linked by mutual reachability (with one neighbour, plain distance),
     and the tree of merges cut where clusters of at least max(2, min(F // 10, 5)) fields keep most excess of
-    mass.  Under 5 fields, all are noise.
+    mass.  Under 5 fields, all are noise. A task takes the fields of a source, a row for each path of its
+    schema; memory grows with their number, time with its square (10,000 paths: some ten seconds).
     """
-    rows = fields.select("path", "feature_vector").orderBy("path").collect()
-    names, x = [r.path for r in rows], np.array([r.feature_vector for r in rows], float).reshape(len(rows), -1)
-    labels = np.full(len(rows), -1) if len(rows) < 5 else excess_of_mass(x, max(2, min(len(rows) // 10, 5)))
-    return fields.sparkSession.createDataFrame([(p, int(c), 0.5) for p, c in zip(names, labels)], "path string, cluster int, confidence double")
+    rows = fields.select(F.lit("") if source is None else F.col(source).cast("string"), "path", "feature_vector").toDF("_source", "path", "feature_vector")
+
+    def group(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("path")
+        x = np.array(part["feature_vector"].tolist(), float).reshape(len(part), -1)
+        labels = np.full(len(part), -1) if len(part) < 5 else excess_of_mass(x, max(2, min(len(part) // 10, 5)))
+        return pd.DataFrame({"_source": part["_source"], "path": part["path"], "cluster": labels.astype(np.int32), "confidence": 0.5})
+
+    out = rows.groupBy("_source").applyInPandas(group, "_source string, path string, cluster int, confidence double")
+    return out.drop("_source") if source is None else out.withColumnRenamed("_source", source)
+
+
+def spanning_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Links (distance, a, b) of a minimum spanning tree of the rows; distances are made for a row at a time."""
+    n, links = len(x), []
+    near, via, left = np.sqrt(((x - x[0]) ** 2).sum(axis=1)), np.zeros(n, int), np.ones(n, bool)
+    left[0] = False
+    for _ in range(n - 1):
+        j = int(np.where(left, near, np.inf).argmin())
+        links.append((float(near[j]), int(via[j]), j))
+        left[j] = False
+        d = np.sqrt(((x - x[j]) ** 2).sum(axis=1))
+        closer = d < near
+        near, via = np.where(closer, d, near), np.where(closer, j, via)
+    return links
 
 
 def excess_of_mass(x: np.ndarray, smallest: int) -> np.ndarray:
@@ -98,56 +164,52 @@ def excess_of_mass(x: np.ndarray, smallest: int) -> np.ndarray:
     spread = x.std(axis=0)
     x = (x - x.mean(axis=0)) / np.where(spread == 0, 1, spread)
     n = len(x)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    # minimum spanning tree from row 0
-    near, via, left, links = d[0].copy(), np.zeros(n, int), np.ones(n, bool), []
-    left[0] = False
-    for _ in range(n - 1):
-        j = int(np.where(left, near, np.inf).argmin())
-        links.append((near[j], via[j], j))
-        left[j] = False
-        closer = d[j] < near
-        near, via = np.where(closer, d[j], near), np.where(closer, j, via)
     # merges in order of distance: node n + i joins two nodes at a height
-    root, members, merges = list(range(n)), {i: [i] for i in range(n)}, {}
-    for i, (height, a, b) in enumerate(sorted(links)):
-        a, b, node = root[a], root[b], n + i
-        members[node] = members[a] + members[b]
-        merges[node] = (a, b, max(height, 1e-12))
-        for k in members[node]:
-            root[k] = node
-    def best(node: int, born: float) -> tuple[float, list[list[int]]]:
-        """Mass of the cluster that starts at `node` and density `born`, or of the clusters inside it, whichever is more."""
-        mass = 0.0
-        own = members[node]
-        while True:
-            if node not in merges:
-                return mass, [own]
-            a, b, height = merges[node]
-            gone = 1 / height
-            big = [k for k in (a, b) if len(members[k]) >= smallest]
-            if len(big) == 2:
-                mass += len(members[node]) * (gone - born)
-                inner = [best(k, gone) for k in big]
-                total = sum(m for m, _ in inner)
-                return (mass, [own]) if mass >= total else (total, [c for _, cs in inner for c in cs])
-            lost = members[node] if not big else members[a if big[0] == b else b]
-            mass += len(lost) * (gone - born)
-            if not big:
-                return mass, [own]
-            node = big[0]
-
-    out = np.full(n, -1)
-    top = 2 * n - 2
-    while top in merges:  # the root itself is never a cluster
-        a, b, height = merges[top]
-        big = [k for k in (a, b) if len(members[k]) >= smallest]
-        if len(big) == 2:
-            found = [c for k in big for c in best(k, 1 / height)[1]]
-            for number, rows in enumerate(sorted(found, key=min)):
-                out[rows] = number
-            break
-        if not big:
+    parent, sizes, merges = list(range(2 * n - 1)), [1] * n, []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for height, a, b in sorted(spanning_tree(x)):
+        a, b = root(a), root(b)
+        parent[a] = parent[b] = n + len(merges)
+        merges.append((a, b, max(height, 1e-12)))
+        sizes.append(sizes[a] + sizes[b])
+    # clusters from the top: [node, density at which it begins, mass, number of the cluster it comes out of]
+    found, at = [[2 * n - 2, 0.0, 0.0, -1]], 0
+    while at < len(found):
+        node, born, mass, _ = found[at]
+        while node >= n:
+            a, b, height = merges[node - n]
+            gone, big = 1 / height, [k for k in (a, b) if sizes[k] >= smallest]
+            if len(big) == 1:  # the small side falls off, the cluster goes on
+                mass, node = mass + sizes[a + b - big[0]] * (gone - born), big[0]
+                continue
+            mass += sizes[node] * (gone - born)
+            found += [[k, gone, 0.0, at] for k in big]
             break
-        top = big[0]
+        found[at][2] = mass
+        at += 1
+    # from the ends: a cluster stays if it has no less mass than those that come out of it; the whole is none
+    inner, chosen = [0.0] * len(found), [False] * len(found)
+    for i in range(len(found) - 1, 0, -1):
+        chosen[i] = found[i][2] >= inner[i]
+        inner[found[i][3]] += max(found[i][2], inner[i])
+    groups, covered = [], [False] * len(found)
+    for i in range(1, len(found)):
+        covered[i] = covered[found[i][3]]
+        if chosen[i] and not covered[i]:
+            covered[i], rows, stack = True, [], [found[i][0]]
+            while stack:
+                k = stack.pop()
+                if k < n:
+                    rows.append(k)
+                else:
+                    stack += merges[k - n][:2]
+            groups.append(rows)
+    out = np.full(n, -1)
+    for number, rows in enumerate(sorted(groups, key=min)):
+        out[rows] = number
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 IPV6 = r"^([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}$"
 MAC = r"^([0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}$"
-HEX = r"^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"
+HEX = r"^[0-9a-fA-F]{32}$|^[0-9a-fA-F]{40}$|^[0-9a-fA-F]{64}$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 URL = r"^https?://"
 FQDN = r"^[a-zA-Z][a-zA-Z0-9\-]*(\.[a-zA-Z][a-zA-Z0-9\-]*)+$"
@@ -37,7 +37,7 @@ def type_hint(samples: Column) -> Column:
 
 
 def entity_score() -> Column:
-    """Evidence, up to about 1.15, that a field identifies something."""
+    """Evidence, up to about 1.15, that a field identifies something. Bounds and points are fixed values."""
     filled = F.col("sample_count") - F.col("null_count")
     card = F.col("unique_count") / F.greatest(filled, F.lit(1)).cast("double")
     add = lambda condition, points: F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
@@ -53,7 +53,7 @@ def entity_score() -> Column:
 
 
 def classified(features: DataFrame) -> DataFrame:
-    """features with role (temporal, metric, enum, text, entity, unknown), is_entity and, for entities, type_hint."""
+    """features with role (temporal, metric, enum, text, entity, unknown), is_entity and, for entities, type_hint. Bounds are fixed values."""
     filled = F.col("sample_count") - F.col("null_count")
     card = F.col("unique_count") / F.greatest(filled, F.lit(1)).cast("double")
     length = F.col("mean_length") * 1000

@@ -97,16 +97,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int = 2_000_00
     """left (file, seq, t, ..) with the alt (named `other`) and distance `gap` of the right row nearest in t; null beyond the tolerance.
 
     Of rows at one time the first by seq counts, of rows equally near the earlier one.  Both sides are
-    sorted once, together, by file and time; each left row then looks back and ahead: no pair is made.
+    sorted together by file and time, once in either direction; each left row then takes the last right row
+    before it: no pair is made, and the work is linear in the rows.
     """
     first = right.groupBy("file", "t").agg(F.min_by("alt", "seq").alias("alt"))
     both = left.select("file", "t", F.struct(*left.columns).alias("l"), F.lit(None).cast("struct<t:bigint,alt:double>").alias("r"))
     both = both.unionByName(first.select("file", "t", F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("l"), F.struct(F.col("t").cast("long").alias("t"), F.col("alt").cast("double").alias("alt")).alias("r")))
-    # at equal times the right row must be in view of both directions: windows are by range of t
-    order = Window.partitionBy("file").orderBy("t")
-    back = F.last("r", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("r", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    near = both.withColumn("b", back).withColumn("a", ahead).where("l is not null")
+    # at equal times the right row is in view of both directions: windows are by range of t. Both run from their
+    # beginning to the current row (the second one in falling order), which Spark keeps up row by row
+    behind = F.last("r", ignorenulls=True).over(Window.partitionBy("file").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.last("r", ignorenulls=True).over(Window.partitionBy("file").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = both.withColumn("b", behind).withColumn("a", ahead).where("l is not null")
     early, late = F.col("l.t") - F.col("b.t"), F.col("a.t") - F.col("l.t")
     use_back = F.col("a").isNull() | (F.col("b").isNotNull() & (early <= late))
     near = near.withColumn("gap", F.when(use_back, early).otherwise(late)).withColumn("other", F.when(use_back, F.col("b.alt")).otherwise(F.col("a.alt")))
@@ -114,10 +115,10 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: int = 2_000_00
     return near.select("l.*", F.when(fits, F.col("gap")).alias("gap"), F.when(fits, F.col("other")).alias("other"))
 
 
-def altitude_divergence(points: DataFrame, baro: DataFrame, baseline: int = 5) -> DataFrame:
+def altitude_divergence(points: DataFrame, baro: DataFrame, baseline: int = 5, tolerance: int = 2_000_000) -> DataFrame:
     """file, samples, offset_m, max_div_m, avg_div_m, verdict: fixes against the barometer and the mean offset of the first five."""
     fixes = points.where("status >= 3").withColumn("rank", F.row_number().over(in_order()))
-    near = nearest_in_time(fixes.select("file", "seq", "t", "alt", "rank"), baro).where("other is not null")
+    near = nearest_in_time(fixes.select("file", "seq", "t", "alt", "rank"), baro, tolerance).where("other is not null")
     offset = near.where(F.col("rank") <= baseline).groupBy("file").agg(F.avg(F.col("alt") - F.col("other")).alias("offset_m"))
     gaps = near.join(offset, "file").withColumn("d", F.abs(F.col("alt") - (F.col("other") + F.col("offset_m"))))
     out = gaps.groupBy("file").agg(F.count("*").alias("samples"), F.first("offset_m").alias("offset_m"), F.max("d").alias("max_div_m"), F.avg("d").alias("avg_div_m"))

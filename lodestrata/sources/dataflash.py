@@ -2,8 +2,9 @@
 
 A record is A3 95, a type byte and a payload. Type 80 describes a type: id, total length, name[4],
 format[16], columns[64]. A later description of the same id replaces an earlier one, wherever its
-bytes stand. Files are split by Spark, one task reads a file at a time and yields its records in batches,
-so a file never becomes one row or one list; a broken file gives one row with `error` and no job fails.
+bytes stand. Spark deals the files out, one task reads a file at a time and yields its records in batches.
+A file's bytes are one value in its task, as descriptions may come anywhere in it: files must be under 2 GB,
+which is Spark's bound of a value. A broken file gives one row with `error` and no job fails.
 """
 
 from __future__ import annotations
@@ -129,9 +130,9 @@ def baro(records: DataFrame) -> DataFrame:
 
 
 def ekf(records: DataFrame) -> DataFrame:
-    """Innovations of either estimator's records, the newer name first at equal times."""
+    """Innovations of either estimator's records; source is 0 for the newer name, which comes first at equal times (order by t, source, seq)."""
     r = records.where(F.col("name").isin("XKF1", "NKF1"))
-    return r.select("file", "seq", "t", field("IVN", "VN", default=0.0).alias("ivn"), field("IVE", "VE", default=0.0).alias("ive"), field("IVD", "VD", default=0.0).alias("ivd")).dropna(subset=["t"])
+    return r.select("file", "seq", F.when(F.col("name") == "XKF1", 0).otherwise(1).alias("source"), "t", field("IVN", "VN", default=0.0).alias("ivn"), field("IVE", "VE", default=0.0).alias("ive"), field("IVD", "VD", default=0.0).alias("ivd")).dropna(subset=["t"])
 
 
 def params(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.learning import LABELS
@@ -25,9 +25,17 @@ def sources(options: dict[str, str], prefix: str = "SOURCE") -> dict[str, dict[s
 
 
 def read_events(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(seq, payload, index): lines of text files whose names fit the pattern, in order of file and line."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_name").alias("index"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"))
-    return lines.select("seq", F.col("value").alias("payload"), "index")
+    """(seq, payload, index): lines of text files whose names fit the pattern; seq rises with the file's path and the line in it.
+
+    A line has its place from the split that Spark read it in: splits are few, and ranked by path and
+    start; the lines themselves aren't moved or sorted. Numbers have gaps.
+    """
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    files = spark.read.option("pathGlobFilter", pattern).text(path)
+    lines = files.select(F.col("value").alias("payload"), F.col("_metadata.file_name").alias("index"), *place, F.monotonically_increasing_id().alias("_at"))
+    ranks = files.select(*place).distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_path", "_start")))  # a row for each split
+    within = F.col("_at").bitwiseAND((1 << 33) - 1)  # the line's number in its task, below the task's own number
+    return lines.join(ranks, ["_path", "_start"]).select((F.shiftleft(F.col("_rank").cast("long"), 33) + within).alias("seq"), "payload", "index")
 
 
 def sample(events: DataFrame, n: int = 1000) -> DataFrame:

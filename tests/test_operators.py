@@ -122,6 +122,20 @@ def test_log_round_trip(spark, tmp_path):
     assert {r.name for r in dataflash.read_types(spark, str(tmp_path)).where("file = 'two.bin'").collect()} == {"GPS", "BARO", "XKF1", "PARM", "ODD"}
 
 
+def test_events_in_order_of_file_and_line(spark, tmp_path):
+    """Small files before large ones in a task, and files in several splits: seq still follows path and line."""
+    sizes = {"a.jsonl": 30_000, "b.jsonl": 3, "c.jsonl": 9_000, "d.jsonl": 1}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = [r.payload for r in events.read_events(spark, str(tmp_path), "*.jsonl").orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [f"{name} {i}" for name in sorted(sizes) for i in range(sizes[name])]
+
+
 def test_sources_and_corrections(spark, tmp_path):
     assert list(events.sources({"SOURCE_2_TYPE": "a", "SOURCE_10_TYPE": "b", "SOURCE_3_PATH": "x", "OTHER": "1"})) == ["10", "2"]
     path = str(tmp_path / "log")
@@ -151,18 +165,90 @@ def test_forest_and_clusters(spark):
 
 def test_profile_is_whole(spark):
     leaves = spark.createDataFrame([(i, "ip", f"10.0.0.{i % 19}") for i in range(60)] + [(i, "level", str(i % 3)) for i in range(60)], "seq long, path string, value string")
-    p = profile.source_profile(leaves, 60, "src", 4).first()
-    assert p.revision == 5 and len(p.fingerprint) == 16 and {f.path: f.role for f in p.fields} == {"ip": "entity", "level": "metric"}
-    assert math.isclose(p.fields[0].profile_cardinality, 19 / 60)
+    found = profile.source_profile(leaves, 60, "src")
+    p = found.first()
+    assert p.revision == 1 and len(p.fingerprint) == 16 and {f.path: f.role for f in p.fields} == {"ip": "entity", "level": "metric"}
+    ip = next(f for f in p.fields if f.path == "ip")
+    assert math.isclose(ip.profile_cardinality, 19 / 60) and (ip.type_hint, ip.is_entity, ip.confidence, ip.cluster_id, ip.sample_count, ip.null_count, ip.unique_count) == ("ipv4", True, 0.5, -1, 60, 0, 19)
+    later = profile.source_profile(leaves, 60, "src", found.withColumn("revision", F.lit(4)).withColumn("created_at", F.lit("2020-01-01").cast("timestamp"))).first()
+    assert later.revision == 5 and later.created_at.year == 2020
+    again = profile.from_json(profile.to_json(found))
+    assert again.schema.simpleString() == found.schema.simpleString() and again.drop("created_at").first() == found.drop("created_at").first()
+
+
+def test_profile_filters(spark):
+    leaves = spark.createDataFrame([(i, p, v) for i in range(40) for p, v in (("src", f"10.0.0.{i % 9}"), ("dst", f"10.1.0.{i % 7}" if i % 2 else None), ("n", str(i)), ("when", f"2024-01-01T00:00:{i:02d}Z"))], "seq long, path string, value string")
+    found = profile.source_profile(leaves, 40, "s")
+    assert {r.path for r in profile.fields_of(found, role="entity").collect()} == {"src", "dst"} == {r.path for r in profile.fields_of(found, hint="ipv4").collect()}
+    assert [r.role for r in profile.fields_of(found, path="when").collect()] == ["temporal"] and profile.fields_of(found, path="none").count() == 0
+    assert {r.role: r.n for r in profile.role_counts(found).collect()} == {"entity": 2, "metric": 1, "temporal": 1}
+    assert [r.path for r in profile.listing(found).collect()] == ["dst", "src", "n", "when"]
+    assert profile.relationships_of(found, "src", "dst").count() == profile.relationships_of(found).count() == 0  # one of them is always there: no information
+    empty = profile.source_profile(leaves.where("1 = 0"), 0, "s").first()
+    assert (empty.fields, empty.relationships) == ([], [])
+
+
+def test_fingerprint_escapes_paths(spark):
+    import hashlib
+
+    paths = ['a"b', "c\\d", "e"]
+    leaves = spark.createDataFrame([(0, p, "v") for p in paths], "seq long, path string, value string")
+    assert profile.fingerprint(leaves).first().fingerprint == hashlib.sha256(json.dumps(sorted(paths)).encode()).hexdigest()[:16]
+
+
+def test_decisions(spark):
+    from lodestrata.operators import learning
+
+    fields = spark.createDataFrame([("a", "enum", ["x"]), ("b", "enum", ["x"]), ("c", "metric", ["1"]), ("d", "text", ["y"])], "path string, role string, samples array<string>")
+    predicted = spark.createDataFrame([("a", "entity", 0.9, False), ("b", "entity", 0.5, True), ("c", "entity", 0.8, False), ("d", "text", 0.7, False)], "path string, label string, confidence double, flagged boolean")
+    found = spark.createDataFrame([("a", 0), ("b", 0), ("c", -1)], "path string, cluster int")
+    view = lambda m: {r.path: (r.role, r.confidence, r.cluster_id, r.is_entity) for r in learning.decided(fields, m, found).collect()}
+    assert view(predicted) == {"a": ("entity", 0.9, 0, True), "b": ("enum", 0.5, 0, False), "c": ("entity", 0.5, -1, True), "d": ("unknown", 0.0, -1, False)}
+    assert view(None) == {"a": ("enum", 0.5, 0, False), "b": ("enum", 0.5, 0, False), "c": ("metric", 0.5, -1, False), "d": ("unknown", 0.0, -1, False)}
+    assert learning.stats("s", None)["model_status"] == "cold"
+
+
+def test_explore_edges(spark):
+    from lodestrata.operators import explore
+
+    same = spark.createDataFrame([(5.0,)] * 3 + [(None,)], "value double")
+    assert [(r.bin, r.n) for r in explore.histogram(same).collect()] == [(0, 3)] and explore.histogram(same.where("1 = 0")).count() == 0
+    names = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "q")], "file string, name string")
+    assert {(r.kind, r.name) for r in explore.set_comparison(names, "a", "b").collect()} == {("only_a", "x"), ("common", "y"), ("only_b", "z")}
+    assert {(r.name, r.a, r.b, r.c) for r in explore.type_matrix(names).collect()} == {("x", 1, 0, 0), ("y", 2, 1, 0), ("z", 0, 1, 0), ("q", 0, 0, 1)}
+    assert {(r.name, r.files) for r in explore.all_names(names).collect()} == {("x", 1), ("y", 2), ("z", 1), ("q", 1)}
+    many = spark.createDataFrame([("f", i, float(i)) for i in range(700)] + [("g", 0, None)], "name string, seq long, value double")
+    got = {r.name: r for r in explore.field_stats(many, ["name"]).collect()}
+    assert (got["f"].uniques, got["f"].lo, got["f"].hi, got["f"].samples) == (500, 0.0, 699.0, [0.0, 1.0, 2.0, 3.0, 4.0]) and (got["g"].uniques, got["g"].samples) == (0, [])
+    sweep = spark.createDataFrame([(0.1, 1.0, 0.5), (0.2, 1.0, 0.0), (0.3, 1.0, 0.0)], "threshold double, tpr double, fpr double")
+    assert explore.best_threshold(sweep).first().optimal == 0.2
+
+
+def test_nearest_in_time_is_linear(spark):
+    """No frame runs ahead of its row, and a file of 200,000 points is done in seconds."""
+    import contextlib
+    import io
+    import time
+
+    n = 200_000
+    left = spark.range(n).select(F.lit(1).cast("long").alias("file"), F.col("id").alias("seq"), (F.col("id") * 10).alias("t"))
+    right = spark.range(n // 2).select(F.lit(1).cast("long").alias("file"), F.col("id").alias("seq"), (F.col("id") * 20 + 3).alias("t"), F.col("id").cast("double").alias("alt"))
+    out, began = telemetry.nearest_in_time(left, right), time.time()
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        out.explain()
+    assert "unboundedfollowing" not in said.getvalue().lower()
+    row = out.agg(F.sum("gap").alias("g"), F.count("other").alias("n")).first()
+    assert row.n == n and time.time() - began < 90
+    assert row.g == sum(min(abs(10 * i - (20 * j + 3)) for j in ((10 * i - 3) // 20, (10 * i - 3) // 20 + 1) if 0 <= j < n // 2) for i in range(n))
 
 
 def test_corpus_of_logs(spark, tmp_path):
     from lodestrata.plans import corpus
 
-    types = [(1, "GPS", "QBBcLLe", "TimeUS,Status,NSats,HDop,Lat,Lng,Alt"), (2, "BARO", "Qf", "TimeUS,Alt"), (3, "ERR", "QBB", "TimeUS,Subsys,ECode"), (4, "PARM", "QNf", "TimeUS,Name,Value"), (5, "MODE", "QM", "TimeUS,Mode")]
+    types = [(1, "GPS", "QBBcLLe", "TimeUS,Status,NSats,HDop,Lat,Lng,Alt"), (2, "BARO", "Qf", "TimeUS,Alt"), (3, "ERR", "QBB", "TimeUS,Subsys,ECode"), (4, "PARM", "QNf", "TimeUS,Name,Value"), (5, "MODE", "QM", "TimeUS,Mode"), (6, "MSG", "QZ", "TimeUS,Message")]
     point = lambda i, status: (1, (1_000_000 * (i + 1), status, 9, 120, -353632610, 1491652300, 58400))
     logs = {
-        "fly.BIN": [point(i, 3) for i in range(40)] + [(2, (1_000_000 * i + 1, 1.0 + i)) for i in range(40)] + [(4, (1, b"GPS_TYPE", 1.0))],
+        "fly.BIN": [point(i, 3) for i in range(40)] + [(2, (1_000_000 * i + 1, 1.0 + i)) for i in range(40)] + [(4, (1, b"GPS_TYPE", 1.0)), (6, (1, b"ArduCopter V4.1 ")), (6, (2, b"Frame: QUAD"))],
         "err.BIN": [point(i, (3, 1)[i % 2]) for i in range(10)] + [(3, (9, 6, 1)), (3, (9, 10, 2))],
         "short.BIN": [point(0, 0), point(1, 0)],
     }
@@ -170,13 +256,26 @@ def test_corpus_of_logs(spark, tmp_path):
         (tmp_path / name).write_bytes(dataflash.written(types, records))
     (tmp_path / "none.BIN").write_bytes(b"nothing here")
     rows = dataflash.read(spark, str(tmp_path))
-    files = corpus.inventory(rows)
+    files = corpus.inventory(rows, dataflash.read_types(spark, str(tmp_path)))
+    fly = files.where("file = 'fly.BIN'").first()
+    assert (fly.firmware_version, fly.logging_frequencies, fly.err_codes) == ("ArduCopter V4.1", {"BARO": 1.0, "GPS": 1.0}, None)
+    assert fly.message_types_present == ["BARO", "ERR", "GPS", "MODE", "MSG", "PARM"]
+    assert [(e.subsys, e.ecode) for e in files.where("file = 'err.BIN'").first().err_codes] == [(6, 1), (10, 2)]
     got = {r.file: (r.session_type, r.verdict, r.reasons) for r in files.collect()}
     assert got["fly.BIN"] == ("flight", "clean_baseline", []) and got["short.BIN"] == ("ground", "exclude", ["duration_too_short"])
     assert got["err.BIN"][1:] == ("contains_deviations", ["err_count=2", "gps_glitches=4", "compass_warnings=1", "arming_failures=1"]) and got["none.BIN"][1:] == ("exclude", ["no_schema"])
     present = spark.createDataFrame([("fly.BIN",)], "file string")
     assert [r.file for r in corpus.selected(files, present, names=["fly.BIN", "err.BIN"]).collect()] == ["fly.BIN"]
-    assert corpus.summary(files).first().files == 3
+    whole = corpus.summary(files).first()
+    assert (whole.files, whole.total_files, whole.verdict_counts) == (3, 4, {"clean_baseline": 1, "contains_deviations": 1, "exclude": 2})
+    assert whole.median_hz == {"BARO": 1.0, "GPS": 1.0} and whole.session_type_counts["unknown"] >= 1
+    assert {r.fingerprint: r.count for r in corpus.by_fingerprint(files).collect()} and sum(len(r.files) for r in corpus.by_fingerprint(files).collect()) == 4
+    corpus.sink(files, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 4
+    total = corpus.analysis_summary(corpus.analyzer("gps_spoof")(rows)).first()
+    assert total.total_files == 3 and total.alert_files == ["fly.BIN"] and sum(total.verdict_counts.values()) == 3
+    with pytest.raises(ValueError):
+        corpus.analyzer("none")
     results = corpus.analysis(rows)
     assert {r.file: r.verdict for r in results.collect()}["fly.BIN"] == "ALERT"  # the barometer climbs, the position doesn't
     assert corpus.report(results).count() == 3
@@ -194,7 +293,13 @@ def test_checks(spark, tmp_path):
     examples = learning.bootstrap(spark, 4)
     assert len(examples.select(checks.vector_id("label", "path", "feature_vector").alias("i")).distinct().collect()) == 20
     model = learning.train(examples, 5)
-    checks.save(model, str(tmp_path / "m"))
-    again = checks.load(str(tmp_path / "m"))
+    models = checks.Models(str(tmp_path / "models"))
+    models.put("src", model, learning.stats("src", model, 20))
+    again, about = checks.Models(str(tmp_path / "models")).get("src")
+    assert (about["model_status"], about["training_samples"], sorted(about["classes"])) == ("trained", 20, sorted({"entity", "metric", "enum", "temporal", "text"}))
+    assert models.get("other") == (None, {})
+    assert learning.retrain(model, examples, examples, 0, dry_run=True) == (model, "ready") and learning.retrain(None, examples.limit(0), examples.limit(0), 0, force=True) == (None, "empty")
+    odd = spark.createDataFrame([("short", [1.0])], "path string, feature_vector array<double>")
+    assert [(r.label, r.flagged) for r in learning.predict(model, odd).collect()] == [(None, None)] == [(r.label, r.flagged) for r in learning.predict(None, odd).collect()]
     view = lambda m: sorted((r.path, r.label) for r in learning.predict(m, examples.select("path", "feature_vector")).collect())
     assert view(model) == view(again)
