@@ -248,10 +248,10 @@ def test_ordinal_fit_orders_grades():
 
 def test_kneser_ney_against_definition(small, labels, odd, empty):
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
-    held = good & {r.doc_id for r in small.where(kneser_ney.reserved()).collect()}
+    aside = good & {r.doc_id for r in small.where(kneser_ney.reserved()).collect()}
     counts = {kneser_ney.N: Counter()}
     texts = {r.doc_id: r.text for r in small.collect()}
-    for i in (good - held) & texts.keys():
+    for i in (good - aside) & texts.keys():
         for word in texts[i].split():
             counts[kneser_ney.N].update(kneser_ney.grams(word))
     for k in range(kneser_ney.N - 1, 0, -1):  # symbols before a gram; occurrences of one that a word starts with
@@ -275,7 +275,7 @@ def test_kneser_ney_against_definition(small, labels, odd, empty):
         return ((n - discounts[k][min(n, 3) - 1] if n else 0) + held[k, g[:-1]] * low) / total[k, g[:-1]]
 
     rows = kneser_ney.quality(small, labels).collect()
-    seen = sorted(r.perplexity for r in rows if r.doc_id in held and r.perplexity is not None)
+    seen = sorted(r.perplexity for r in rows if r.doc_id in aside and r.perplexity is not None)
     bound = seen[math.ceil(kneser_ney.QUANTILE * len(seen)) - 1]  # no language has enough for one of its own here
     assert all(r.kept == (r.perplexity is not None and r.perplexity <= bound * (1 + 1e-12)) for r in rows) and not all(r.kept for r in rows)
     for r in rows:

@@ -27,6 +27,42 @@ def test_stages(spark, small, labels, tmp_path):
     assert seen == ["quality rules", "toxicity", "near-dedup", "suffix-array dedup", "packing"]
 
 
+def test_last_stages_against_plain_python(spark, small, tmp_path):
+    """Near-dedup by all pairs, passages by cutting repeated windows, packing by the library's ids, each on the stage's own input."""
+    import zlib
+
+    import numpy as np
+    from test_documents import linked, repeated
+    from tokenizers import Tokenizer
+
+    from lodestrata.llm import suffix_dedup
+
+    sf, docs = "/root/testdata/sf0.001", small
+    kept = corpus_pipeline.deduplicated(spark, docs, sf)
+    kept.write.parquet(str(tmp_path / "a"))
+    kept = spark.read.parquet(str(tmp_path / "a"))
+    groups = linked([(r.doc_id, r.text) for r in docs.collect()], 2, 80)
+    want = {i for i, (n, first) in groups.items() if first == i or n == 0}
+    assert {r.doc_id for r in kept.collect()} == want and kept.count() == len(want) < docs.count()
+    corpus_pipeline.without_passages(spark, docs, sf).write.parquet(str(tmp_path / "b"))
+    cut = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "b")).collect()}
+    spans = {}
+    for (i, start), end in repeated([(r.doc_id, r.text) for r in docs.collect()]).items():
+        spans.setdefault(i, []).append((start, end))
+    assert spans
+    for r in docs.collect():
+        text = suffix_dedup.cut(r.text, spans[r.doc_id]) if r.doc_id in spans else r.text
+        assert cut[r.doc_id].text == text and cut[r.doc_id].n_chars == (len(text) if r.doc_id in spans else r.n_chars)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
+    for r in docs.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            pieces[r.doc_id, n] = (at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes()))
+    got = corpus_pipeline.packed(spark, docs, sf).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == pieces and len(got) == len(pieces)
+
+
 def test_odd_rows_pass(spark, odd, empty, tmp_path):
     clash = odd.withColumnsRenamed({"kept": "_row", "n_tokens": "_key"})
     for name, docs in (("odd", odd), ("empty", empty), ("clash", clash)):
