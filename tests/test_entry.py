@@ -1,3 +1,4 @@
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -16,10 +17,20 @@ def test_entry_has_rows(spark):
 
 
 def test_works_without_the_training_data_subpackage(tmp_path):
+    """A copy without the subpackage, the pipeline and their tests imports, and its other queries run."""
     for name in ("lodestrata", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(REPO / name), str(tmp_path)], check=True)
     if (tmp_path / "lodestrata" / "llm").exists():
         (tmp_path / "lodestrata" / "llm").rename(tmp_path / "gone")
-    code = "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
-    assert out.stdout.split()[-1] == "False" and int(out.stdout.split()[0]) > 30, out.stderr
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+names = e.queries()
+rows = [names[k](spark, "/root/testdata/sf0.001").count() for k in ("session_duration", "type_counts_pct", "histogram20")]
+print(e.entry(spark).count(), all(rows), len(names), any(k.startswith("op") for k in names if k != "optimal_threshold") or "pipeline" in names)
+"""
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    found = out.stdout.split()[-4:]
+    assert found[1] == "True" and found[3] == "False" and int(found[0]) > 0 and int(found[2]) > 30, out.stderr[-3000:]
