@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import load, words
 from .common import Memo, stored
-from .shingles import GOLDEN, WORD_HASHES, mixed
+from .shingles import GOLDEN, mixed, word_hash
 from .token_counts import pieces
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -32,6 +32,8 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW, WIDTH = 5, 0.6745 + 3 * 1.349
 #: Documents that pass the base rules from which a language (a script) has a band of its own; share of them at either end of the lengths beyond which curves go on level.
 ENOUGH, ENDS = 8, 0.005
+#: Characters of a text that are encoded at a time.
+CHARACTERS = 100_000
 #: Degrees of the curves in the logarithm of the length: trend; logarithm of the spread.
 TREND, SPREAD = 2, 1
 #: First code points of the ranges that tell scripts apart: Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and so on, Latin again, Han and kana, Hangul, others.
@@ -49,7 +51,7 @@ def word_counts(text: str) -> tuple[int, int, int, int, int]:
     lines = [line for line in text.split("\n") if line.strip(BLANKS)]
     repeated = 0
     if n > WINDOW:
-        h = np.fromiter(map(WORD_HASHES.__getitem__, found), np.uint64, n)
+        h = np.fromiter(map(word_hash, found), np.uint64, n)
         window = h[: n - WINDOW + 1]
         for i in range(1, WINDOW):
             window = mixed(window * GOLDEN) + h[i : n - WINDOW + 1 + i]
@@ -76,27 +78,32 @@ def script(text: str) -> int:
 def fertility(path: str, ranks: str):
     """A function of a text: tokens, characters per token, byte-fallback share, token entropy under the pieces of `path`; characters per token under the byte-level `ranks`."""
     import sentencepiece
+    import tiktoken
 
     model, split = sentencepiece.SentencePieceProcessor(model_file=path), pieces(path).split
     fallback = np.zeros(model.vocab_size() + 1, bool)
     for i in range(model.vocab_size()):
         fallback[i] = model.is_byte(i) and model.id_to_piece(i) not in ("<0x0A>", "<0x09>", "<0x0D>")
-    blank, feed = model.piece_to_id("▁"), model.piece_to_id("<0x0A>")
-
-    def ids(token: str) -> bytes:
-        if token in (" ", "\n"):
-            found = [blank if token == " " else feed]
-        else:
-            found = model.encode(token[1:]) if token[0] == " " else model.encode("\n" + token)[2:]
-        return np.array(found, np.int32).tobytes()
-
-    known, by_bytes = Memo(ids, 250_000), load(ranks)
-    n_ids = Memo(lambda word: len(by_bytes.ids(word.encode())), 250_000)
-    if split("a\nb") != [" a", "\n", "b"]:  # a vocabulary whose texts can't be split is given whole texts
-        known = Memo(lambda token: np.array(model.encode(token), np.int32).tobytes(), 1)
-
+    whole = split("a\nb") != [" a", "\n", "b"]  # a vocabulary whose texts can't be split
+
+    def ids(text: str) -> np.ndarray:
+        """Ids of the text; a long one is cut at words, across which no piece goes, so that the library's memory is bounded."""
+        if whole or len(text) <= CHARACTERS:
+            return np.array(model.encode(text), np.int32)
+        parts, part, size = [], [], 0
+        for word in split(text):
+            part.append(word)
+            size += len(word)
+            if size > CHARACTERS:
+                parts.append("".join(part))
+                part, size = [], 0
+        parts.append("".join(part))
+        return np.concatenate([np.array(model.encode(x[1:]) if x[0] == " " else model.encode("\n" + x)[2:], np.int32) for x in parts if x])
+
+    by_bytes = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load(ranks).ranks, special_tokens={})
+    n_ids = Memo(lambda word: len(by_bytes._encode_single_piece(word)), 250_000)  # each match of the pattern by itself
     def measures(text: str) -> tuple[int, float, float, float, float]:
-        found = np.frombuffer(b"".join(map(known.__getitem__, split(text))), np.int32)
+        found = ids(text)
         if not len(found):
             return 0, 0.0, 0.0, 0.0, 0.0
         share = np.unique(found, return_counts=True)[1] / len(found)

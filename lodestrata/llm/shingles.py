@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import Memo
 
 MIX1, MIX2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: Hashes of the words seen by this worker.
-WORD_HASHES = Memo(xxhash.xxh3_64_intdigest, 250_000)
+#: Hash of a word, as bytes (quicker than to look it up among those seen).
+word_hash = xxhash.xxh3_64_intdigest
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of a text with A-Z lower-cased."""
     words = (text or "").encode().lower().split()
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored
-from .shingles import GOLDEN, WORD_HASHES, mixed
+from .shingles import GOLDEN, mixed, word_hash
 
 #: Words of a passage that count as a repeat; words by which suffixes are sorted.
 WINDOW, K = 50, 25
@@ -32,7 +32,7 @@ WINDOW, K = 50, 25
 def hashes(text: str | None) -> np.ndarray:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` as they are written."""
     words = (text or "").encode().split()
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_hash, words), np.uint64, len(words))
 
 
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
