@@ -184,4 +184,5 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    """encode of all documents by the byte-level ranks; a null text has no tokens."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -192,4 +192,5 @@ def searched(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, every:
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """searched for all documents: likenesses of each row, neighbours of those with doc_id % EVERY = 0."""
     return searched(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -112,4 +112,5 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> D
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """quality of all documents, learnt from the folder's labels; texts without symbols aren't kept."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

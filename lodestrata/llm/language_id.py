@@ -155,5 +155,6 @@ def held_out():
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
+    """language_id of all documents, learnt from those that aren't held out; `und` without letters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return language_id(docs, docs.where(~held_out()))

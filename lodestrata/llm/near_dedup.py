@@ -292,4 +292,5 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents by 2-word shingles and 80 percent; nulls and repeated rows as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

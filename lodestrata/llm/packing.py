@@ -321,4 +321,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Data
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """pack of all documents into sequences of 4096 tokens; a null text is the end id alone."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

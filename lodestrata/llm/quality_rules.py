@@ -208,4 +208,5 @@ def quality_rules(docs: DataFrame, path: str, width: float = WIDTH, ranks: str |
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """quality_rules of all documents; null and empty texts fail the base rules."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -219,4 +219,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, by: str = "doc_id") -
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """repeats in all documents: spans of words that an earlier document or place holds; rows without doc_id are left out."""
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

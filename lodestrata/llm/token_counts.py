@@ -88,4 +88,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, hot: int = HOT)
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts of all documents by the piece vocabulary; null and repeated rows as there."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

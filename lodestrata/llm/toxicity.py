@@ -222,4 +222,5 @@ def not_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """toxicity of all documents, learnt from the folder's labels; nulls, ties and empty tables as there."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
