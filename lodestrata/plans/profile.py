@@ -36,7 +36,7 @@ def field_profiles(leaves: DataFrame, model=None, found: DataFrame | None = None
 
     model: of `learning.train`, roles go by rule without it; found: of `learning.clusters`, of these fields if None.
     """
-    table = features.vector(roles.classified(features.field_features(leaves)))
+    table = features.vector(roles.classified(features.field_features(leaves))).persist()  # a row for each path of a schema
     found = learning.clusters(table.select("path", "feature_vector")) if found is None else found
     predicted = learning.predict(model, table.select("path", "feature_vector")) if model is not None else None
     return learning.decided(table, predicted, found).withColumn("profile_cardinality", F.col("unique_count") / F.col("sample_count"))
