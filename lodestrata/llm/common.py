@@ -50,8 +50,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Length from which a key isn't kept in a memo, so that memos are bounded in bytes too.
-LONG = 64
+#: Length from which a key isn't kept in a memo, so that memos are bounded in bytes too; bytes of keys after which rows are emptied.
+LONG, BYTES = 64, 1 << 26
 
 
 class Memo(dict):
@@ -71,27 +71,26 @@ class Memo(dict):
 
 
 class Rows(dict):
-    """Rows of numbers of a function for the keys seen so far in this Python worker, and their sums over lists of keys; emptied when `most` are held."""
+    """Rows of numbers of a function for the keys seen so far in this Python worker, and their sums over lists of keys; emptied when `most` or BYTES are held."""
 
     def __init__(self, of, width: int, most: int = 200_000):
         super().__init__()
-        self.of, self.most, self.table = of, most, np.zeros((most, width))
+        self.of, self.most, self.table, self.held = of, most, np.zeros((most, width)), 0
 
     def __missing__(self, key):
         row = self.of(key)
         at = self[key] = len(self)
         self.table[at] = row
+        self.held += len(key)
         return at
 
     def sum(self, keys: list) -> np.ndarray:
         total = np.zeros(self.table.shape[1])
-        if max(map(len, keys), default=0) > LONG:
-            total += sum(np.asarray(self.of(key)) for key in keys if len(key) > LONG)
-            keys = [key for key in keys if len(key) <= LONG]
         step = self.most // 4
         for start in range(0, len(keys), step):
             part = keys[start : start + step]
-            if len(self) + len(part) > self.most:
+            if len(self) + len(part) > self.most or self.held > BYTES:
                 self.clear()
+                self.held = 0
             total += self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return total
