@@ -19,7 +19,7 @@ from .common import Memo, stored
 #: Distinct units, and characters of texts, that one Python worker counts before it passes their counts on.
 FLUSH, CHARACTERS = 300_000, 1 << 26
 #: Most units that are broadcast; frequency up to which frequencies are told apart exactly, beyond it by steps of a hundredth.
-HOT, EXACT = 400_000, 10_000
+HOT, EXACT = 600_000, 10_000
 
 
 def unit_counts(docs: DataFrame, split: Callable[[], Callable[[str], Iterable[str]]], units: Callable[[str], list[str]] | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def unit_sums(docs: DataFrame, split, units, table: DataFrame, size: Callable[[s
             values = [have.get(unit) for unit in found]
             return sum(v for v in values if v is not None), tuple(unit for unit, v in zip(found, values) if v is None)
 
-        words, memo = split(), Memo(valued)
+        words, memo = split(), Memo(valued, 400_000)
         for batch in batches:
             base, rest = [], []
             for text in batch.column("text").to_pylist():
