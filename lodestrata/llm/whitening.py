@@ -1,7 +1,7 @@
 """Whitening of embeddings: scores of vectors on unit-variance principal components of the corpus.
 
-Entries become whole numbers, equal vectors are one row, and a generated SQL aggregate sums the centred
-product of every pair of dimensions (the upper triangle) in one pass. The covariance, as large as the
+Entries become whole numbers, equal vectors are one row, and one aggregation of generated SQL expressions sums
+the centred product of every pair of dimensions (the upper triangle). The covariance, as large as the
 square of the dimensions whatever the number of rows, is decomposed by LAPACK; the scores are again
 generated SQL over every row.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Pairs of dimensions in one aggregate at most (64 dimensions have 2,080); more are summed by further passes over the stored fit list.
-PAIRS = 5_000
+#: Pairs of dimensions whose sums are columns of one row: an expression each for the 2,080 pairs of 64 dimensions
+#: in a row of their own is beyond what Spark compiles, so the row of dimension i holds WIDTH others.
+WIDTH = 32
 #: Entries reach this far from 0 at most, so that whole numbers fit a long; a part of the variance under which a component has none.
 FAR, NONE = 2.0**54, 1e-13
 
@@ -58,6 +59,15 @@ def vectors(df: DataFrame, embedding: str, scale: int = 256) -> tuple[DataFrame,
     return rows.where(F.size("x") == d), fit.where(F.size("x") == d), d
 
 
+def products(fit: DataFrame, means: list[float]) -> DataFrame:
+    """i, block, s0, s1 ..: sums over the rows of centred x[i] times centred x[WIDTH * block + k] (null beyond the last dimension)."""
+    d = len(means)
+    blocks = [f"struct({i} as i, {b} as block)" for i in range(d) for b in range(i // WIDTH, -(-d // WIDTH))]
+    centred = fit.selectExpr(f"array({', '.join(f'x[{i}] - {m!r}D' for i, m in enumerate(means))}) as c", f"array({', '.join(blocks)}) as blocks")
+    rows = centred.selectExpr("c", "inline(blocks)")
+    return rows.groupBy("i", "block").agg(*(F.expr(f"sum(c[i] * get(c, block * {WIDTH} + {k}))").alias(f"s{k}") for k in range(WIDTH)))
+
+
 def fitted(fit: DataFrame, d: int) -> Whitening | None:
     """Covariance of the fit list's x (divisor n, centred before multiplying) and its eigenvectors; None without rows."""
     n, top = fit.agg(F.count("*"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
@@ -65,13 +75,12 @@ def fitted(fit: DataFrame, d: int) -> Whitening | None:
         return None
     kind = "bigint" if n * top < 2**62 else "decimal(38,0)"
     sums = [int(s) for s in fit.selectExpr(*(f"sum(cast(x[{i}] as {kind}))" for i in range(d))).first()]
-    centred = fit.selectExpr(*(f"x[{i}] - {s / n!r}D c{i}" for i, s in enumerate(sums)))
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
     covariance = np.zeros((d, d))
-    for start in range(0, len(pairs), PAIRS):
-        part = pairs[start : start + PAIRS]
-        for (i, j), total in zip(part, centred.selectExpr(*(f"sum(c{i} * c{j})" for i, j in part)).first()):
-            covariance[i, j] = covariance[j, i] = total / n
+    for r in products(fit, [total / n for total in sums]).collect():  # as many rows as d * d / WIDTH
+        for k in range(min(WIDTH, d - WIDTH * r["block"])):
+            i, j = r["i"], WIDTH * r["block"] + k
+            if i <= j:
+                covariance[i, j] = covariance[j, i] = r[f"s{k}"] / n
     values, found = np.linalg.eigh(covariance)
     order = np.argsort(-values, kind="stable")
     values, found = np.maximum(values[order], 0.0), found[:, order]

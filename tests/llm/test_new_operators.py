@@ -63,12 +63,12 @@ def test_whitening_odd(spark):
     got = whitening.whitened(df, "vec_id", "embedding").collect()
     checked(got, rows)
     assert {r.vec_id for r in got}.isdisjoint(range(200, 206)) and sum(r.vec_id is None for r in got) == 4
-    # in several aggregates, the same
-    most, whitening.PAIRS = whitening.PAIRS, 4
+    # in several blocks, the same
+    most, whitening.WIDTH = whitening.WIDTH, 2
     try:
         checked(whitening.whitened(df, "vec_id", "embedding").collect(), rows)
     finally:
-        whitening.PAIRS = most
+        whitening.WIDTH = most
 
 
 def test_whitening_of_extremes(spark):
