@@ -70,6 +70,26 @@ class Memo(dict):
         return value
 
 
+class Recent(Memo):
+    """A memo of two generations: when `most` keys are held, they become the older one, from which keys come back when they are met again."""
+
+    def __init__(self, of, most: int = 200_000):
+        super().__init__(of, most)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        if len(key) > LONG:
+            return self.of(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.of(key)
+        self[key] = value
+        return value
+
+
 class Rows(dict):
     """Rows of numbers of a function for the keys seen so far in this Python worker, and their sums over lists of keys; emptied when `most` or BYTES are held."""
 

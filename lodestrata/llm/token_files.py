@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, words
-from .common import Memo, shared_dir
+from .common import Recent, shared_dir
 
 #: Rows of a group of the row index; bytes of a stripe before compression; share of doc_ids that a Bloom filter takes in wrongly.
 GROUP, STRIPE, WRONG = 1_000, 16 << 20, 0.01
@@ -35,10 +36,16 @@ class TextIds:
 
         self.model = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()) or "(?!)")
-        self.words = Memo(self.whole, 300_000)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.words = Recent(self.word)
         sample = "Ab é's  12 ..a\n\n'll x_y \t z "
-        # words may be encoded one by one if the vocabulary's own splitter cuts where the pattern does
-        self.by_word = self.whole(sample) == b"".join(map(self.whole, words(sample)))
+        # words may be encoded one by one, by the model alone, if the vocabulary's own splitter cuts where the pattern does
+        self.by_word = self.whole(sample) == b"".join(map(self.word, words(sample)))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word without its splitter; the model has a letter for each byte."""
+        return array("I", [t.id for t in self.model.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
