@@ -63,7 +63,7 @@ def text_ids(path: str) -> TextIds:
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = 0, group: int = GROUP, stripe: int = STRIPE) -> None:
-    """Write the ids of all texts, with `end` behind each, as ORC files in a folder: doc_id, place (ids before it in the file), ids.
+    """Write the ids of all texts, with `end` behind each, as ORC files in a folder: doc_id, place (ids before it in the file), n_tokens, ids.
 
     Files, and rows in them, are in ascending order of doc_id, null last; rows of one doc_id keep the order of
     the input and may go on in the next file, so that no id is too frequent. A null text is the end alone.
@@ -72,45 +72,47 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = 0, group:
     def run(batches):
         ids_of, last, place = text_ids(vocabulary), np.array([end], "<u4").tobytes(), 0
         for batch in batches:
-            places, ends, parts = [], [0], []
+            places, ends, sizes, parts = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 ids = ids_of(text or "") + last
                 places.append(place)
                 parts.append(ids)
-                place += len(ids) // 4
-                ends.append(ends[-1] + len(ids) // 4)
+                sizes.append(len(ids) // 4)
+                place += sizes[-1]
+                ends.append(ends[-1] + sizes[-1])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(places, pa.int64()), ids], ["doc_id", "place", "ids"])
+            columns = [batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "n_tokens", "ids"])
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("_row")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("_row"))
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     options = {
-        "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(group), "orc.stripe.size": str(stripe),
+        "compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": str(group), "orc.stripe.size": str(stripe),
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(WRONG),
     }
-    ordered.mapInArrow(run, "doc_id long, place long, ids array<int>").write.options(**options).orc(path)
+    ordered.mapInArrow(run, "doc_id long, place long, n_tokens long, ids array<int>").write.options(**options).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, part (number of the file), place, ids of a folder of `write_ids`; doc_ids: only of these documents.
+    """doc_id, part (number of the file), place, n_tokens, ids of a folder of `write_ids`; doc_ids: only of these documents.
 
     The doc_ids asked for go to the files' own statistics and Bloom filters, so what can't hold them isn't decoded.
     """
-    rows = spark.read.schema("doc_id long, place long, ids array<int>").orc(path)
+    rows = spark.read.schema("doc_id long, place long, n_tokens long, ids array<int>").orc(path)
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    return rows.select("doc_id", part.alias("part"), "place", "ids")
+    return rows.select("doc_id", part.alias("part"), "place", "n_tokens", "ids")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
     """part, first: the ids in the files before each, from a row for each file."""
-    rows = read_ids(spark, path).groupBy("part").agg(F.max(F.struct("place", F.size("ids").alias("n"))).alias("last"))
+    rows = read_ids(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     out, total = [], 0
-    for part, place, n in rows.select("part", "last.place", "last.n").orderBy("part").collect():  # a row for each file
+    for part, n in rows.orderBy("part").collect():  # a row for each file
         out.append((part, total))
-        total += place + n
+        total += n
     return spark.createDataFrame(out, "part int, first long")
 
 
