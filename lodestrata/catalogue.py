@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import explore, features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import profile
+from lodestrata.sources import connector, places
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -205,6 +206,55 @@ def role_counts(spark, sf_dir):
     return profile.role_counts(found).select("role", "n")
 
 
+# ---- sources --------------------------------------------------------------------------------------
+
+
+def event_files(spark, sf_dir, every: int) -> str:
+    """A folder of the events as JSON lines, in files below a folder for each type; those whose number `every` divides are cut short."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    line = F.to_json(F.struct(*e.columns))
+    line = F.when(F.col("event_id") % every == 0, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    path = places.scratch(spark, "events")
+    e.withColumn("line", F.to_json(F.struct(*e.columns))).select(line.alias("line"), F.col("event_type").alias("kind")).write.partitionBy("kind").text(path)
+    return path
+
+
+@query("SELECT event_id, user_id, event_type, event_type kind, round(value*100)::bigint cents, true placed FROM events WHERE event_id % 101 <> 0")
+def connector_events(spark, sf_dir):
+    """Events from files by the data source, with file and place in their payloads."""
+    connector.register(spark)
+    rows = spark.read.format(connector.NAME).options(path=event_files(spark, sf_dir, 101), source_id="files", inject="true", split_bytes="200000").load()
+    event = F.from_json("payload", "event_id long, user_id long, event_type string, cents long, _index string, _id string")
+    found = rows.where("error is null").select("index", "id", F.regexp_extract("index", "kind=([^/]+)", 1).alias("kind"), event.alias("e"))
+    return found.select("e.event_id", "e.user_id", "e.event_type", "kind", "e.cents", ((F.col("e._index") == F.col("index")) & (F.col("e._id") == F.col("id"))).alias("placed"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 101 <> 0")
+def connector_tail(spark, sf_dir):
+    """Events of a stream over files, stopped after every batch and begun again from its checkpoint."""
+    connector.register(spark)
+    path, out, place = event_files(spark, sf_dir, 101), places.scratch(spark, "tail"), places.scratch(spark, "place")
+    for _ in range(2):
+        rows = spark.readStream.format(connector.NAME).options(path=path, split_bytes="200000").load().where("error is null")
+        found = rows.select(F.from_json("payload", "event_id long, user_id long").alias("e")).select("e.*")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long").parquet(out)
+
+
+@query("SELECT 'batch' how, count(*) FILTER (WHERE event_id % 7 <> 0) delivered, count(*) FILTER (WHERE event_id % 7 = 0) errors FROM events UNION ALL SELECT 'stream', count(*) FILTER (WHERE event_id % 7 <> 0), count(*) FILTER (WHERE event_id % 7 = 0) FROM events")
+def connector_health(spark, sf_dir):
+    """Counters of a source, observed as a batch and as a stream run."""
+    connector.register(spark)
+    options = {"path": event_files(spark, sf_dir, 7), "split_bytes": "200000"}
+    once = connector.delivered(spark.read.format(connector.NAME).options(**options).load(), lambda df: df.write.format("noop").mode("overwrite").save())
+    stream = connector.observed(spark.readStream.format(connector.NAME).options(**options).load())
+    q = stream.writeStream.format("noop").option("checkpointLocation", places.scratch(spark, "place")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [p.observedMetrics["health"] for p in q.recentProgress if "health" in p.observedMetrics]
+    rows = [("batch", once["delivered"], once["errors"]), ("stream", sum(s["delivered"] for s in seen), sum(s["errors"] for s in seen))]
+    return spark.createDataFrame(rows, "how string, delivered long, errors long")
+
+
 # ---- corrections and learning ---------------------------------------------------------------------
 
 CORRECTIONS = """c AS (SELECT d.doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END source_id, source field_path, CASE WHEN quality=1 THEN 'entity' WHEN toxic=1 THEN 'text' WHEN doc_id % 7 = 0 THEN 'bogus' ELSE 'enum' END correct_label,
