@@ -2,19 +2,15 @@
 
 A record is A3 95, a type byte and a payload. Type 80 describes a type: id, total length, name[4],
 format[16], columns[64]. A later description of the same id replaces an earlier one, wherever its
-bytes stand. Spark deals the files out, one task reads a file at a time and yields its records in batches.
-A file's bytes are one value in its task, as descriptions may come anywhere in it: files must be under 2 GB,
-which is Spark's bound of a value. A broken file gives one row with `error` and no job fails.
+bytes stand. Here are the format itself, on bytes in memory, and views of records; `logscan` reads folders.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYNC, DESCRIPTION, DESCRIBED = b"\xa3\x95", 0x80, struct.Struct("<BB4s16s64s")
@@ -24,24 +20,31 @@ CODES = {
     "c": "h", "C": "H", "e": "i", "E": "I", "L": "i", "M": "B", "q": "q", "Q": "Q",
 }
 HUNDREDTHS, DEGREES = "cCeE", "L"
-BATCH = 20_000
 
 
 def text(raw: bytes) -> str:
     return raw.rstrip(b"\0").decode("ascii", "replace").strip()
 
 
+def description(body: bytes) -> tuple[int, tuple] | None:
+    """(type id, (length, name, format, fields, layout)) of the payload of a description; None without a name or a format."""
+    kind, length, name, form, names = DESCRIBED.unpack(body)
+    name, form, names = text(name), text(form), [n.strip() for n in text(names).split(",") if n.strip()]
+    if not name or not form:
+        return None
+    # an unknown character is left out of the layout, but its column name goes with it
+    fields = [(names[i] if i < len(names) else f"field_{i}", c) for i, c in enumerate(form) if c in CODES]
+    return kind, (length, name, form, fields, struct.Struct("<" + "".join(CODES[c] for _, c in fields)))
+
+
 def descriptions(data: bytes) -> dict[int, tuple]:
-    """type id -> (length, name, format, names, layout or None)."""
+    """type id -> (length, name, format, fields, layout), the last of each id."""
     out, at = {}, data.find(SYNC + bytes([DESCRIPTION]))
     while at >= 0:
         body = data[at + 3 : at + 3 + DESCRIBED.size]
-        if len(body) == DESCRIBED.size:
-            kind, length, name, form, names = DESCRIBED.unpack(body)
-            form, names = text(form), text(names).split(",")
-            # an unknown character is left out of the layout, but its column name goes with it
-            fields = [(names[i] if i < len(names) else f"field{i}", c) for i, c in enumerate(form) if c in CODES]
-            out[kind] = (length, text(name), form, fields, struct.Struct("<" + "".join(CODES[c] for _, c in fields)) if fields else None)
+        found = description(body) if len(body) == DESCRIBED.size else None
+        if found:
+            out[found[0]] = found[1]
         at = data.find(SYNC + bytes([DESCRIPTION]), at + 1)
     return out
 
@@ -60,7 +63,7 @@ def scanned(data: bytes, types: dict[int, tuple]) -> Iterator[tuple[int, str, di
         found = types.get(kind)
         if kind == DESCRIPTION:
             step = 3 + DESCRIBED.size
-        elif found and found[4] is not None and found[0]:
+        elif found and found[0]:
             length, name, _, fields, layout = found
             if at + length > len(data):
                 step = 1
@@ -71,48 +74,6 @@ def scanned(data: bytes, types: dict[int, tuple]) -> Iterator[tuple[int, str, di
         at = data.find(SYNC, at + step)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """file, seq, offset, name, t (TimeUS where positive), fields (JSON), error of every record of `*.BIN` and `*.bin` below a folder."""
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data, rows = content.as_py(), []
-                types = descriptions(data)
-                error = "too small" if len(data) < 3 else None if types else "no description"
-                if error:
-                    yield _batch([(path, None, None, None, None, None, error)])
-                    continue
-                for seq, (at, name, fields) in enumerate(scanned(data, types)):
-                    t = fields.get("TimeUS")
-                    rows.append((path, seq, at, name, t if isinstance(t, (int, float)) and t > 0 else None, json.dumps(fields), None))
-                    if len(rows) == BATCH:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{BIN,bin}").load(folder).select("path", "content")
-    return files.mapInArrow(run, "path string, seq long, offset long, name string, t long, fields string, error string").withColumn("file", F.element_at(F.split("path", "/"), -1)).select("file", "seq", "offset", "name", "t", "fields", "error")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["path", "seq", "offset", "name", "t", "fields", "error"])
-
-
-def read_types(spark: SparkSession, folder: str) -> DataFrame:
-    """file, type_id, length, name, format, columns of every described type."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [(path, kind, length, name, form, [n for n, _ in fields]) for path, content in zip(batch.column("path").to_pylist(), batch.column("content")) for kind, (length, name, form, fields, _) in descriptions(content.as_py()).items()]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["path", "type_id", "length", "name", "format", "columns"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{BIN,bin}").load(folder).select("path", "content")
-    return files.mapInArrow(run, "path string, type_id int, length int, name string, format string, columns array<string>").withColumn("file", F.element_at(F.split("path", "/"), -1)).drop("path")
-
-
 def field(name: str, *others: str, kind: str = "double", default=None):
     """A field of the JSON column: the first of its names that the record has, read as `kind`."""
     found = F.coalesce(*(F.get_json_object("fields", f"$.{n}") for n in (name, *others))).try_cast(kind)

@@ -10,7 +10,7 @@ from fnmatch import fnmatch
 from urllib.parse import unquote
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def located(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     if re.match(r"file:", uri):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import profile
-from lodestrata.sources import dataflash, events
+from lodestrata.sources import dataflash, events, logscan
 from lodestrata.streaming import live
 
 
@@ -108,7 +108,7 @@ def test_log_round_trip(spark, tmp_path):
     (tmp_path / "two.bin").write_bytes(data[:-3])
     (tmp_path / "bad.BIN").write_bytes(b"\xa3\x95\x01nothing")
     (tmp_path / "tiny.bin").write_bytes(b"x")
-    rows = dataflash.read(spark, str(tmp_path))
+    rows = logscan.read_logs(spark, str(tmp_path))
     errors = {r.file: r.error for r in rows.where("error is not null").collect()}
     assert errors == {"bad.BIN": "no description", "tiny.bin": "too small"}
     good = rows.where("file = 'two.bin'")
@@ -119,7 +119,7 @@ def test_log_round_trip(spark, tmp_path):
     findings = telemetry.spoof_findings(g, dataflash.baro(good), dataflash.ekf(good))
     assert {r.check: r.verdict for r in findings.collect()} == {"position_jump": "CLEAN", "alt_divergence": "CLEAN", "gps_quality": "CLEAN", "ekf_innovation": "ALERT"}
     assert telemetry.config_fingerprint(dataflash.params(good)).count() == 1
-    assert {r.name for r in dataflash.read_types(spark, str(tmp_path)).where("file = 'two.bin'").collect()} == {"GPS", "BARO", "XKF1", "PARM", "ODD"}
+    assert {r.name for r in logscan.read_types(spark, str(tmp_path)).where("file = 'two.bin'").collect()} == {"GPS", "BARO", "XKF1", "PARM", "ODD"}
 
 
 def test_events_in_order_of_file_and_line(spark, tmp_path):
@@ -255,8 +255,8 @@ def test_corpus_of_logs(spark, tmp_path):
     for name, records in logs.items():
         (tmp_path / name).write_bytes(dataflash.written(types, records))
     (tmp_path / "none.BIN").write_bytes(b"nothing here")
-    rows = dataflash.read(spark, str(tmp_path))
-    files = corpus.inventory(rows, dataflash.read_types(spark, str(tmp_path)))
+    rows = logscan.read_logs(spark, str(tmp_path))
+    files = corpus.inventory(rows, logscan.read_types(spark, str(tmp_path)))
     fly = files.where("file = 'fly.BIN'").first()
     assert (fly.firmware_version, fly.logging_frequencies, fly.err_codes) == ("ArduCopter V4.1", {"BARO": 1.0, "GPS": 1.0}, None)
     assert fly.message_types_present == ["BARO", "ERR", "GPS", "MODE", "MSG", "PARM"]
