@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import explore, features, flatten, learning, relations, roles, telemetry
-from lodestrata.plans import profile
-from lodestrata.sources import connector, places
+from lodestrata.plans import corpus, profile
+from lodestrata.sources import connector, logscan, places
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -526,3 +526,85 @@ def file_semi(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
 def file_anti(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+# ---- binary logs ----------------------------------------------------------------------------------
+
+LOG_TYPES = [
+    (1, "GPS", "QBBdLLd", "TimeUS,Status,NSats,HDop,Lat,Lng,Alt"), (2, "BARO", "Qd", "TimeUS,Alt"), (3, "XKF1", "Qdd", "TimeUS,IVN,IVE"),
+    (4, "MODE", "QB", "TimeUS,Mode"), (9, "SIM", "Qf", "TimeUS,Wind"),
+]
+LOGGED = """rec AS (SELECT 'f' || (user_id%40) || '.BIN' file, event_type name, row_number() OVER (PARTITION BY user_id%40 ORDER BY event_id)-1 seq, event_id, epoch_us(ts) t, value FROM events),
+ gps AS (SELECT file, seq, t, (event_id*7)%5 status, (event_id*3)%11 nsats, value/100 hdop, (-350000000+event_id*7%1000)/1e7 lat, (1490000000+event_id*3%1000)/1e7 lon, value alt FROM rec WHERE name IN ('view','click'))"""
+
+
+def logs(spark, sf_dir):
+    """The events written as binary logs, some users to a file, and read in ranges that cut the files."""
+    c, t = F.col, F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    i, v, us = c("event_id"), c("value"), t.cast("double")
+    point = F.array(us, i * 7 % 5, i * 3 % 11, v / 100, -350_000_000 + i * 7 % 1000, 1_490_000_000 + i * 3 % 1000, v)
+    kinds = [("purchase", 2, F.array(us, v)), ("error", 3, F.array(us, v / 60, v / 80)), ("signup", 4, F.array(us, i % 8))]
+    number, values = F.lit(1), point.cast("array<double>")
+    for name, kind, columns in kinds:
+        number = F.when(c("event_type") == name, kind).otherwise(number)
+        values = F.when(c("event_type") == name, columns.cast("array<double>")).otherwise(values)
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("f"), (c("user_id") % 40).cast("string")).alias("file"), i.alias("seq"), number.alias("type_id"), values.alias("values"))
+    folder = places.scratch(spark, "logs")
+    logscan.write_logs(rows, folder, LOG_TYPES)
+    return logscan.Logs(spark, folder, split=1 << 16)
+
+
+@query(f"WITH {LOGGED} SELECT file, seq, CASE name WHEN 'purchase' THEN 'BARO' WHEN 'error' THEN 'XKF1' WHEN 'signup' THEN 'MODE' ELSE 'GPS' END name, t FROM rec")
+def log_records(spark, sf_dir):
+    """Every record of binary logs."""
+    return logs(spark, sf_dir).records().select("file", "seq", "name", "t")
+
+
+@query(f"WITH {LOGGED} SELECT file, seq, t, status, nsats, hdop, lat, lon, alt FROM gps")
+def log_positions(spark, sf_dir):
+    """Typed columns of one type of record."""
+    found = logs(spark, sf_dir).typed("GPS")
+    return found.select("file", "seq", F.col("TimeUS").cast("long").alias("t"), F.col("Status").alias("status"), F.col("NSats").alias("nsats"), F.col("HDop").alias("hdop"), F.col("Lat").alias("lat"), F.col("Lng").alias("lon"), F.col("Alt").alias("alt"))
+
+
+@query("SELECT file, unnest([1,2,3,4,9]) type_id, unnest(['GPS','BARO','XKF1','MODE','SIM']) name, unnest([37,19,27,12,15]) length, unnest([7,2,3,2,2]) fields FROM (SELECT DISTINCT 'f' || (user_id%40) || '.BIN' file FROM events)")
+def log_types(spark, sf_dir):
+    """Types that logs describe, with or without records."""
+    return logs(spark, sf_dir).types().select("file", "type_id", "name", "length", F.size("columns").alias("fields"))
+
+
+INVENTORY = f"""{LOGGED}, du AS (SELECT file, max(d) duration_us FROM (SELECT file, arg_max(t,seq)-arg_min(t,seq) d FROM rec GROUP BY file, CASE WHEN name IN ('view','click') THEN 'GPS' ELSE name END HAVING count(*)>1) GROUP BY file),
+ st AS (SELECT file, seq, status>=3 fix FROM gps WHERE status>=3 OR status<=1), sw AS (SELECT file, fix, lag(fix) OVER (PARTITION BY file ORDER BY seq) was, max(fix::int) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) had FROM st),
+ gl AS (SELECT file, count(*) FILTER (WHERE fix AND NOT was AND had=1) glitches FROM sw GROUP BY file), pc AS (SELECT file, count(*) FILTER (WHERE d>1e-5) position_changes FROM (SELECT file, abs(lat-lag(lat) OVER (PARTITION BY file ORDER BY seq)) d FROM gps) GROUP BY file),
+ ag AS (SELECT file, count(*) FILTER (WHERE name IN ('view','click') AND (event_id*7)%5>=3) fixes, coalesce(max(CASE WHEN name IN ('view','click') THEN (event_id*3)%11 END),0) nsats_max, coalesce(min(CASE WHEN name IN ('view','click') THEN value/100 END),99.99) hdop_min, count(*) FILTER (WHERE name IN ('view','click')) statuses, coalesce(max(CASE WHEN name IN ('view','click') THEN (event_id*7)%5 END),0) top,
+  count(*) FILTER (WHERE name='purchase') baro_n, coalesce(max(CASE WHEN name='purchase' THEN value END)-min(CASE WHEN name='purchase' THEN value END),0) baro_range, count(*) FILTER (WHERE name='signup') modes, count(*) FILTER (WHERE name='signup' AND event_id%8 IN (3,4,5,6)) flying, count(*) FILTER (WHERE name='signup' AND event_id%8 IN (0,1,2)) ground FROM rec GROUP BY file),
+ inv AS (SELECT ag.file, duration_us/1e6 duration_s, nsats_max, hdop_min, baro_n, modes, coalesce(glitches,0) glitches, coalesce(position_changes,0) position_changes, 'BARO,GPS,MODE,SIM,XKF1' types,
+  CASE WHEN fixes>5 AND nsats_max>4 THEN 'flight' WHEN baro_n>1 AND baro_range>5 THEN 'flight' WHEN baro_n>1 AND baro_range<=2 AND (statuses=0 OR top<=1) THEN 'ground' WHEN flying>0 THEN 'flight' WHEN modes>0 AND ground=modes THEN 'ground' WHEN statuses>0 AND top<=1 THEN 'ground' ELSE 'unknown' END session_type,
+  CASE WHEN duration_us/1e6<5 THEN 'exclude' WHEN coalesce(glitches,0)>0 THEN 'contains_deviations' ELSE 'review' END verdict FROM ag LEFT JOIN du USING (file) LEFT JOIN gl USING (file) LEFT JOIN pc USING (file))"""
+
+
+def _inventory(spark, sf_dir):
+    found = logs(spark, sf_dir)
+    return corpus.inventory(found.records(), found.types())
+
+
+@query(f"WITH {INVENTORY} SELECT * FROM inv")
+def log_inventory(spark, sf_dir):
+    """A row for each log: durations, extremes, counts, session, types and verdict."""
+    columns = ["duration_s", "nsats_max", "hdop_min", "baro_n", "modes", "glitches", "position_changes"]
+    return _inventory(spark, sf_dir).select("file", *columns, F.array_join("message_types_present", ",").alias("types"), "session_type", "verdict")
+
+
+@query(f"WITH {INVENTORY} SELECT count(*) total_files, count(duration_s) files, min(duration_s) lo, max(duration_s) hi, quantile_disc(duration_s, 0.5 ORDER BY duration_s DESC) median, (SELECT string_agg(verdict || '=' || n, ',' ORDER BY verdict) FROM (SELECT verdict, count(*) n FROM inv GROUP BY ALL)) verdicts, (SELECT string_agg(session_type || '=' || n, ',' ORDER BY session_type) FROM (SELECT session_type, count(*) n FROM inv GROUP BY ALL)) sessions FROM inv")
+def log_summary(spark, sf_dir):
+    """The summary of all logs."""
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    found = corpus.summary(_inventory(spark, sf_dir))
+    return found.select("total_files", "files", "lo", "hi", "median", text("verdict_counts").alias("verdicts"), text("session_type_counts").alias("sessions"))
+
+
+@query(f"WITH {LOGGED}, {EKF}, {FINDINGS} SELECT file, vd.verdict, round(confidence,6) confidence, string_agg(\"check\" || '=' || fd.verdict, ',' ORDER BY \"check\") findings FROM vd JOIN fd USING (file) GROUP BY ALL")
+def log_verdicts(spark, sf_dir):
+    """Integrity checks of each log and what they come to."""
+    found = corpus.analysis(logs(spark, sf_dir).records())
+    return found.select("file", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("findings", lambda f: F.concat_ws("=", f["check"], f["verdict"])), ",").alias("findings"))
