@@ -74,6 +74,22 @@ def flatten_json_props(spark, sf_dir):
     return flatten.flatten_json(table(spark, sf_dir, "events"), "event_id", "props")
 
 
+@query("""WITH n AS (SELECT event_id seq, event_id % 5 k, user_id, event_type, round(value*100)::bigint cents FROM events)
+ SELECT seq, unnest(['user.id','user.kind','list.0','list.1.flag','list.1.none','list.2.0.0','price','list.1.text']) path,
+  unnest([user_id::varchar, event_type, cents::varchar, CASE WHEN k = 0 THEN 'True' ELSE 'False' END, NULL, seq::varchar, (cents // 100)::varchar || '.5', '"1e5" é']) "value" FROM n
+ UNION ALL SELECT seq, 'big', '100000.0' FROM n WHERE k = 1 UNION ALL SELECT seq, 'user.id.x', 'first' FROM n WHERE k = 2""")
+def flatten_json_nested(spark, sf_dir):
+    """Nested objects and arrays, nulls, empty ones, numbers of all forms, paths that collide, and broken and null texts."""
+    i, k = F.col("event_id"), F.col("event_id") % 5
+    cents = F.round(F.col("value") * 100).cast("long")
+    head = F.format_string('{"user": {"id": %d, "kind": "%s"}, "list": [%d, {"flag": %s, "none": null, "empty": {}, "text": "\\"1e5\\" é"}, [[%d]], []], "price": %d.50', "user_id", "event_type", cents, F.when(k == 0, "true").otherwise("false"), i, F.floor(cents / 100).cast("long"))
+    tail = F.when(k == 1, ', "big": 1e5}').otherwise("}")
+    tail = F.when(k == 2, F.format_string(', "user.id.x": "first", "user": {"id": %d, "kind": "%s", "id.x": "last"}}', "user_id", "event_type")).otherwise(tail)
+    events = table(spark, sf_dir, "events").select(i.alias("event_id"), F.concat(head, tail).alias("text"))
+    broken = table(spark, sf_dir, "events").select((-i).alias("event_id"), F.when(k == 0, "{broken").when(k == 1, "[{}, []]").alias("text"))
+    return flatten.flatten_json(events.union(broken), "event_id", "text")
+
+
 @query("""WITH l AS (SELECT event_id seq, unnest([event_type, 'always', 'd' || length(event_id::varchar)]) path, unnest([CASE WHEN user_id % 3 <> 0 THEN user_id END, event_id, user_id % 10]) v FROM events),
  f AS (SELECT path, min(seq) mn, count(v) filled, count(DISTINCT v) u FROM l GROUP BY path)
  SELECT path, (SELECT count(*) FROM events WHERE event_id >= f.mn) sample_count, (SELECT count(*) FROM events WHERE event_id >= f.mn) - filled null_count, u unique_count FROM f""")

@@ -1,4 +1,4 @@
-"""Nested events to rows (seq, path, value): typed columns by their schema, JSON text by a walk of each row."""
+"""Nested events to rows (seq, path, value): typed columns by their schema, JSON text by variants, level by level."""
 
 from __future__ import annotations
 
@@ -45,8 +45,8 @@ def _walk(value, path: str) -> Iterator[tuple[str, str | None]]:
         yield path, None if value is None else str(value)
 
 
-def flatten_json(events: DataFrame, seq: str, payload: str) -> DataFrame:
-    """(seq, path, value) of every scalar in JSON text; of paths that collide the last wins, empty objects, broken and null texts have no rows."""
+def _walked(events: DataFrame) -> DataFrame:
+    """(seq, path, value) of (seq, payload) by a walk of each row in Python."""
 
     def run(batches):
         for batch in batches:
@@ -54,12 +54,66 @@ def flatten_json(events: DataFrame, seq: str, payload: str) -> DataFrame:
             for number, text in zip(batch["seq"], batch["payload"]):
                 try:
                     found = dict(_walk(json.loads(text), "")) if text is not None else {}
-                except ValueError:
+                except (ValueError, RecursionError):
                     found = {}
                 rows += [(number, path, value) for path, value in found.items() if path]
             yield pd.DataFrame(rows, columns=["seq", "path", "value"])
 
-    return events.select(F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload")).mapInPandas(run, "seq long, path string, value string")
+    return events.mapInPandas(run, "seq long, path string, value string")
+
+
+#: What has another text as a variant than in Python: exponents, -0, more digits than a double or a long surely keeps, numbers near 0.
+UNLIKE = r"[0-9][eE]|-0(?:\.0*)?(?![0-9.])|[0-9.]{17,}|(?<![0-9])0\.0000"
+#: Keys with a dot or without a letter, whose paths may be those of other keys (strings without their escapes).
+KEYS = r'"[^"]*\.[^"]*"\s*:|""\s*:'
+
+
+def _sorted_out(events: DataFrame) -> DataFrame:
+    """seq, payload, v (the payload as a variant), depth, odd (rows whose values or paths a variant doesn't tell)."""
+    plain = F.regexp_replace("payload", r"\\.", "_")
+    bare = F.regexp_replace(plain, '"[^"]*"', '""')
+    rows = events.select("seq", "payload", F.try_parse_json("payload").alias("v"), plain.alias("plain"), bare.alias("bare"))
+    brackets = F.split(F.regexp_replace("bare", r"[^\[\]{}]", ""), "")
+    up = lambda c: F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1)
+
+    def step(s, c):
+        now = s["now"] + up(c)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), (s["ends"] + F.when((up(c) < 0) & (now == 0), 1).otherwise(0)).alias("ends"))
+
+    nested = F.aggregate(brackets, F.struct(*(F.lit(0).alias(k) for k in ("now", "most", "ends"))), step)
+    depth = nested["most"]
+    whole = F.col("bare").rlike(r"^\s*(?:[\[{].*[\]}]|[^\s\[{]+)\s*$".replace(".*", r"[\s\S]*"))  # nothing follows the value
+    odd = F.col("v").isNull() | ~whole | (nested["ends"] > 1) | (nested["now"] != 0) | F.col("bare").rlike(UNLIKE) | F.col("plain").rlike(KEYS) | F.col("payload").contains("\\u00")
+    return rows.where("payload is not null").select("seq", "payload", "v", depth.alias("depth"), odd.alias("odd"))
+
+
+def flatten_json(events: DataFrame, seq: str, payload: str, depth: int | None = None) -> DataFrame:
+    """(seq, path, value) of every scalar in JSON text; of paths that collide the last wins, empty objects, broken and null texts have no rows.
+
+    Texts are parsed into variants, of which a level is exploded after another in one stage without a shuffle. Rows
+    with number forms that variants don't keep, keys that can collide, or that are no JSON for Spark, are walked in
+    Python; if there are none, the plan has no Python. depth: levels that are exploded, deeper rows go to
+    Python; None measures the levels, and whether Python is needed, by a pass over the texts (not for a stream).
+    """
+    named = events.select(F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"))
+    rows = _sorted_out(named)
+    odd, levels = True, depth
+    if depth is None:
+        levels, n = rows.agg(F.max(F.when(~F.col("odd"), F.col("depth"))), F.count_if("odd")).first()
+        levels, odd = levels or 0, n > 0
+    here = ~F.col("odd") & (F.col("depth") <= levels)
+    found = rows.where(here).select("seq", "v", F.lit("").alias("path"))
+    below = """SELECT seq, CASE WHEN e.pos IS NULL THEN d.v ELSE e.value END v,
+        CASE WHEN e.pos IS NULL THEN path ELSE concat(path, if(path = '', '', '.'), coalesce(e.key, cast(e.pos AS string))) END path
+        FROM {d} d, LATERAL variant_explode_outer(d.v) e"""
+    for _ in range(levels):
+        found = events.sparkSession.sql(below, d=found)
+    # empty objects and arrays are left as such
+    text = found.select("seq", "path", "v", F.to_json("v").alias("j")).where("path <> '' and j not in ('{}', '[]')")
+    number = F.when(F.schema_of_variant("v") == "BIGINT", F.col("j")).when(F.contains("j", F.lit(".")), F.col("j")).otherwise(F.concat("j", F.lit(".0")))
+    value = F.when(F.startswith("j", F.lit('"')), F.col("v").cast("string")).when(F.col("j").isin("true", "false"), F.initcap("j")).when(F.col("j") != "null", number)
+    out = text.select("seq", "path", value.alias("value"))
+    return out.unionByName(_walked(rows.where(~here).select("seq", "payload"))) if odd else out
 
 
 def field_counts(leaves: DataFrame, events: DataFrame, seq: str) -> DataFrame:
