@@ -121,16 +121,34 @@ def _sorted_neighbours(rows: DataFrame, key: str) -> DataFrame:
     return ranged.mapInArrow(run, schema)
 
 
+def _numbered(docs: DataFrame, by: str, row: str = "_row") -> DataFrame | None:
+    """docs with numbers `row`, in order of `by` (null last) and a hash of the text, where rows share a value of `by`; None where none do."""
+    if docs.where(F.col(by).isNotNull()).groupBy(by).count().where("count > 1").isEmpty():
+        return None
+    return stored(docs.orderBy(F.col(by).asc_nulls_last(), F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """doc_id, start_word, end_word, n_words, source_id: the spans of words covered by repeated windows.
 
     Words from start_word up to end_word (not included) of the text lie in windows of `window` words of
     which an equal one comes before, in order of doc_id and position; touching windows are one span.
     source_id: the document of the occurrence before the span's first window.  Texts of fewer words, null
-    and empty ones have no spans; rows without doc_id are left out, and rows that share one count as one
-    document.
+    and empty ones have no spans; rows without doc_id are left out; rows that share one are documents of
+    their own, in order of a hash of their texts (equal rows: one is the first), with spans under the same doc_id.
     """
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
+    rows = _numbered(docs, "doc_id")
+    if rows is None:
+        return _repeats(docs, window, k)
+    spans = _repeats(rows.select(F.col("_row").alias("doc_id"), "text"), window, k)
+    ids = rows.select("_row", F.col("doc_id").alias("_id"))
+    named = spans.join(ids, F.col("doc_id") == F.col("_row")).withColumn("doc_id", F.col("_id")).drop("_row", "_id")
+    return named.join(ids, F.col("source_id") == F.col("_row")).withColumn("source_id", F.col("_id")).drop("_row", "_id")
+
+
+def _repeats(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """`repeats` of rows of which each has a doc_id of its own."""
     table = stored(_anchored(docs, window, k), "anchors")
     # texts of the same words are looked at once; all but the first are repeats as a whole
     kept = stored(table.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("source_id")), "texts")
@@ -198,13 +216,22 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, by: str = "doc_id") -> DataFrame:
-    """docs with repeated passages cut out of `text`, of which the first occurrence, in order of the column `by`, stays.
+def without_repeats(docs: DataFrame, window: int = WINDOW, by: str | None = None) -> DataFrame:
+    """docs with repeated passages cut out of `text`, of which the first occurrence stays.
 
-    All rows and columns are kept, n_chars follows the text; rows without a number in `by` stay as they are.
+    The order is that of doc_id, and of a hash of the text among rows that share one: each row is cut by itself, and of
+    equal rows one stays whole. by: a column that numbers the rows and gives the order instead. All rows
+    and columns are kept, n_chars follows the text; rows without a number stay as they are.
     """
+    if by is None:
+        by, row = "doc_id", fresh(docs, "_row")
+        rows = _numbered(docs, by, row)
+        if rows is not None:
+            lone = rows.withColumn(row, F.when(F.col(by).isNotNull(), F.col(row)))
+            return without_repeats(lone, window, row).select(*docs.columns)
     key, found = fresh(docs, "_key"), fresh(docs, "_spans")
-    spans = repeats(docs.select(F.col(by).alias("doc_id"), "text"), window)
+    numbers = docs.select(F.col(by).cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    spans = _repeats(numbers, window, K)
     spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(found))
 
     @F.pandas_udf("string")

@@ -75,6 +75,33 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [4, 200])
+def test_repeats_of_shared_ids(spark, partitions):
+    """Unlike texts under one doc_id, equal rows longer than a window, and rows without doc_id, on few and many partitions."""
+    rng = np.random.default_rng(5)
+    make = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    a, b, shared = make(60), make(60), make(70)
+    rows = [(10 + i, " ".join(make(60))) for i in range(38)] + [(60, " ".join(a[:49] + make(9))), (61, " ".join(b[:49] + make(9)))]
+    rows += [(3, " ".join(a)), (3, " ".join(b))]  # nothing of 50 words repeats here
+    rows += [(4, " ".join(make(60)))] * 3 + [(None, " ".join(shared))] * 2 + [(5, " ".join(shared)), (5, " ".join(make(9) + shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted(tuple(r) for r in suffix_dedup.repeats(docs).collect())
+        kept = suffix_dedup.without_repeats(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[:2] == [(4, 0, 60, 60, 4)] * 2
+    assert got[2:] in ([(5, 0, 70, 70, 5)], [(5, 9, 79, 70, 5)])  # whichever of the two is the first
+    texts = sorted((r.doc_id or 0, r.text) for r in kept)
+    assert [t for i, t in texts if i == 4] == ["", "", rows[42][1]] and [t for i, t in texts if i == 0] == [" ".join(shared)] * 2
+    assert {t for i, t in texts if i == 3} == {" ".join(a), " ".join(b)} and len(texts) == len(rows)
+    assert sum(len(t.split()) for i, t in texts if i == 5) == 79
+    clash = docs.withColumn("_row", docs.doc_id).withColumn("_ROW_", docs.text)
+    assert suffix_dedup.without_repeats(clash).columns == clash.columns
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 3000).astype(np.uint64)
