@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import explore, features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import corpus, profile
 from lodestrata.sources import connector, logscan, places
+from lodestrata.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +186,18 @@ def presence_mi(spark, sf_dir):
     return relations.co_occurrence(leaves, n).withColumn("mutual_information", F.round("mutual_information", 6))
 
 
+@query(f"WITH {PRESENCE} SELECT path_a, path_b, c both_count, round(greatest({MI},0),6) mutual_information FROM j")
+def presence_mi_stream(spark, sf_dir):
+    """As presence_mi, from counts that a stream keeps over several batches of events."""
+    folder, out, place = (places.scratch(spark, n) for n in ("events", "pairs", "place"))
+    events = _presence(spark, sf_dir).groupBy("seq").agg(F.collect_list("path").alias("paths"))
+    events.repartition(3, "seq").write.parquet(folder)
+    stream = live.tail(spark, folder, events.schema, files=1)
+    q = live.watch_pairs(stream, F.col("paths"), lambda table, _: table.write.mode("overwrite").parquet(out), place).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).withColumn("mutual_information", F.round("mutual_information", 6))
+
+
 @query(f"""WITH {PRESENCE}, h AS (SELECT * FROM (VALUES ('click','ipv4'),('view','fqdn'),('error','url'),('signup','ipv6'),('purchase',NULL)) t(path,hint)), e AS (SELECT j.*, greatest({MI},0) mi, a.hint hint_a, b.hint hint_b FROM j JOIN h a ON a.path=path_a JOIN h b ON b.path=path_b)
  SELECT path_a, path_b, c both_count, CASE WHEN least(hint_a,hint_b)='ipv4' AND greatest(hint_a,hint_b)='ipv6' THEN 'COMMUNICATES_WITH' WHEN least(hint_a,hint_b)='fqdn' AND greatest(hint_a,hint_b) IN ('ipv4','ipv6') AND hint_a IS NOT NULL AND hint_b IS NOT NULL THEN 'RESOLVES_TO' WHEN greatest(hint_a,hint_b)='url' AND least(hint_a,hint_b) IN ('ipv4','ipv6') AND hint_a IS NOT NULL AND hint_b IS NOT NULL THEN 'HOSTS' ELSE 'CO_OCCURS_WITH' END relationship_type FROM e WHERE mi >= 0.001""")
 def relationship_edges(spark, sf_dir):
@@ -354,6 +367,24 @@ def glitch_count(spark, sf_dir):
     return telemetry.gps_glitches(gps(spark, sf_dir))
 
 
+@query(f"WITH {REC}, {GPS}, s AS (SELECT file, seq, status>=3 fix FROM gps WHERE status>=3 OR status<=1), w AS (SELECT file, fix, lag(fix) OVER (PARTITION BY file ORDER BY seq) was, max(fix::int) OVER (PARTITION BY file ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) had FROM s) SELECT file, count(*) FILTER (WHERE fix AND NOT was AND had=1) glitches FROM w GROUP BY file HAVING count(*) FILTER (WHERE fix AND NOT was AND had=1) > 0")
+def glitch_stream(spark, sf_dir):
+    """As glitch_count, where it isn't 0, from a stream of points that come out of order and in several batches."""
+    folder, out, place = (places.scratch(spark, n) for n in ("points", "glitches", "place"))
+    points = gps(spark, sf_dir).select("file", "seq", "status", F.timestamp_seconds(F.col("seq") + 1_000).alias("at"))
+    span = points.agg(F.max("seq")).first()[0] or 0
+    shuffled = points.withColumn("part", F.least(F.floor((F.col("seq") + F.abs(F.xxhash64("seq")) % (span // 10 + 1)) * 3 / (span + 1)), F.lit(3)))
+    end = spark.range(1).select(F.lit(-1).cast(points.schema["file"].dataType).alias("file"), F.col("id").alias("seq"), F.lit(0).cast("long").alias("status"), F.timestamp_seconds(F.lit(10 * span + 10**6)).alias("at"))
+    for part in range(4):
+        shuffled.where(F.col("part") == part).drop("part").repartition(1).write.parquet(f"{folder}/part={part}")
+    end.write.parquet(f"{folder}/part=4")  # what moves the watermark past the last points
+    stream = live.glitches_in_order(live.tail(spark, f"{folder}/*", points.schema, files=1), "at", f"{span // 10 + 1} seconds")
+    for _ in range(2):  # stopped and begun again
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema("file long, glitches long").parquet(out).groupBy("file").agg(F.max("glitches").alias("glitches")).where("glitches > 0")
+
+
 @query(f"WITH {REC}, {GPS}, s AS (SELECT file, abs(lat-lag(lat) OVER (PARTITION BY file ORDER BY seq)) d FROM gps) SELECT file, count(*) FILTER (WHERE d>1e-5) position_changes FROM s GROUP BY file")
 def position_changes(spark, sf_dir):
     return telemetry.position_changes(gps(spark, sf_dir))
