@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import explore, features, flatten, learning, relations, roles, telemetry
+from lodestrata.functions import numbers
+from lodestrata.operators import checks, explore, features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import corpus, profile
 from lodestrata.sources import connector, logscan, places
 from lodestrata.streaming import live
@@ -306,6 +307,14 @@ def correction_validation(spark, sf_dir):
     return learning.validated(corrections(spark, sf_dir), ["source_id", "field_path", "correct_label", "original_confidence"]).select("doc_id", F.array_join("errors", ";").alias("errors"))
 
 
+@query("SELECT event_id, (value*1e13)::varchar large, (value/7e6)::varchar small, substr(sha256('events:value:[' || value::varchar || ', ' || (value/3)::varchar || ', ' || (-event_id::double)::varchar || ']'),1,16) vector_id FROM events")
+def vector_ids(spark, sf_dir):
+    """Identifiers of vectors, and the forms of their numbers."""
+    v, i = F.col("value"), F.col("event_id")
+    rows = table(spark, sf_dir, "events").withColumn("v", F.array(v, v / 3, -i.cast("double"))).withColumn("s", F.lit("events")).withColumn("p", F.lit("value"))
+    return rows.select("event_id", numbers.shortest(v * 1e13).alias("large"), numbers.shortest(v / 7e6).alias("small"), checks.vector_id("s", "p", "v").alias("vector_id"))
+
+
 @query(f"WITH {CORRECTIONS} SELECT doc_id FROM c WHERE coalesce(original_confidence, 1.0) < 0.6")
 def flagged_corrections(spark, sf_dir):
     return learning.flagged(corrections(spark, sf_dir)).select("doc_id")

@@ -10,10 +10,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.numbers import shortest
+
 
 def vector_id(source: str, path: str, vector: str) -> Column:
-    """16 hexadecimal digits of the sha256 of source, path and vector; numbers are written as Spark casts them, our own canonical form."""
-    return F.substring(F.sha2(F.concat_ws(":", source, path, F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ", "), F.lit("]"))), 256), 1, 16)
+    """16 hexadecimal digits of the sha256 of source, path and vector, whose numbers are written as Python writes them."""
+    numbers = F.array_join(F.transform(vector, shortest), ", ")
+    return F.substring(F.sha2(F.concat_ws(":", source, path, F.concat(F.lit("["), numbers, F.lit("]"))), 256), 1, 16)
 
 
 def against_known(predicted: DataFrame, known: DataFrame) -> DataFrame:
