@@ -6,9 +6,10 @@ by the capacity: lengths of at least a SMALL-th of the capacity, in GROUPS group
 as its longest member.  Multiplicative weights move on both sides of the program, over the groups and
 over the configurations known; a knapsack dynamic program prices new configurations under the groups'
 weights, whose best price also bounds the number of sequences from below.  The fractional numbers of
-copies are rounded down and filled with real lengths; what is left, and all shorter pieces, is packed
-best-fit into the room of these sequences and new ones.  Where plain best fit needs fewer sequences
-(lengths that lose more by being grouped than the program gains), its result is taken.
+copies are rounded down; real lengths take the places of their groups, and a second knapsack fills what
+room they leave, of whatever lengths fill it best.  What is left, and shorter pieces, is packed best-fit
+into the room of these sequences and new ones.  Where plain best fit needs fewer sequences (lengths that
+lose more by being grouped than the program gains), its result is taken.
 
 The documents themselves never meet in one place: a piece gets its rank among the pieces of its
 length, and a table of runs of ranks, as large as the configurations at most, gives the sequence
@@ -34,7 +35,7 @@ from .common import Memo, stored
 #: Groups of lengths in the program at most; the part of the capacity from which a length is in it.
 GROUPS, SMALL = 64, 32
 #: Rounds of pricing at most; steps of the weights in a round; their rate; gap to the bound at which the program is solved.
-ROUNDS, STEPS, RATE, GAP = 40, 2_000, 4.0, 0.001
+ROUNDS, STEPS, RATE, GAP = 40, 2_000, 4.0, 0.0003
 
 # ---- ids ------------------------------------------------------------------------------------------
 
@@ -77,16 +78,20 @@ def word_ids(path: str) -> WordIds:
 
 
 def priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack over lengths with repetition: the best weight for each capacity, and the length to take first (0: none)."""
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
-        best[c], take[c] = best[c - 1], -1  # a unit of room left over
-        if k:
-            values = best[c - lengths[:k]] + weights[:k]
-            i = k - 1 - int(values[::-1].argmax())
-            if values[i] > best[c] + 1e-12:
-                best[c], take[c] = values[i], lengths[i]
+    """Knapsack over rising lengths with repetition: the best weight for each capacity, and the length to take first (-1: a unit stays empty, 0: nothing fits).
+
+    What is left after a first length is at least the least length shorter, so that many capacities are found at once.
+    """
+    best, take, block = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), int(lengths[0])
+    for start in range(block, capacity + 1, block):
+        stop = min(start + block, capacity + 1)
+        k = int(np.searchsorted(lengths, stop - 1, "right"))
+        room = np.arange(start, stop)[:, None] - lengths[:k][::-1]
+        values = np.where(room < 0, -1.0, best[np.maximum(room, 0)] + weights[:k][::-1])
+        i = values.argmax(1)
+        values = values[np.arange(stop - start), i]
+        upto = np.maximum.accumulate(np.append(best[start - 1], values))
+        best[start:stop], take[start:stop] = upto[1:], np.where(values > upto[:-1] + 1e-12, lengths[k - 1 - i], -1)
     return best, take
 
 
@@ -154,87 +159,134 @@ def program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
     for items, _ in best_fit(start, capacity):
         add(items)
     p = demand * sizes / (demand * sizes).sum()  # the demand's weights; a size's price is its weight over its demand
-    q, bound = None, 0.0
+    q, bound, firm = np.zeros(0), 0.0, p
     for _ in range(ROUNDS):
-        best, take = priced(p / demand, sizes, capacity)
-        bound = max(bound, 1 / best[capacity])
-        for i, first in enumerate(sizes.tolist()):
-            if p[i] / demand[i] + best[capacity - first] < 0.97 * best[capacity]:
-                continue
-            items, room = [first], capacity - first
-            while room > 0 and take[room]:
-                if take[room] < 0:
-                    room -= 1
-                else:
-                    items.append(int(take[room]))
-                    room -= int(take[room])
-            add(items)
+        for mixed in (p, (p + firm) / 2):  # the weights found, and half way to those of the best bound so far
+            best, take = priced(mixed / demand, sizes, capacity)
+            if 1 / best[capacity] > bound:
+                bound, firm = 1 / best[capacity], mixed
+            for i, first in enumerate(sizes.tolist()):
+                if mixed[i] / demand[i] + best[capacity - first] < 0.99 * best[capacity]:
+                    continue
+                items, room = [first], capacity - first
+                while room > 0 and take[room]:
+                    if take[room] < 0:
+                        room -= 1
+                    else:
+                        items.append(int(take[room]))
+                        room -= int(take[room])
+                add(items)
         cover = np.array(list(known), float).T / demand[:, None]
-        old = 0 if q is None else len(q)
-        fresh = cover.shape[1] - old
-        q = np.full(fresh, 1 / fresh) if not old else np.append(q * (0.98 if fresh else 1), np.full(fresh, 0.02 / max(1, fresh)))
+        fresh = cover.shape[1] - len(q)
+        q = np.append(q * (0.98 if fresh else 1), np.full(fresh, (0.02 if len(q) else 1) / max(1, fresh)))
         q = np.maximum(q, 1e-9) / np.maximum(q, 1e-9).sum()
         gain = cover * bound  # about 1 at the solution
         rate, sum_p, sum_q = RATE / gain.max(), np.zeros(n), np.zeros(len(q))
         last_p, last_q = gain @ q, gain.T @ p
-        for step in range(STEPS):
+        for step in range(1, STEPS + 1):
             now_p, now_q = gain @ q, gain.T @ p
             p, q = p * np.exp(-rate * (2 * now_p - last_p)), q * np.exp(rate * (2 * now_q - last_q))
             p, q, last_p, last_q = p / p.sum(), q / q.sum(), now_p, now_q
-            if step >= STEPS // 2:
-                sum_p, sum_q = sum_p + p, sum_q + q
+            sum_p, sum_q = sum_p + p, sum_q + q
+            if step & (step - 1) == 0 and step > 32:  # the known configurations' own gap, of what was gathered since the last look
+                if (gain.T @ sum_p).max() <= (gain @ sum_q).min() * (1 + GAP / 4):
+                    break
+                if step < STEPS // 2:
+                    sum_p, sum_q = np.zeros(n), np.zeros(len(q))
         p = sum_p / sum_p.sum()
         q = max((sum_q / sum_q.sum(), q), key=lambda x: (cover @ x).min())
         if 1 / max((cover @ q).min(), 1e-12) <= bound * (1 + GAP):
             break
-    return np.array(list(known)), q / max((cover @ q).min(), 1e-12), p / demand
+    return np.array(list(known)), q / max((cover @ q).min(), 1e-12), firm / demand
+
+
+def filling(left: np.ndarray, room: int) -> list[int]:
+    """Lengths of `left` with the largest sum that is at most `room`, by a knapsack of sums whose sets are bits; longer ones first."""
+    sums, steps = 1, []
+    for length in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        for _ in range(min(int(left[length]), room // length)):
+            more = sums | (sums << length) & ((2 << room) - 1)
+            if more == sums:
+                break
+            steps.append((sums, length))
+            sums = more
+            if sums >> room:
+                break
+        if sums >> room:
+            break
+    at, out = sums.bit_length() - 1, []
+    for before, length in reversed(steps):
+        if not before >> at & 1:
+            out.append(length)
+            at -= length
+    return out
 
 
-def rounded(table: np.ndarray, copies: np.ndarray, lengths: np.ndarray, group: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Runs of configurations of real lengths for whole numbers of copies, rounded down; what they hold is taken from `left`."""
+def rounded(table: np.ndarray, copies: np.ndarray, lengths: np.ndarray, group: np.ndarray, left: np.ndarray, capacity: int, open_end: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Runs of configurations of real lengths for whole numbers of copies, rounded down; what they hold is taken from `left`.
+
+    A group's place takes its longest length left, and `filling` the room that these leave: lengths that
+    are shorter than their group's longest lose nothing by it where others fit in.  With an open end,
+    `filling` also takes the place of the shortest group where that holds several lengths.
+    """
     stock = [lengths[group == i].tolist() for i in range(table.shape[1])]  # taken from the end: the longest first
-    have = np.bincount(group, left[lengths], table.shape[1]).astype(np.int64)
     out = []
+
+    def longest(k):
+        while stock[k] and not left[stock[k][-1]]:
+            stock[k].pop()
+        return stock[k][-1] if stock[k] else 0
+
     for i in np.argsort(-copies, kind="stable"):
-        used = np.flatnonzero(table[i])
-        each = table[i][used]
-        n = int(min(np.floor(copies[i] + 1e-6), (have[used] // each).min()))
-        have[used] -= n * each
+        places = np.repeat(np.arange(table.shape[1]), table[i])[::-1].tolist()
+        if open_end and len(stock[places[-1]]) > 1:
+            places.pop()
+        n = int(np.floor(copies[i] + 1e-6))
         while n > 0:
-            for k in used:
-                while not left[stock[k][-1]]:
-                    stock[k].pop()
-            alike = min(n, *(int(left[stock[k][-1]]) // int(e) for k, e in zip(used, each)))
-            items = []
-            for k, e in zip(used, each):
-                for _ in range(int(e)):
-                    while not left[stock[k][-1]]:
-                        stock[k].pop()
-                    items.append(stock[k][-1])
-                    left[stock[k][-1]] -= max(1, alike)
-            out.append((tuple(items), max(1, alike)))
-            n -= max(1, alike)
+            items: list[int] = []
+            while len(items) < len(places) and (length := longest(places[len(items)])):
+                items.append(length)
+                left[length] -= 1
+            if len(items) < len(places):
+                np.add.at(left, items, 1)
+                break
+            more = filling(left, capacity - sum(items))
+            np.subtract.at(left, more, 1)
+            items += more
+            used = Counter(items)
+            alike = min(n, 1 + min(int(left[x]) // c for x, c in used.items()))
+            for x, c in used.items():
+                left[x] -= (alike - 1) * c
+            out.append((tuple(items), alike))
+            n -= alike
     return out
 
 
-def configurations(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and whole numbers of copies that cover `demand[length]` exactly, never more of them than best fit takes."""
+def by_program(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and whole numbers of copies that cover `demand[length]` exactly, from the program, rounded with or without open ends."""
     demand = np.asarray(demand, np.int64)
-    plain = best_fit(demand, capacity)
     lengths, group = grouped(demand, capacity)
     if not len(lengths):
-        return plain
+        return best_fit(demand, capacity)
     sizes = np.array([lengths[group == i].max() for i in range(group[-1] + 1)])
     table, copies, _ = program(sizes, np.bincount(group, demand[lengths]), capacity)
-    left = demand.copy()
-    found = best_fit(left, capacity, rounded(table, copies, lengths, group, left))
-    return min(found, plain, key=lambda runs: sum(n for _, n in runs))
+
+    def whole(open_end):
+        left = demand.copy()
+        return best_fit(left, capacity, rounded(table, copies, lengths, group, left, capacity, open_end))
+
+    return min(whole(True), whole(False), key=lambda runs: sum(n for _, n in runs))
+
+
+def configurations(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The program's configurations and numbers of copies, never more of them than best fit takes."""
+    return min(by_program(demand, capacity), best_fit(np.asarray(demand, np.int64), capacity), key=lambda runs: sum(n for _, n in runs))
 
 
 def least(demand: np.ndarray, capacity: int) -> int:
-    """A lower bound of the number of sequences: the total length, or the program's dual weights over the dearest configuration of real lengths."""
+    """A lower bound of the number of sequences: the total length, the lengths of over half a sequence, or the program's dual weights over the dearest configuration of real lengths."""
     demand = np.asarray(demand, np.int64)
-    bound = (demand * np.arange(len(demand))).sum() / capacity
+    bound = max((demand * np.arange(len(demand))).sum() / capacity, demand[capacity // 2 + 1 :].sum())
     lengths, group = grouped(demand, capacity)
     if len(lengths):
         sizes = np.array([lengths[group == i].max() for i in range(group[-1] + 1)])
