@@ -159,7 +159,7 @@ def program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
     for items, _ in best_fit(start, capacity):
         add(items)
     p = demand * sizes / (demand * sizes).sum()  # the demand's weights; a size's price is its weight over its demand
-    q, bound, firm = np.zeros(0), 0.0, p
+    q, bound, firm, least_sum, best_q = np.zeros(0), 0.0, p, np.inf, np.zeros(0)
     for _ in range(ROUNDS):
         for mixed in (p, (p + firm) / 2):  # the weights found, and half way to those of the best bound so far
             best, take = priced(mixed / demand, sizes, capacity)
@@ -195,9 +195,12 @@ def program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.nd
                     sum_p, sum_q = np.zeros(n), np.zeros(len(q))
         p = sum_p / sum_p.sum()
         q = max((sum_q / sum_q.sum(), q), key=lambda x: (cover @ x).min())
-        if 1 / max((cover @ q).min(), 1e-12) <= bound * (1 + GAP):
+        if 1 / max((cover @ q).min(), 1e-12) < least_sum:  # a round may end farther off than one before
+            least_sum = 1 / (cover @ q).min()
+            best_q = q * least_sum
+        if least_sum <= bound * (1 + GAP):
             break
-    return np.array(list(known)), q / max((cover @ q).min(), 1e-12), firm / demand
+    return np.array(list(known)), np.append(best_q, np.zeros(len(known) - len(best_q))), firm / demand
 
 
 def filling(left: np.ndarray, room: int) -> list[int]:
