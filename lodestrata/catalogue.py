@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import numbers
-from lodestrata.operators import checks, explore, features, flatten, learning, relations, roles, telemetry
-from lodestrata.plans import corpus, profile
+from lodestrata.operators import checks, explore, features, flatten, learning, relations, roles, telemetry, versions
+from lodestrata.plans import corpus, profile, revisions
 from lodestrata.sources import connector, logscan, places
 from lodestrata.streaming import live
 
@@ -117,7 +117,7 @@ def _features_sql(leaves: str) -> str:
   {ratios}, round((sum(length("value"))-sum(length(regexp_replace("value",'[^\\p{{L}}\\p{{Nd}}\\s]','','g'))))/greatest(sum(length("value")),1)::double,6) punct_ratio, {has},
   round(least(sum(length(regexp_replace("value",'[^.\\-:/_@]','','g')))/(6.0*count("value"))::double/10,1),6) mean_separator_count,
   round(sum(CASE WHEN regexp_matches("value",'{number}') THEN 1 ELSE 0 END)/count("value")::double,6) is_numeric_ratio,
-  round(coalesce(least((max(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END)-min(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END))/100000,1),0),6) numeric_range_span,
+  round(least(coalesce(max(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END)-min(CASE WHEN regexp_matches("value",'{number}') THEN try_cast("value" AS double) END),0)/100000,1),6) numeric_range_span,
   round(sum(CASE WHEN regexp_matches("value",'{number}') AND regexp_matches("value",'^-*[0-9]+$') THEN 1 ELSE 0 END)/count("value")::double,6) is_integer_ratio,
   round(count(DISTINCT "value")/count("value")::double,6) cardinality_ratio, round((count(*)-count("value"))/count(*)::double,6) null_ratio,
   round(least(var_pop(length("value"))/(avg(length("value"))*avg(length("value"))+1e-10),1),6) length_variance_ratio,
@@ -221,7 +221,7 @@ def schema_fingerprint(spark, sf_dir):
 def source_profile(spark, sf_dir):
     """The profile of the entities' fields: its head, every field and every link, a row each."""
     leaves = entity_leaves(spark, sf_dir)
-    found = profile.source_profile(leaves, leaves.select("seq").distinct().count(), "entities").persist()  # one row
+    found = places.stored(profile.source_profile(leaves, leaves.select("seq").distinct().count(), "entities"), "entities")  # one row
     null, zero = F.lit(None), F.lit(0)
     fields = profile.fields_of(found).select(F.lit("field").alias("kind"), "path", F.col("role").alias("label"), F.col("type_hint").alias("hint"), "sample_count", "null_count", "unique_count", F.round("profile_cardinality", 6).alias("share"))
     links = profile.relationships_of(found).select(F.lit("link"), F.concat_ws(" ", "path_a", "path_b"), "relationship_type", null, "both_count", zero, zero, "mutual_information")
@@ -229,6 +229,74 @@ def source_profile(spark, sf_dir):
     return fields.union(links).union(head)
 
 
+NETWORK = """leaves AS (
+  SELECT event_id seq, 'kind' path, event_type "value" FROM events UNION ALL SELECT event_id, 'cents', round(value*100)::bigint::varchar FROM events
+  UNION ALL SELECT event_id, 'net.addr', CASE WHEN event_id % 9 <> 0 THEN (event_id%199) || '.' || (user_id%23) || '.0.' || (event_id%7) END FROM events WHERE event_type IN ('click','view','error')
+  UNION ALL SELECT event_id, 'net.host', 'h' || md5((event_id // 4)::varchar)[1:6] || '.example.org' FROM events WHERE event_type IN ('click','view')
+  UNION ALL SELECT event_id, 'digest', md5(event_id::varchar) FROM events WHERE event_type IN ('click','view','signup'))"""
+
+
+def network_leaves(events: DataFrame) -> DataFrame:
+    """Kinds and amounts of all events, addresses, hosts and digests of some."""
+    i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    addr = F.when(i % 9 != 0, F.format_string("%d.%d.0.%d", i % 199, u % 23, i % 7))
+    host = F.concat(F.lit("h"), F.substring(F.md5(F.floor(i / 4).cast("string")), 1, 6), F.lit(".example.org"))
+    found = {"kind": (None, kind), "cents": (None, F.round(F.col("value") * 100).cast("long").cast("string")), "net.addr": (["click", "view", "error"], addr), "net.host": (["click", "view"], host), "digest": (["click", "view", "signup"], F.md5(i.cast("string")))}
+    leaf = lambda k, v: F.struct(F.lit(k).alias("path"), v.alias("value"))
+    leaves = F.array_compact(F.array(*(leaf(k, v) if kinds is None else F.when(kind.isin(kinds), leaf(k, v)) for k, (kinds, v) in found.items())))
+    return events.select(i.alias("seq"), F.explode(leaves).alias("l")).select("seq", "l.path", "l.value")
+
+
+def network_revision(spark, sf_dir) -> dict:
+    """The last of the revisions that a stream makes of the events, in three batches."""
+    folder, out, place = (places.scratch(spark, n) for n in ("events", "revisions", "place"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events.repartition(3, "event_id").write.parquet(folder)
+    stream = live.tail(spark, folder, events.schema, files=1)
+    revisions.watch(stream, network_leaves, out, "network", place).trigger(availableNow=True).start().awaitTermination()
+    return versions.latest(out, "network")
+
+
+@query(f"""SELECT * REPLACE (CASE WHEN unique_count <= 10000 THEN unique_count END AS unique_count, CASE WHEN unique_count <= 10000 THEN cardinality_ratio END AS cardinality_ratio, CASE WHEN unique_count <= 10000 THEN format_consistency END AS format_consistency),
+ unique_count > 10000 wide, true near FROM ({_features_sql(NETWORK)})""")
+def revision_features(spark, sf_dir):
+    """Features by revisions; what is an estimate is null here, and near if within 8 % (five standard errors) of the whole table's."""
+    record = network_revision(spark, sf_dir)
+    found = revisions.feature_table(revisions.load(spark, record["state"]))
+    whole = features.field_features(network_leaves(table(spark, sf_dir, "events"))).select("path", F.col("unique_count").alias("u"), F.col("format_consistency").alias("s"))
+    near = (F.abs(F.col("unique_count") - F.col("u")) <= F.when(F.col("wide"), 0.08).otherwise(0.0) * F.col("u")) & (F.abs(F.col("format_consistency") - F.col("s")) <= F.when(F.col("wide"), 3.5 / 2048).otherwise(1e-12))
+    exact = {"unique_count", "cardinality_ratio", "format_consistency"}
+    columns = ["sample_count", "null_count", "unique_count", *features.NAMES]
+    rounded = [F.round(c, 6).alias(c) if c in features.NAMES else F.col(c) for c in columns]
+    kept = [F.when(~F.col("wide"), r).alias(c) if c in exact else r for c, r in zip(columns, rounded)]
+    return found.join(whole, "path").select("path", *kept, "wide", near.alias("near"))
+
+
+def _links_sql(leaves: str, label: str) -> str:
+    return f"""WITH {leaves}, {ROLES}, nm AS (SELECT count(DISTINCT seq) n FROM leaves), ps AS (SELECT DISTINCT seq, path FROM leaves WHERE trim("value") <> ''),
+ k AS (SELECT path, count(*) k FROM ps GROUP BY path), b AS (SELECT x.path path_a, y.path path_b, count(*) c FROM ps x JOIN ps y ON x.seq=y.seq AND x.path<y.path GROUP BY ALL), j AS (SELECT path_a, path_b, c, ka.k ka, kb.k kb, nm.n n FROM b JOIN k ka ON ka.path=path_a JOIN k kb ON kb.path=path_b, nm),
+ h AS (SELECT path, "role", CASE WHEN "role"='entity' THEN {HINT} END hint FROM rr)
+ SELECT 'field' kind, path, "role" label, hint, (SELECT count(*) FROM leaves l WHERE l.path = h.path) n, NULL::double bits FROM h
+ UNION ALL SELECT 'link', path_a || ' ' || path_b, {label}, NULL, c, round(greatest({MI},0),4) FROM j JOIN h a ON a.path=path_a AND a."role"='entity' JOIN h b ON b.path=path_b AND b."role"='entity' WHERE greatest({MI},0) >= 0.1
+ UNION ALL SELECT 'head', 'network', substr(sha256('[' || string_agg(DISTINCT '"' || path || '"', ', ' ORDER BY '"' || path || '"') || ']'),1,16), NULL, 3, NULL FROM leaves WHERE seq IN (SELECT DISTINCT seq FROM leaves ORDER BY seq LIMIT 10)"""
+
+
+def _profile_rows(found: DataFrame) -> DataFrame:
+    null = F.lit(None)
+    fields = profile.fields_of(found).select(F.lit("field").alias("kind"), "path", F.col("role").alias("label"), F.col("type_hint").alias("hint"), F.col("sample_count").alias("n"), null.cast("double").alias("bits"))
+    links = profile.relationships_of(found).select(F.lit("link"), F.concat_ws(" ", "path_a", "path_b"), "relationship_type", null, "both_count", "mutual_information")
+    return fields.union(links).union(found.select(F.lit("head"), "source_id", "fingerprint", null, "revision", null))
+
+
+NETWORK_LABEL = "CASE WHEN least(a.hint,b.hint)='fqdn' AND greatest(a.hint,b.hint)='ipv4' THEN 'RESOLVES_TO' WHEN least(a.hint,b.hint)='fqdn' AND greatest(a.hint,b.hint)='hash_md5' THEN 'OBSERVED_ON' ELSE 'CO_OCCURS_WITH' END"
+
+
+@query(_links_sql(NETWORK, NETWORK_LABEL))
+def revision_profile(spark, sf_dir):
+    """The profile of the third revision: head, fields and links."""
+    return _profile_rows(places.stored(revisions.source_profile(spark, network_revision(spark, sf_dir)), "network"))
+
+
 @query(f"""WITH {ENTITIES}, {ROLES} SELECT "role", count(*) n FROM rr GROUP BY ALL""")
 def role_counts(spark, sf_dir):
     leaves = entity_leaves(spark, sf_dir)

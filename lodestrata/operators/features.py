@@ -6,7 +6,7 @@ distinct values of a path with their counts; no value list is ever gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of the features, in the order in which they stand in a vector.
@@ -28,7 +28,7 @@ def value_counts(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("path", "value").agg(F.count("*").alias("c"))
 
 
-def shape(column) -> F.Column:
+def shape(column) -> Column:
     """Letters to A, then digits to N: the other way round the N of a digit would become A."""
     return F.regexp_replace(F.regexp_replace(column, r"\p{L}", "A"), r"\p{Nd}", "N")
 
@@ -41,28 +41,25 @@ def upper_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> D
     return ranked.where("_up > floor(_n / 2)").groupBy(*keys).agg(F.min(value).alias("median"))
 
 
-def char_entropy(counts: DataFrame) -> DataFrame:
-    """path, entropy in bits of all characters of its values."""
-    chars = counts.select("path", "c", F.explode(F.split("value", "")).alias("char")).where("char <> ''").groupBy("path", "char").agg(F.sum("c").alias("k"))
+def char_counts(counts: DataFrame) -> DataFrame:
+    """path, char, k: how often each character is in a path's values (path, value, c)."""
+    return counts.select("path", "c", F.explode(F.split("value", "")).alias("char")).where("char <> ''").groupBy("path", "char").agg(F.sum("c").alias("k"))
+
+
+def char_entropy(chars: DataFrame) -> DataFrame:
+    """path, entropy in bits of its characters (path, char, k)."""
     total = chars.groupBy("path").agg(F.sum("k").alias("t"))
     return chars.join(total, "path").groupBy("path").agg(F.sum(-(F.col("k") / F.col("t")) * F.log2(F.col("k") / F.col("t"))).alias("entropy"))
 
 
-def field_features(leaves: DataFrame) -> DataFrame:
-    """path, sample_count, null_count, unique_count, samples (the first ten distinct values in order) and the features.
-
-    A path without values that aren't null has zeros throughout and no samples. Lengths are capped at
-    1000 characters, entropy at 7 bits, spans at 100000, separators at 10, each as a share of the cap.
-    """
-    counts = value_counts(leaves)
-    size, filled = F.length("value"), counts.where("value is not null")
-    weigh = lambda column: F.coalesce(F.sum(F.col("c") * column), F.lit(0))
+def sums(c: Column) -> list[Column]:
+    """What adds up over the values of a path, each counted c times; sums, and the least and largest, of parts are those of the whole."""
+    size, number = F.length("value"), F.col("value").rlike(NUMBER)
+    weigh = lambda column: F.coalesce(F.sum(c * column), F.lit(0))
     share = lambda condition: weigh(F.when(condition, 1).otherwise(0))
-    number = F.col("value").rlike(NUMBER)
-    base = counts.groupBy("path").agg(
-        F.sum("c").alias("sample_count"),
-        weigh(F.when(F.col("value").isNull(), 1).otherwise(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
+    return [
+        F.sum(c).alias("sample_count"),
+        share(F.col("value").isNull()).alias("null_count"),
         weigh(size).alias("chars"),
         weigh(size.cast("long") * size).alias("squares"),
         F.min(size).alias("lo"),
@@ -74,15 +71,31 @@ def field_features(leaves: DataFrame) -> DataFrame:
         share(number & F.col("value").rlike("^-*[0-9]+$")).alias("integers"),
         F.max(F.when(number, F.col("value").try_cast("double"))).alias("top"),
         F.min(F.when(number, F.col("value").try_cast("double"))).alias("bottom"),
-    )
+    ]
+
+
+def field_features(leaves: DataFrame) -> DataFrame:
+    """path, sample_count, null_count, unique_count, samples (the first ten distinct values in order) and the features.
+
+    A path without values that aren't null has zeros throughout and no samples. Lengths are capped at
+    1000 characters, entropy at 7 bits, spans at 100000, separators at 10, each as a share of the cap.
+    """
+    counts = value_counts(leaves)
+    filled = counts.where("value is not null")
+    base = counts.groupBy("path").agg(F.count("value").alias("unique_count"), *sums(F.col("c")))
     modal = filled.groupBy("path", shape("value").alias("shape")).agg(F.sum("c").alias("k")).groupBy("path").agg(F.max("k").alias("modal"))
-    median = upper_median(filled.withColumn("size", size), ["path"], "size", "c")
+    median = upper_median(filled.withColumn("size", F.length("value")), ["path"], "size", "c")
     firsts = filled.withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("value"))).where("_r <= 10").groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("samples"))
-    t = base.join(modal, "path", "left").join(median, "path", "left").join(char_entropy(filled), "path", "left").join(firsts, "path", "left")
+    t = base.join(modal, "path", "left").join(median, "path", "left").join(char_entropy(char_counts(filled)), "path", "left").join(firsts, "path", "left")
+    return assembled(t)
+
+
+def assembled(t: DataFrame) -> DataFrame:
+    """The features, from path, unique_count, the `sums` of its values, modal, median, entropy and samples."""
     n = F.col("sample_count") - F.col("null_count")
     some = F.greatest(n, F.lit(1)).cast("double")
     chars = F.greatest("chars", F.lit(1)).cast("double")
-    cap = lambda column, most: F.least(column / most, F.lit(1.0))
+    cap = lambda column, most: F.least(F.coalesce(column, F.lit(0)) / most, F.lit(1.0))
     mean = F.col("chars") / some
     variance = F.greatest(F.col("squares") / some - mean * mean, F.lit(0.0))
     features = {

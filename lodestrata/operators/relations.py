@@ -58,7 +58,12 @@ def edges(leaves: DataFrame, fields: DataFrame, n_events: int, threshold: float
 
     fields: path, role, type_hint (of all fields; those with the role entity count).
     """
+    kept = fields.where("role = 'entity'").select("path")
+    return linked(co_occurrence(leaves.join(kept, "path", "left_semi"), n_events), fields, threshold)
+
+
+def linked(pairs: DataFrame, fields: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """As `edges`, from the pairs of a `co_occurrence` of all paths."""
     kept = fields.where("role = 'entity'").select("path", "type_hint")
-    pairs = co_occurrence(leaves.join(kept.select("path"), "path", "left_semi"), n_events).where(F.col("mutual_information") >= threshold)
-    pairs = pairs.join(kept.select(F.col("path").alias("path_a"), F.col("type_hint").alias("hint_a")), "path_a").join(kept.select(F.col("path").alias("path_b"), F.col("type_hint").alias("hint_b")), "path_b")
+    pairs = pairs.where(F.col("mutual_information") >= threshold).join(kept.select(F.col("path").alias("path_a"), F.col("type_hint").alias("hint_a")), "path_a").join(kept.select(F.col("path").alias("path_b"), F.col("type_hint").alias("hint_b")), "path_b")
     return labelled(pairs, "hint_a", "hint_b").withColumn("mutual_information", F.round("mutual_information", 4)).orderBy(F.desc("mutual_information"), "path_a", "path_b")

@@ -84,7 +84,13 @@ def commit(spark: SparkSession, folder: str, source_id: str, model: PipelineMode
     base = home(folder, source_id)
     path = f"{base}/models/{uuid.uuid4().hex}"
     model.write().save(path)
-    record = {**counters, "version": expected + 1, "source_id": source_id, "model": path, "created_at": datetime.now(timezone.utc).isoformat()}
+    return recorded(spark, folder, source_id, {**counters, "model": path}, expected)
+
+
+def recorded(spark: SparkSession, folder: str, source_id: str, counters: dict, expected: int) -> dict | None:
+    """Make a record with these counters the version after `expected`; None where that version is already there."""
+    base = home(folder, source_id)
+    record = {"created_at": datetime.now(timezone.utc).isoformat(), **counters, "version": expected + 1, "source_id": source_id}
     files, versions = places.located(f"{base}/versions")
     files.create_dir(versions, recursive=True)
     name = f".{uuid.uuid4().hex}"  # hidden from readers

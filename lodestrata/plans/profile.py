@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import features, learning, relations, roles
+from lodestrata.sources import places
 
 
 #: Columns of a field, and of a relationship, in a profile.
@@ -36,7 +37,12 @@ def field_profiles(leaves: DataFrame, model=None, found: DataFrame | None = None
 
     model: of `learning.train`, roles go by rule without it; found: of `learning.clusters`, of these fields if None.
     """
-    table = features.vector(roles.classified(features.field_features(leaves))).persist()  # a row for each path of a schema
+    return decided(features.field_features(leaves), model, found)
+
+
+def decided(table: DataFrame, model=None, found: DataFrame | None = None) -> DataFrame:
+    """As `field_profiles`, from the features of the fields."""
+    table = places.stored(features.vector(roles.classified(table)), "fields")  # a row for each path of a schema
     found = learning.clusters(table.select("path", "feature_vector")) if found is None else found
     predicted = learning.predict(model, table.select("path", "feature_vector")) if model is not None else None
     return learning.decided(table, predicted, found).withColumn("profile_cardinality", F.col("unique_count") / F.col("sample_count"))
@@ -47,14 +53,18 @@ def source_profile(leaves: DataFrame, n_events: int, source_id: str, previous: D
 
     previous: the profile before this one, whose revision is one less and whose created_at is kept.
     """
-    spark = leaves.sparkSession
-    fields = field_profiles(leaves, model).select(*FIELD).persist()  # a row for each path of a schema
-    listed = fields.agg(F.sort_array(F.collect_list(F.struct(*FIELD))).alias("fields"))
-    links = relations.edges(leaves, fields, n_events).agg(F.sort_array(F.collect_list(F.struct(*RELATIONSHIP)), asc=False).alias("relationships"))
+    fields = places.stored(field_profiles(leaves, model).select(*FIELD), "profile")  # a row for each path of a schema
     before = previous.select("revision", "created_at").first() if previous is not None else None
     revision, created = (before.revision + 1, F.lit(before.created_at)) if before else (1, F.current_timestamp())
     head = fingerprint(leaves).select(F.lit(source_id).alias("source_id"), F.lit(revision).alias("revision"), created.cast("timestamp").alias("created_at"), "fingerprint")
-    return head.crossJoin(listed).crossJoin(links).to(spark.createDataFrame([], SCHEMA).schema)  # one row each
+    return assembled(head, fields, relations.edges(leaves, fields, n_events))
+
+
+def assembled(head: DataFrame, fields: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of SCHEMA from its first columns (one row), the fields and the relationships."""
+    listed = fields.agg(F.sort_array(F.collect_list(F.struct(*FIELD))).alias("fields"))
+    links = links.agg(F.sort_array(F.collect_list(F.struct(*RELATIONSHIP)), asc=False).alias("relationships"))
+    return head.crossJoin(listed).crossJoin(links).to(head.sparkSession.createDataFrame([], SCHEMA).schema)  # one row each
 
 
 def to_json(profiles: DataFrame) -> DataFrame:
