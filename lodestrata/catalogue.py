@@ -257,18 +257,18 @@ def network_revision(spark, sf_dir) -> dict:
     return versions.latest(out, "network")
 
 
-@query(f"""SELECT * REPLACE (CASE WHEN unique_count <= 10000 THEN unique_count END AS unique_count, CASE WHEN unique_count <= 10000 THEN cardinality_ratio END AS cardinality_ratio, CASE WHEN unique_count <= 10000 THEN format_consistency END AS format_consistency),
+@query(f"""SELECT * REPLACE (CASE WHEN unique_count <= 10000 THEN unique_count ELSE -1 END AS unique_count, CASE WHEN unique_count <= 10000 THEN cardinality_ratio END AS cardinality_ratio, CASE WHEN unique_count <= 10000 THEN format_consistency END AS format_consistency),
  unique_count > 10000 wide, true near FROM ({_features_sql(NETWORK)})""")
 def revision_features(spark, sf_dir):
-    """Features by revisions; what is an estimate is null here, and near if within 8 % (five standard errors) of the whole table's."""
+    """Features by revisions; what is an estimate is -1 or null here, and near if within 8 % (five standard errors) of the whole table's."""
     record = network_revision(spark, sf_dir)
     found = revisions.feature_table(revisions.load(spark, record["state"]))
     whole = features.field_features(network_leaves(table(spark, sf_dir, "events"))).select("path", F.col("unique_count").alias("u"), F.col("format_consistency").alias("s"))
-    near = (F.abs(F.col("unique_count") - F.col("u")) <= F.when(F.col("wide"), 0.08).otherwise(0.0) * F.col("u")) & (F.abs(F.col("format_consistency") - F.col("s")) <= F.when(F.col("wide"), 3.5 / 2048).otherwise(1e-12))
+    near = (F.abs(F.col("unique_count") - F.col("u")) <= F.when(F.col("wide"), 0.08).otherwise(0.0) * F.col("u")) & (F.abs(F.col("format_consistency") - F.col("s")) <= F.when(F.col("wide"), revisions.ERROR).otherwise(1e-12))
     exact = {"unique_count", "cardinality_ratio", "format_consistency"}
     columns = ["sample_count", "null_count", "unique_count", *features.NAMES]
     rounded = [F.round(c, 6).alias(c) if c in features.NAMES else F.col(c) for c in columns]
-    kept = [F.when(~F.col("wide"), r).alias(c) if c in exact else r for c, r in zip(columns, rounded)]
+    kept = [F.when(~F.col("wide"), r).otherwise(-1 if c == "unique_count" else None).alias(c) if c in exact else r for c, r in zip(columns, rounded)]
     return found.join(whole, "path").select("path", *kept, "wide", near.alias("near"))
 
 

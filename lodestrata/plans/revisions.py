@@ -27,8 +27,11 @@ from . import profile
 VALUES = 10_000
 #: Registers of the distinct sketch, as a power of two: a standard error of 1.04 / sqrt(2^12), 1.6 %.
 REGISTERS = 12
-#: Shapes that a sketch follows: a count is off by at most 3.5 / 2048 of the path's values.
+#: Shapes that a sketch follows. A count is off by at most 3.5 / 2048 of the path's values; where no shape is surely above
+#: that, 1 stands for the commonest one's, which is then at most twice as much (see ERROR).
 SHAPES = 1000
+#: Largest error of format_consistency of a wide path.
+ERROR = 7 / 2048
 FIRST = 10
 TABLES = ["paths", "values", "sizes", "chars", "samples", "pairs", "firsts"]
 
@@ -120,11 +123,11 @@ def feature_table(state: dict[str, DataFrame]) -> DataFrame:
     """The columns of `features.field_features`, and wide: whether unique_count and the commonest shape are estimates."""
     shapes = _summed(state["values"].withColumn("shape", features.shape(F.col("value"))), ["path", "shape"], "c").groupBy("path").agg(F.max("c").alias("_modal"))
     unique = state["values"].groupBy("path").agg(F.count("*").alias("_unique"))
-    first = F.expr("filter(approx_top_k_estimate(shapes, 2), x -> x.item is not null)")[0]["count"]
+    first = F.expr("get(filter(approx_top_k_estimate(shapes, 2), x -> x.item is not null), 0).count")
     filled = F.col("sample_count") - F.col("null_count")
     base = state["paths"].join(unique, "path", "left").join(shapes, "path", "left")
     base = base.withColumn("unique_count", F.when(F.col("wide"), F.least(F.hll_sketch_estimate("distinct"), filled)).otherwise(F.coalesce("_unique", F.lit(0))))
-    base = base.withColumn("modal", F.when(F.col("wide"), F.least(first, filled)).otherwise(F.col("_modal")))
+    base = base.withColumn("modal", F.when(F.col("wide"), F.least(F.coalesce(first, F.lit(1)), filled)).otherwise(F.col("_modal")))
     median = features.upper_median(state["sizes"], ["path"], "size", "c")
     samples = state["samples"].groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("samples"))
     t = base.join(median, "path", "left").join(features.char_entropy(state["chars"]), "path", "left").join(samples, "path", "left")

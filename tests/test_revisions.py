@@ -36,7 +36,7 @@ def check(spark, record, leaves, n, most):
         assert all(math.isclose(have[c], want[c], rel_tol=1e-9, abs_tol=1e-12) for c in EXACT), path
         if have.wide:
             assert abs(have.unique_count - want.unique_count) <= 0.08 * want.unique_count
-            assert abs(have.format_consistency - want.format_consistency) <= 3.5 / 2048
+            assert abs(have.format_consistency - want.format_consistency) <= revisions.ERROR
         else:
             assert (have.unique_count, have.format_consistency) == (want.unique_count, want.format_consistency)
 
@@ -89,6 +89,12 @@ def test_the_writer_that_comes_second_adds_to_the_first(spark, tmp_path, monkeyp
     check(spark, record, leaves, 60, 20)
 
 
+def test_values_of_a_thousand_shapes(spark, tmp_path):
+    digests = spark.range(6000).selectExpr("id seq", "'digest' path", "md5(cast(id as string)) value")
+    record = revisions.revise(digests, 6000, str(tmp_path), "s", most=100)
+    check(spark, record, digests, 6000, 100)
+
+
 def test_no_events(spark, tmp_path):
     record = revisions.revise(spark.createDataFrame([], SCHEMA), 0, str(tmp_path), "s")
     p = revisions.source_profile(spark, record).first()
