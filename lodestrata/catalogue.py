@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import numbers
-from lodestrata.operators import checks, explore, features, flatten, learning, relations, roles, telemetry, versions
+from lodestrata.operators import analyses, checks, explore, features, flatten, learning, relations, roles, telemetry, versions
 from lodestrata.plans import corpus, profile, revisions
 from lodestrata.sources import connector, logscan, places
 from lodestrata.streaming import live
@@ -572,6 +572,31 @@ def check_breakdown(spark, sf_dir):
     return telemetry.analysis_summary(findings, telemetry.weighted_verdict(findings))[1]
 
 
+class Odd(analyses.Check):
+    """How many points of a file there are; fails on files whose number 7 divides."""
+
+    name = "odd"
+
+    def __init__(self):
+        self.n = 0
+
+    def see(self, row):
+        self.n += row["kind"] == "gps"
+        if row["file"] % 7 == 0:
+            raise ValueError("a file that can't be checked")
+
+    def finding(self):
+        return "CLEAN", None, self.n, None
+
+
+@query(f"""WITH {REC}, {GPS}, {EKF}, {FINDINGS} SELECT file, "check", verdict, NULL::double points FROM fd
+ UNION ALL SELECT file, 'odd', CASE WHEN file % 7 = 0 THEN 'ERROR' WHEN count(*) >= 5 THEN 'CLEAN' ELSE 'UNKNOWN' END, CASE WHEN file % 7 <> 0 AND count(*) >= 5 THEN count(*)::double END FROM gps GROUP BY file""")
+def checks_by_file(spark, sf_dir):
+    """The four checks and one more, which fails on some files, as a table function of each file."""
+    found = analyses.spoof_findings(gps(spark, sf_dir), baro(spark, sf_dir), ekf(spark, sf_dir), [Odd])
+    return found.select("file", "check", "verdict", F.when(F.col("check") == "odd", F.col("value")).alias("points"))
+
+
 @query(f"WITH {REC}, {GPS}, {EKF}, {FINDINGS} SELECT verdict, count(*) files, round(avg(CASE WHEN confidence>0 THEN confidence END),6) confidence FROM vd GROUP BY verdict")
 def analysis_summary(spark, sf_dir):
     findings = _findings(spark, sf_dir)

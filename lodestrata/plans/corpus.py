@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators import telemetry
+from lodestrata.operators import analyses, telemetry
 from lodestrata.sources import dataflash
 from lodestrata.sources.dataflash import field
 
@@ -112,9 +112,14 @@ def sink(results: DataFrame, path: str) -> None:
     results.write.json(path)
 
 
-def analysis(records: DataFrame) -> DataFrame:
-    """file, verdict, confidence, findings (array of check and verdict) of every file with positions."""
-    findings = telemetry.spoof_findings(dataflash.gps(records), dataflash.baro(records), dataflash.ekf(records))
+def analysis(records: DataFrame, more: list[type[analyses.Check]] | None = None) -> DataFrame:
+    """file, verdict, confidence, findings (array of check and verdict) of every file with positions.
+
+    more: checks of one's own beside the four, all of which are then run file by file; one that fails is an
+    ERROR among the file's findings, and the verdict is that of the others.
+    """
+    tables = dataflash.gps(records), dataflash.baro(records), dataflash.ekf(records)
+    findings = analyses.spoof_findings(*tables, more).select("file", "check", "verdict") if more else telemetry.spoof_findings(*tables)
     each = findings.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("check", "verdict"))).alias("findings"))  # four for each file
     return telemetry.weighted_verdict(findings).join(each, "file")
 

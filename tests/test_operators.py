@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import features, flatten, learning, relations, roles, telemetry
+from lodestrata.operators import analyses, features, flatten, learning, relations, roles, telemetry
 from lodestrata.plans import profile
 from lodestrata.sources import dataflash, events, logscan
 from lodestrata.streaming import live
@@ -280,6 +280,17 @@ def test_corpus_of_logs(spark, tmp_path):
     assert {r.file: r.verdict for r in results.collect()}["fly.BIN"] == "ALERT"  # the barometer climbs, the position doesn't
     assert corpus.report(results).count() == 3
 
+    class Broken(analyses.Check):
+        name = "broken"
+
+        def see(self, row):
+            raise OSError("no")
+
+    more = corpus.analysis(rows, [Broken])
+    plain = {r.file: (r.verdict, r.confidence, {f.check: f.verdict for f in r.findings}) for r in results.collect()}
+    assert {r.file: (r.verdict, r.confidence, {f.check: f.verdict for f in r.findings if f.check != "broken"}) for r in more.collect()} == plain
+    assert {f.verdict for r in more.collect() for f in r.findings if f.check == "broken"} <= {"ERROR", "UNKNOWN"}
+
 
 def test_checks(spark, tmp_path):
     from lodestrata.operators import checks
