@@ -109,3 +109,13 @@ def test_writes_logs(spark, tmp_path):
     logscan.write_logs(spark.createDataFrame(rows, "file string, seq long, type_id int, values array<double>"), f"file://{tmp_path}/logs", TYPES)
     got = logscan.Logs(spark, f"file://{tmp_path}/logs").typed("GPS").collect()
     assert sorted((r.file, r.seq, int(r.TimeUS), r.HDop, r.Alt) for r in got) == sorted((f"f{i % 3}.BIN", i // 3, i + 1, 1.2, 0.5 * i) for i in range(30))
+
+
+def test_marks_in_numbers_describe_nothing(spark, tmp_path):
+    mark = int.from_bytes(b"\xa3\x95\x80\x07\x25\x46\x06\0", "little")  # a time whose bytes are those of a description of type 7
+    records = [(1, (mark + (i << 32), 3, 100, 10**7, 1.0)) for i in range(50)]
+    data = dataflash.written(TYPES, records)
+    (tmp_path / "a.BIN").write_bytes(data)
+    logs = logscan.Logs(spark, f"file://{tmp_path}", 500)
+    assert sorted(r.type_id for r in logs.types().collect()) == sorted(dataflash.descriptions(data)) == [1, 2, 3, 4, 5]
+    assert [r.TimeUS for r in logs.typed("GPS").orderBy("seq").collect()] == [r[1][0] for r in records]
