@@ -38,7 +38,8 @@ def inventory(records: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """A row for each file: duration, session, verdict and reasons, fingerprint, firmware, rates, first errors and the counts behind them.
 
     types: of `dataflash.read_types`, for the names of the types present. All counts come from one pass
-    over the records; only orders within a file need windows.
+    over the records; only orders within a file need windows. Records are read for each of these: those of
+    `logscan` should be stored before, so that they are decoded once.
     """
     is_ = lambda *names: F.col("name").isin(*names)
     subsystem, code = field("Subsys", "SubSys", kind="long"), field("ECode", kind="long")

@@ -37,7 +37,18 @@ def ranges(spark: SparkSession, folder: str, split: int = SPLIT) -> DataFrame:
     found = [(f"{folder.rstrip('/')}/{name}", size) for name, size in listed(folder) if name.endswith((".BIN", ".bin"))]
     files = spark.createDataFrame(found, "path string, size long")
     cut = files.select("path", F.explode(F.expr(f"sequence(0, greatest(size - 1, 0), {split})")).alias("start"), "size")
-    return cut.select("path", "start", F.least(F.col("start") + split, "size").alias("end"), "size").repartition("path", "start")
+    return dealt(cut.select("path", "start", F.least(F.col("start") + split, "size").alias("end"), "size"), tasks(spark, [size for _, size in found], split))
+
+
+def tasks(spark: SparkSession, sizes: list[int], split: int) -> int:
+    """Tasks for the ranges of files of these sizes: one for each range, but no more than a shuffle has or than there are SPLIT bytes."""
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(sizes) // SPLIT)
+    return max(1, min(sum(-(-size // split) for size in sizes), most))
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Ranges in n tasks. A number keeps Spark from putting them together again, as their rows are small whatever bytes they stand for."""
+    return rows.repartition(n, "path", "start")
 
 
 def read(path: str, start: int, end: int) -> bytes:
@@ -138,6 +149,7 @@ class Logs:
     def __init__(self, spark: SparkSession, folder: str, split: int = SPLIT, before: int = BEFORE):
         self.split, self.before = split, before
         self.cuts = ranges(spark, folder, split)
+        self.tasks = tasks(spark, [size for name, size in listed(folder) if name.endswith((".BIN", ".bin"))], split)
         self.described = stored(described(self.cuts), "types")
         self.walked = self._walked()
 
@@ -154,7 +166,7 @@ class Logs:
                     columns = [[row["path"]], [row["start"]], [entry], [left], [len(found)]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4))], ["path", "start", "entry", "exit", "n"])
 
-        done = rows.select("path", "start", "end", "size", "types", "entry").mapInArrow(run, "path string, start long, entry long, exit long, n long")
+        done = dealt(rows.select("path", "start", "end", "size", "types", "entry"), self.tasks).mapInArrow(run, "path string, start long, entry long, exit long, n long")
         return rows.drop("entry", "exit", "n").join(done, ["path", "start"])
 
     def _walked(self) -> DataFrame:
@@ -193,7 +205,7 @@ class Logs:
                         yield from made(walk, row["path"], found[at : at + ROWS], row["first"] + at)
 
         rows = self.walked if rows is None else rows
-        return rows.repartition("path", "start").mapInArrow(run, schema).withColumn("file", _file()).drop("path")
+        return dealt(rows, self.tasks).mapInArrow(run, schema).withColumn("file", _file()).drop("path")
 
     def records(self) -> DataFrame:
         """file, seq, offset, name, t (TimeUS where positive), fields (JSON), error: every record, and a row for each broken file."""
@@ -279,13 +291,63 @@ def write_logs(records: DataFrame, folder: str, types: list[tuple[int, str, str,
     """
 
     def run(key, table):
-        rows = sorted(zip(table["seq"].to_pylist(), table["type_id"].to_pylist(), table["values"].to_pylist()))
-        whole = {kind: [dataflash.CODES[c] not in "fd" for c in form if c in dataflash.CODES] for kind, _, form, _ in types}
-        data = dataflash.written(types, [(kind, [int(v) if w else v for v, w in zip(values, whole[kind])]) for _, kind, values in rows])
+        head, body = dataflash.written(types, []), laid_out(table, types)
         system, place = located(folder)
         system.create_dir(place, recursive=True)
         with system.open_output_stream(f"{place}/{key[0].as_py()}.BIN") as out:
-            out.write(data)
-        return pa.table({"n": pa.array([len(rows)], pa.int64())})
+            out.write(head)
+            out.write(body)
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
 
     records.groupBy("file").applyInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def laid_out(table: pa.Table, types: list[tuple[int, str, str, str]]) -> memoryview:
+    """Bytes of the records of a table (seq, type_id, values) in order of seq, then type and values; all records of a type are encoded at once.
+
+    ValueError for a type that isn't among the types or has texts, nulls, and values that its columns don't hold.
+    """
+    lists = table["values"].combine_chunks()
+    flat = lists.flatten()
+    if table["seq"].null_count or table["type_id"].null_count or lists.null_count or flat.null_count:
+        raise ValueError("a record has nulls")
+    seqs, kinds, values = table["seq"].to_numpy(), table["type_id"].to_numpy(), flat.to_numpy(zero_copy_only=False)
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    order = np.lexsort((kinds, seqs))
+    same = np.flatnonzero((np.diff(seqs[order]) == 0) & (np.diff(kinds[order]) == 0))
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else []:  # records alike but for their values
+        part = order[run[0] : run[-1] + 2]
+        order[run[0] : run[-1] + 2] = sorted(part.tolist(), key=lambda i: values[starts[i] : starts[i] + lengths[i]].tolist())
+    layouts = {}
+    for kind, _, form, _ in types:
+        codes = [NUMPY[c] for c in form if c in CODES]
+        layouts[kind] = np.dtype([("mark", "S2"), ("kind", "u1"), *((f"f{i}", code) for i, code in enumerate(codes))])
+    kinds, lengths, starts = kinds[order], lengths[order], starts[order]
+    sizes = np.zeros(len(kinds), np.int64)
+    for kind in np.unique(kinds).tolist():
+        if kind not in layouts:
+            raise ValueError(f"no type {kind}")
+        sizes[kinds == kind] = layouts[kind].itemsize
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for kind in np.unique(kinds).tolist():
+        layout, where = layouts[kind], np.flatnonzero(kinds == kind)
+        names = layout.names[2:]
+        if (lengths[where] != len(names)).any():
+            raise ValueError(f"type {kind} has {len(names)} values")
+        rows = np.zeros(len(where), layout)
+        rows["mark"], rows["kind"] = SYNC, kind
+        for i, name in enumerate(names):
+            column, to = values[starts[where] + i], layout[name]
+            if to.kind == "S":
+                raise ValueError(f"type {kind} has texts")
+            if to.kind in "iu":
+                column, about = np.trunc(column), np.iinfo(to)
+                if not ((column >= float(about.min)) & (column < float(about.max + 1))).all():
+                    raise ValueError(f"type {kind} has values beyond its columns")
+            elif to.itemsize < 8 and (np.isfinite(column) & (np.abs(column) > np.finfo(to).max)).any():
+                raise ValueError(f"type {kind} has values beyond its columns")
+            rows[name] = column
+        out[(ends[where] - layout.itemsize)[:, None] + np.arange(layout.itemsize)] = rows.view(np.uint8).reshape(len(where), -1)
+    return out.data

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.sources import dataflash, logscan
@@ -119,3 +121,35 @@ def test_marks_in_numbers_describe_nothing(spark, tmp_path):
     logs = logscan.Logs(spark, f"file://{tmp_path}", 500)
     assert sorted(r.type_id for r in logs.types().collect()) == sorted(dataflash.descriptions(data)) == [1, 2, 3, 4, 5]
     assert [r.TimeUS for r in logs.typed("GPS").orderBy("seq").collect()] == [r[1][0] for r in records]
+
+
+def test_ranges_stay_in_many_tasks(spark, tmp_path):
+    (tmp_path / "a.BIN").write_bytes(dataflash.written(TYPES, [(1, (i + 1, 3, 100, 10**7, 1.0)) for i in range(5_000)]))
+    logs = logscan.Logs(spark, f"file://{tmp_path}", 4_000)
+    for df in (logs.cuts, logs.typed("GPS").select("seq"), logs.records().where("error is null").select("seq")):
+        busy = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert busy >= 3  # of the session's 4
+
+
+def test_records_are_laid_out_as_packed():
+    rng = random.Random(5)
+    codes = {c: dataflash.CODES[c] for c in "bBhHiIfdcCeELMqQ"}
+    types = [(1, "ONE", "".join(codes), "a"), (2, "TWO", "QBd", "a"), (3, "NONE", "??", "a")]
+    rows = []
+    for i in range(300):
+        kind = rng.choice([1, 2, 3])
+        values = {1: [float(rng.randrange(100)) + 0.5 for _ in codes], 2: [2.0**53 + rng.randrange(9) * 2, rng.randrange(256) + 0.9, rng.random()], 3: []}[kind]
+        rows.append((rng.randrange(60), kind, values))
+    rows += [(7, 2, [3.0, 2.0, 1.0]), (7, 2, [3.0, 1.0, 1.0]), (7, 2, [1.0, 255.0, 1.0])] * 2
+    whole = {k: [dataflash.CODES[c] not in "fd" for c in f if c in dataflash.CODES] for k, _, f, _ in types}
+    want = dataflash.written(types, [(k, [int(x) if w else x for x, w in zip(v, whole[k])]) for _, k, v in sorted(rows)])
+
+    def table(rows):
+        columns = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))
+        return pa.table(columns, ["seq", "type_id", "values"])
+
+    assert dataflash.written(types, []) + bytes(logscan.laid_out(table(rows), types)) == want
+    assert bytes(logscan.laid_out(table([]), types)) == b""
+    for wrong in ([(1, 2, [-1.0, 1.0, 1.0])], [(1, 2, [1.0, 256.0, 1.0])], [(1, 2, [2.0**64, 1.0, 1.0])], [(1, 2, [1.0, 1.0])], [(1, 9, [])], [(1, 2, [1.0, None, 1.0])], [(None, 3, [])], [(1, 2, [float("nan"), 1.0, 1.0])], [(1, 1, [0.0] * 6 + [1e300] + [0.0] * 9)]):
+        with pytest.raises(ValueError):
+            logscan.laid_out(table(wrong), types)
