@@ -17,6 +17,8 @@ from lodestrata.plans import corpus, profile, revisions
 from lodestrata.sources import connector, logscan, places
 from lodestrata.streaming import live
 
+#: Files of a batch of a stream that takes all that there are.
+ALL = 1 << 30
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -452,13 +454,11 @@ def glitch_stream(spark, sf_dir):
     span = points.agg(F.max("seq")).first()[0] or 0
     shuffled = points.withColumn("part", F.least(F.floor((F.col("seq") + F.abs(F.xxhash64("seq")) % (span // 10 + 1)) * 3 / (span + 1)), F.lit(3)))
     end = spark.range(1).select(F.lit(-1).cast(points.schema["file"].dataType).alias("file"), F.col("id").alias("seq"), F.lit(0).cast("long").alias("status"), F.timestamp_seconds(F.lit(10 * span + 10**6)).alias("at"))
-    for part in range(4):
-        shuffled.where(F.col("part") == part).drop("part").repartition(1).write.parquet(f"{folder}/part={part}")
-    end.write.parquet(f"{folder}/part=4")  # what moves the watermark past the last points
-    stream = live.glitches_in_order(live.tail(spark, f"{folder}/*", points.schema, files=1), "at", f"{span // 10 + 1} seconds")
-    for _ in range(2):  # stopped and begun again
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start()
-        q.awaitTermination()
+    parts = [shuffled.where(F.col("part") == part).drop("part").repartition("file") for part in range(4)] + [end]  # the end moves the watermark past the last points
+    for part, rows in enumerate(parts):  # a batch each, of as many files as Spark writes; stopped and begun again
+        rows.write.parquet(f"{folder}/part={part}")
+        stream = live.glitches_in_order(live.tail(spark, f"{folder}/*", points.schema, files=ALL), "at", f"{span // 10 + 1} seconds")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("file long, glitches long").parquet(out).groupBy("file").agg(F.max("glitches").alias("glitches")).where("glitches > 0")
 
 

@@ -49,22 +49,21 @@ def glitches(points: DataFrame) -> DataFrame:
 class InOrder(StatefulProcessor):
     """Fixes regained after a loss in one file, whose rows are held until the watermark has passed their time.
 
-    State: the rows held, by seq; and what has been counted (had, lost, n) up to the seq last taken. Rows
-    that come after that one was taken are left out, as they are later than the watermark.
+    State: one value, as each read and write of a state costs more than a row: what has been counted (had, lost, n)
+    up to the seq last taken, and the rows held (of rows of one seq the last counts). Rows that come after that
+    seq was taken are left out, as they are later than the watermark.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "seq long", "at long, status long")
-        self.seen = handle.getValueState("seen", "had boolean, lost boolean, n long, last long")
-
-    def _taken(self, key, watermark: int) -> Iterator[Row]:
-        ready = sorted((seq[0], row[1]) for seq, row in self.held.iterator() if row[0] <= watermark)
-        if not ready:
-            return
-        had, lost, n, last = self.seen.get() if self.seen.exists() else (False, False, 0, -(1 << 63))
+        self.seen = handle.getValueState("seen", "had boolean, lost boolean, n long, last long, seqs array<long>, ats array<long>, statuses array<long>")
+
+    def _taken(self, key, watermark: int, new: dict[int, tuple[int, int]]) -> Iterator[Row]:
+        had, lost, n, last, *rows = self.seen.get() or (False, False, 0, -(1 << 63), [], [], [])
+        held = {seq: (at, status) for seq, at, status in zip(*rows)}
+        held.update(new)
+        ready = sorted((seq, status) for seq, (at, status) in held.items() if at <= watermark)
         for seq, status in ready:
-            self.held.removeKey((seq,))
             if seq < last:
                 continue
             last = seq
@@ -73,20 +72,20 @@ class InOrder(StatefulProcessor):
                 had, lost = True, False
             elif status <= 1 and had:
                 lost = True
-        self.seen.update((had, lost, n, last))
-        yield Row(file=key[0], glitches=n)
+        if new or ready:
+            rest = [(seq, at, status) for seq, (at, status) in held.items() if at > watermark]
+            self.seen.update((had, lost, n, last, *(list(map(list, zip(*rest))) or [[], [], []])))
+        if ready:
+            yield Row(file=key[0], glitches=n)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark, latest = timerValues.getCurrentWatermarkInMs(), None
-        for row in rows:
-            self.held.updateValue((row.seq,), (row.at, row.status))
-            latest = max(row.at, latest or row.at)
-        if latest is not None:
-            self.handle.registerTimer(latest + 1)
-        yield from self._taken(key, watermark)
+        new = {row.seq: (row.at, row.status) for row in rows}
+        if new:
+            self.handle.registerTimer(max(at for at, _ in new.values()) + 1)
+        yield from self._taken(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._taken(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._taken(key, timerValues.getCurrentWatermarkInMs(), {})
 
     def close(self) -> None:
         pass

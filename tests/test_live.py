@@ -51,3 +51,27 @@ def test_pairs_of_a_stream_are_those_of_all_events(spark, tmp_path, seed):
     assert len(seen) > 2 and [r[:3] for r in seen[-1]] == [r[:3] for r in want] and all(a[3] == pytest.approx(b[3], abs=1e-12) for a, b in zip(seen[-1], want))
     assert sorted(map(tuple, live.information(live.pair_counts(df, F.col("paths"))).collect())) == seen[-1]
     assert live.information(live.pair_counts(df.limit(0), F.col("paths"))).count() == 0
+
+
+def test_state_of_a_file_is_read_and_written_once(monkeypatch):
+    from types import SimpleNamespace
+
+    calls, kept = [], []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return kept[-1] if kept else None
+
+        def update(self, value):
+            calls.append("update")
+            kept.append(value)
+
+    handle = SimpleNamespace(getValueState=lambda *a: Value(), registerTimer=lambda t: calls.append("timer"))
+    at = lambda w: SimpleNamespace(getCurrentWatermarkInMs=lambda: w)
+    step = live.InOrder()
+    step.init(handle)
+    rows = [SimpleNamespace(seq=i, at=i, status=3 * (i % 2)) for i in range(1000)]
+    assert [r.glitches for r in step.handleInputRows((1,), rows[::-1], at(499))] == [249] and calls == ["timer", "get", "update"]
+    assert [r.glitches for r in step.handleExpiredTimer((1,), at(999), None)] == [499] and len(calls) == 5
+    assert list(step.handleExpiredTimer((1,), at(2000), None)) == [] and kept[-1][4:] == ([], [], [])
