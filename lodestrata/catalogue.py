@@ -250,12 +250,13 @@ def network_leaves(events: DataFrame) -> DataFrame:
 
 
 def network_revision(spark, sf_dir) -> dict:
-    """The last of the revisions that a stream makes of the events, in three batches."""
+    """The last of the revisions that a stream makes of the events, in three batches, each of as many files as Spark writes."""
     folder, out, place = (places.scratch(spark, n) for n in ("events", "revisions", "place"))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    events.repartition(3, "event_id").write.parquet(folder)
-    stream = live.tail(spark, folder, events.schema, files=1)
-    revisions.watch(stream, network_leaves, out, "network", place).trigger(availableNow=True).start().awaitTermination()
+    for part in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition("event_id").write.mode("append").parquet(folder)
+        stream = live.tail(spark, folder, events.schema, files=ALL)
+        revisions.watch(stream, network_leaves, out, "network", place).trigger(availableNow=True).start().awaitTermination()
     return versions.latest(out, "network")
 
 
@@ -265,7 +266,7 @@ def revision_features(spark, sf_dir):
     """Features by revisions; what is an estimate is -1 or null here, and near if within 8 % (five standard errors) of the whole table's."""
     record = network_revision(spark, sf_dir)
     found = revisions.feature_table(revisions.load(spark, record["state"]))
-    whole = features.field_features(network_leaves(table(spark, sf_dir, "events"))).select("path", F.col("unique_count").alias("u"), F.col("format_consistency").alias("s"))
+    whole = features.consistency(network_leaves(table(spark, sf_dir, "events"))).select("path", F.col("unique_count").alias("u"), F.col("format_consistency").alias("s"))
     near = (F.abs(F.col("unique_count") - F.col("u")) <= F.when(F.col("wide"), 0.08).otherwise(0.0) * F.col("u")) & (F.abs(F.col("format_consistency") - F.col("s")) <= F.when(F.col("wide"), revisions.ERROR).otherwise(1e-12))
     exact = {"unique_count", "cardinality_ratio", "format_consistency"}
     columns = ["sample_count", "null_count", "unique_count", *features.NAMES]

@@ -90,6 +90,14 @@ def field_features(leaves: DataFrame) -> DataFrame:
     return assembled(t)
 
 
+def consistency(leaves: DataFrame) -> DataFrame:
+    """path, unique_count and format_consistency alone, as `field_features` gives them: one count of values, which are read once."""
+    counts = value_counts(leaves).where("value is not null").groupBy("path", shape("value").alias("shape")).agg(F.count("*").alias("u"), F.sum("c").alias("k"))
+    found = counts.groupBy("path").agg(F.sum("u").alias("unique_count"), (F.max("k") / F.sum("k")).alias("format_consistency"))
+    none = leaves.groupBy("path").agg(F.lit(0).alias("_"))
+    return none.join(found, "path", "left").select("path", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), F.coalesce("format_consistency", F.lit(0.0)).alias("format_consistency"))
+
+
 def assembled(t: DataFrame) -> DataFrame:
     """The features, from path, unique_count, the `sums` of its values, modal, median, entropy and samples."""
     n = F.col("sample_count") - F.col("null_count")

@@ -72,7 +72,8 @@ def state_of(leaves: DataFrame, before: dict[str, DataFrame] | None = None) -> d
         values = filled.join(before["paths"].where("wide").select("path"), "path", "left_anti")  # a row for each path
         full = before["samples"].groupBy("path").agg(F.count("*").alias("n"), F.max("value").alias("last")).where(F.col("n") >= FIRST)
         early = filled.join(full, "path", "left").where("last is null or value < last").select("path", "value")
-    events = relations.presence(leaves).groupBy("seq").agg(F.collect_list("path").alias("paths"))
+    # dealt by seq first, so that neither the distinct paths nor their lists move the rows again
+    events = relations.presence(leaves.repartition("seq")).groupBy("seq").agg(F.collect_list("path").alias("paths"))
     shaped = leaves.withColumn("shape", features.shape(F.col("value")))
     sketches = F.hll_sketch_agg("value", REGISTERS).alias("distinct"), F.expr(f"approx_top_k_accumulate(shape, {SHAPES})").alias("shapes")
     return {

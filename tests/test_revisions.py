@@ -118,3 +118,19 @@ def test_batches_of_a_stream(spark, tmp_path):
 def test_features_without_numbers_or_characters(spark):
     found = {r.path: r for r in features.field_features(spark.createDataFrame([("words", "abc"), ("empty", "")], "path string, value string")).collect()}
     assert found["words"].numeric_range_span == 0 and found["empty"].numeric_range_span == 0 and found["empty"].entropy == 0
+
+
+def test_three_batches_whatever_their_rows(spark, tmp_path):
+    from lodestrata import catalogue
+
+    spark.createDataFrame([(1, 1, "click", 2.5)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert catalogue.network_revision(spark, str(tmp_path))["version"] == 3
+
+
+def test_consistency_is_that_of_all_features(spark):
+    from lodestrata.operators import features
+
+    rows = [(i, p, v) for i in range(60) for p, v in (("a", f"x{i % 7}"), ("b", None if i % 3 else str(i)), ("none", None), ("c", ["é1", "12", "q"][i % 3]))]
+    leaves = spark.createDataFrame(rows, "seq long, path string, value string")
+    columns = ["path", "unique_count", "format_consistency"]
+    assert sorted(map(tuple, features.consistency(leaves).select(columns).collect())) == sorted(map(tuple, features.field_features(leaves).select(columns).collect()))
