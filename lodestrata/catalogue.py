@@ -86,9 +86,15 @@ def flatten_json_nested(spark, sf_dir):
     """Nested objects and arrays, nulls, empty ones, numbers of all forms, paths that collide, and broken and null texts."""
     i, k = F.col("event_id"), F.col("event_id") % 5
     cents = F.round(F.col("value") * 100).cast("long")
-    head = F.format_string('{"user": {"id": %d, "kind": "%s"}, "list": [%d, {"flag": %s, "none": null, "empty": {}, "text": "\\"1e5\\" é"}, [[%d]], []], "price": %d.50', "user_id", "event_type", cents, F.when(k == 0, "true").otherwise("false"), i, F.floor(cents / 100).cast("long"))
+
+    def filled(form, *columns):
+        """The form with the columns in place of its percent signs, by concat, which takes less time than format_string."""
+        shown = (F.coalesce(c.cast("string"), F.lit("null")) for c in columns)
+        return F.concat(*(c for pair in zip(map(F.lit, form.split("%")), [*shown, F.lit("")]) for c in pair))
+
+    head = filled('{"user": {"id": %, "kind": "%"}, "list": [%, {"flag": %, "none": null, "empty": {}, "text": "\\"1e5\\" é"}, [[%]], []], "price": %.50', F.col("user_id"), F.col("event_type"), cents, F.when(k == 0, "true").otherwise("false"), i, F.floor(cents / 100).cast("long"))
     tail = F.when(k == 1, ', "big": 1e5}').otherwise("}")
-    tail = F.when(k == 2, F.format_string(', "user.id.x": "first", "user": {"id": %d, "kind": "%s", "id.x": "last"}}', "user_id", "event_type")).otherwise(tail)
+    tail = F.when(k == 2, filled(', "user.id.x": "first", "user": {"id": %, "kind": "%", "id.x": "last"}}', F.col("user_id"), F.col("event_type"))).otherwise(tail)
     events = table(spark, sf_dir, "events").select(i.alias("event_id"), F.concat(head, tail).alias("text"))
     broken = table(spark, sf_dir, "events").select((-i).alias("event_id"), F.when(k == 0, "{broken").when(k == 1, "[{}, []]").alias("text"))
     return flatten.flatten_json(events.union(broken), "event_id", "text")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
@@ -34,15 +34,18 @@ def flatten_columns(events: DataFrame, seq: str) -> DataFrame:
     return events.select(F.col(seq).alias("seq"), F.explode(F.flatten(F.array(*leaves))).alias("leaf")).select("seq", "leaf.path", "leaf.value")
 
 
-def _walk(value, path: str) -> Iterator[tuple[str, str | None]]:
+def _walk(value, path: str, found: dict[str, str | None] | None = None) -> dict[str, str | None]:
+    """Text by path of every scalar; of one path the last stays."""
+    found = {} if found is None else found
     if isinstance(value, dict):
         for key, inner in value.items():
-            yield from _walk(inner, f"{path}.{key}" if path else key)
+            _walk(inner, f"{path}.{key}" if path else key, found)
     elif isinstance(value, list):
         for i, inner in enumerate(value):
-            yield from _walk(inner, f"{path}.{i}" if path else str(i))
+            _walk(inner, f"{path}.{i}" if path else str(i), found)
     else:
-        yield path, None if value is None else str(value)
+        found[path] = None if value is None else str(value)
+    return found
 
 
 def _walked(events: DataFrame) -> DataFrame:
@@ -50,41 +53,72 @@ def _walked(events: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for number, text in zip(batch["seq"], batch["payload"]):
+            seqs, paths, values = [], [], []
+            for number, text in zip(batch["seq"].tolist(), batch["payload"]):
                 try:
-                    found = dict(_walk(json.loads(text), "")) if text is not None else {}
+                    found = _walk(json.loads(text), "")
                 except (ValueError, RecursionError):
-                    found = {}
-                rows += [(number, path, value) for path, value in found.items() if path]
-            yield pd.DataFrame(rows, columns=["seq", "path", "value"])
+                    continue
+                found.pop("", None)
+                seqs += [number] * len(found)
+                paths += found
+                values += found.values()
+            yield pd.DataFrame({"seq": pd.Series(seqs, dtype="int64"), "path": pd.Series(paths, dtype=object), "value": pd.Series(values, dtype=object)})
 
     return events.mapInPandas(run, "seq long, path string, value string")
 
 
 #: What has another text as a variant than in Python: exponents, -0, more digits than a double or a long surely keeps, numbers near 0.
 UNLIKE = r"[0-9][eE]|-0(?:\.0*)?(?![0-9.])|[0-9.]{17,}|(?<![0-9])0\.0000"
-#: Keys with a dot or without a letter, whose paths may be those of other keys (strings without their escapes).
-KEYS = r'"[^"]*\.[^"]*"\s*:|""\s*:'
+#: Keys without a letter or with a dot (the strings emptied but for it), whose paths may be those of other keys.
+EMPTY, DOTTED = r'""\s*:', r'"\."\s*:'
+#: Other texts have no paths; and those from one bracket to another, with nothing around them.
+OPENED, CLOSED = r"^[ \t\n\r]*[\[{]", r"[\]}][ \t\n\r]*\z"
+#: Levels that are counted; Spark parses 1,000. So many, which most texts have at most, without a loop.
+LEVELS, FEW = 1000, 5
 
 
-def _sorted_out(events: DataFrame) -> DataFrame:
-    """seq, payload, v (the payload as a variant), depth, odd (rows whose values or paths a variant doesn't tell)."""
-    plain = F.regexp_replace("payload", r"\\.", "_")
-    bare = F.regexp_replace(plain, '"[^"]*"', '""')
-    rows = events.select("seq", "payload", F.try_parse_json("payload").alias("v"), plain.alias("plain"), bare.alias("bare"))
-    brackets = F.split(F.regexp_replace("bare", r"[^\[\]{}]", ""), "")
-    up = lambda c: F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1)
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used: a filter computes its parts wherever they stand."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    def step(s, c):
-        now = s["now"] + up(c)
-        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"), (s["ends"] + F.when((up(c) < 0) & (now == 0), 1).otherwise(0)).alias("ends"))
 
-    nested = F.aggregate(brackets, F.struct(*(F.lit(0).alias(k) for k in ("now", "most", "ends"))), step)
-    depth = nested["most"]
-    whole = F.col("bare").rlike(r"^\s*(?:[\[{].*[\]}]|[^\s\[{]+)\s*$".replace(".*", r"[\s\S]*"))  # nothing follows the value
-    odd = F.col("v").isNull() | ~whole | (nested["ends"] > 1) | (nested["now"] != 0) | F.col("bare").rlike(UNLIKE) | F.col("plain").rlike(KEYS) | F.col("payload").contains("\\u00")
-    return rows.where("payload is not null").select("seq", "payload", "v", depth.alias("depth"), odd.alias("odd"))
+def _pairs(brackets: Column) -> Column:
+    """Brackets without the innermost pairs: what is balanced loses its lowest level, and nothing is left after as many as it has."""
+    return F.replace(brackets, F.lit("()"), F.lit(""))
+
+
+def _plain(payload: Column, inner) -> Column:
+    """inner(brackets within the outer ones) of a text whose values and paths a variant tells, null of others.
+
+    A value that ends before the text does leaves brackets within that aren't balanced, or no bracket at the end.
+    """
+
+    def emptied(bare: Column) -> Column:
+        brackets = F.translate(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "[{]}", "(())")
+        numbers = F.regexp_replace(bare, "[^-.0-9eE]+", " ")
+        dotted = F.contains(bare, F.lit('"."')) & bare.rlike(DOTTED)
+        return F.when(bare.rlike(CLOSED) & ~dotted & ~numbers.rlike(UNLIKE), inner(F.substring(brackets, F.lit(2), F.length(brackets) - 2)))
+
+    def escaped(plain: Column) -> Column:
+        empty = F.contains(plain, F.lit('""')) & plain.rlike(EMPTY)
+        return F.when(~empty, _once(F.regexp_replace(plain, r'"[^".]*+(\.?+)[^"]*+"', '"$1"'), emptied))
+
+    # a run of backslashes is taken in pairs from its start; no other escape has a quote
+    plain = F.replace(F.replace(payload, F.lit("\\\\"), F.lit("__")), F.lit('\\"'), F.lit("__"))
+    return F.when(~F.contains(payload, F.lit("\\u00")), _once(plain, escaped))
+
+
+def _depth(brackets: Column, levels: int = 1) -> Column:
+    """Levels of a text by the brackets within its outer ones; null if they aren't balanced, or too deep for Spark."""
+    if levels <= FEW:
+        return F.when(brackets == "", levels).otherwise(_once(_pairs(brackets), lambda left: _depth(left, levels + 1)))
+
+    def step(s, _):
+        return F.when(s["left"] == "", s).otherwise(F.struct(_pairs(s["left"]).alias("left"), (s["levels"] + 1).alias("levels")))
+
+    most = F.least(F.floor(F.length(brackets) / 2).cast("int"), F.lit(LEVELS))
+    return F.aggregate(F.sequence(F.lit(0), most), F.struct(brackets.alias("left"), F.lit(levels).alias("levels")), step, lambda s: F.when(s["left"] == "", s["levels"]))
 
 
 def flatten_json(events: DataFrame, seq: str, payload: str, depth: int | None = None) -> DataFrame:
@@ -95,14 +129,19 @@ def flatten_json(events: DataFrame, seq: str, payload: str, depth: int | None =
     Python; if there are none, the plan has no Python. depth: levels that are exploded, deeper rows go to
     Python; None measures the levels, and whether Python is needed, by a pass over the texts (not for a stream).
     """
-    named = events.select(F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"))
-    rows = _sorted_out(named)
-    odd, levels = True, depth
+    rows = events.select(F.col(seq).cast("long").alias("seq"), F.col(payload).alias("payload"))
+    given, variant = F.col("payload"), F.try_parse_json("payload")
+    opened = given.rlike(OPENED)
+    levels, odd, refused = depth, True, True
     if depth is None:
-        levels, n = rows.agg(F.max(F.when(~F.col("odd"), F.col("depth"))), F.count_if("odd")).first()
-        levels, odd = levels or 0, n > 0
-    here = ~F.col("odd") & (F.col("depth") <= levels)
-    found = rows.where(here).select("seq", "v", F.lit("").alias("path"))
+        # levels of a row, 0 where Spark doesn't parse it, -1 where its text tells already
+        kind = _once(F.coalesce(_plain(given, _depth), F.lit(-1)), lambda n: F.when(n < 0, n).when(variant.isNotNull(), n).otherwise(0))
+        kinds = rows.select(F.when(opened, kind).alias("levels"))
+        levels, odd, refused = kinds.agg(F.max("levels"), F.count_if(F.col("levels") < 1) > 0, F.count_if(F.col("levels") == 0) > 0).first()
+        levels = max(levels or 0, 0)
+    here = F.coalesce(_plain(given, lambda inner: reduce(lambda c, _: _pairs(c), range(levels - 1), inner) == ""), F.lit(False)) if levels else F.lit(False)
+    # rows are chosen without filters, which would be moved below what the texts are made by and make them again; other rows have a null, which has no path
+    found = rows.select("seq", F.when(opened & here, variant).alias("v"), F.lit("").alias("path"))
     below = """SELECT seq, CASE WHEN e.pos IS NULL THEN d.v ELSE e.value END v,
         CASE WHEN e.pos IS NULL THEN path ELSE concat(path, if(path = '', '', '.'), coalesce(e.key, cast(e.pos AS string))) END path
         FROM {d} d, LATERAL variant_explode_outer(d.v) e"""
@@ -113,7 +152,8 @@ def flatten_json(events: DataFrame, seq: str, payload: str, depth: int | None =
     number = F.when(F.schema_of_variant("v") == "BIGINT", F.col("j")).when(F.contains("j", F.lit(".")), F.col("j")).otherwise(F.concat("j", F.lit(".0")))
     value = F.when(F.startswith("j", F.lit('"')), F.col("v").cast("string")).when(F.col("j").isin("true", "false"), F.initcap("j")).when(F.col("j") != "null", number)
     out = text.select("seq", "path", value.alias("value"))
-    return out.unionByName(_walked(rows.where(~here).select("seq", "payload"))) if odd else out
+    rest = ~here | variant.isNull() if refused else ~here
+    return out.unionByName(_walked(rows.select("seq", F.explode(F.when(opened & rest, F.array(given))).alias("payload")))) if odd else out
 
 
 def field_counts(leaves: DataFrame, events: DataFrame, seq: str) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.operators import flatten
 
@@ -48,3 +49,14 @@ def test_plain_texts_stay_in_the_jvm(spark):
     odd = df.union(spark.createDataFrame([(99, "[1e5]")], "n long, text string"))
     assert "MapInPandas" in flatten.flatten_json(odd, "n", "text")._jdf.queryExecution().executedPlan().toString()
     assert flatten.flatten_json(df.limit(0), "n", "text").count() == 0
+
+
+def test_ends_of_texts(spark):
+    check(spark, ['{"a": 1}\x0b', '{"a": 1}\u2028', '{"a": 1}\x85', '{"a": 1}\n\n', " \t\r\n[1] ", "[1]], [[2]", "[[1]", "[1]]", '{"a": {"b": 1}', "[x}", "[1}", "{}[1]", "[[[[[[[1]]]]]], 2]", '{"a": "]"}', '{"a": "\\\\"}'])
+
+
+def test_texts_are_made_once_for_each_branch(spark):
+    made = lambda number: spark.range(9).select("id", F.format_string('{"a": %s, "b": [{"c": "x"}]}', number).alias("text"))
+    plan = lambda df: flatten.flatten_json(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan(made(F.col("id"))).count("format_string") == 1
+    assert plan(made(F.when(F.col("id") > 4, "1e5").otherwise("1"))).count("format_string") == 2
